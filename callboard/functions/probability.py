@@ -11,6 +11,7 @@ import sys
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -98,7 +99,7 @@ def p_value(test: str, statistic: float | None, df: float | None) -> float | Non
     return {"t": t_p_value, "chi_square": chi_square_p_value}[test](statistic, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_values(test: pd.Series, statistic: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([p_value(*row) for row in zip(test, statistic, df)], dtype="float64")
 

@@ -12,7 +12,7 @@ SEAM = '}{"AWSAccountId'
 REPAIRED_SEAM = '},{"AWSAccountId'
 ROUTABLE = "ROUTABLE"
 
-SNAPSHOT_LIST = f"array<{SNAPSHOT.simpleString()}>"
+SNAPSHOT_LIST = f"ARRAY<STRUCT<{SNAPSHOT}>>"
 
 
 def repaired(text: Column | str) -> Column:

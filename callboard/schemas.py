@@ -1,16 +1,9 @@
-"""Input schemas. Every reader uses one of these; nothing is inferred."""
+"""Input schemas, as DDL text. Every reader uses one of these; nothing is inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-CALL_CHAT = _struct(
-    """case_key STRING, latest_employee_key STRING, vendorid STRING, interaction_starttime STRING,
+CALL_CHAT = """
+    case_key STRING, latest_employee_key STRING, vendorid STRING, interaction_starttime STRING,
     language_key STRING, data_source STRING, sales_support_flag STRING,
     incidentlevel2reason STRING, skill_category STRING, first_queue STRING, last_queue STRING,
     agent_path STRING, workday_id STRING, bot_involved_flag STRING, fiscal_qtr STRING,
@@ -18,26 +11,24 @@ CALL_CHAT = _struct(
     agent_handle_time DOUBLE, close_time DOUBLE, no_of_upfront_sla_breach BIGINT,
     no_of_turns_per_conversation BIGINT, no_of_agents BIGINT, agent_tenure_days BIGINT,
     csatscore STRING, cesscore STRING, agentsatisfactionscore STRING, fcrscore STRING"""
-)
 
-EMPLOYEES = _struct("employee_key STRING, employee_name STRING, sub_line_of_business__c STRING")
+EMPLOYEES = "employee_key STRING, employee_name STRING, sub_line_of_business__c STRING"
 
-CLOSED_CASES = _struct("transaction_no STRING, resolution_days DOUBLE, customer_tenure_days DOUBLE")
+CLOSED_CASES = "transaction_no STRING, resolution_days DOUBLE, customer_tenure_days DOUBLE"
 
-PRODUCTIVITY = _struct("employee_key STRING, cal_date STRING, login_time BIGINT, billable_hour BIGINT")
+PRODUCTIVITY = "employee_key STRING, cal_date STRING, login_time BIGINT, billable_hour BIGINT"
 
-HEALTH = _struct("case_key STRING, pred_score INT, model_prob DOUBLE, chs INT")
+HEALTH = "case_key STRING, pred_score INT, model_prob DOUBLE, chs INT"
 
-SNAPSHOT = _struct(
-    """AWSAccountId STRING,
-    CurrentAgentSnapshot STRUCT<
+SNAPSHOT = """
+    AWSAccountId: STRING,
+    CurrentAgentSnapshot: STRUCT<
       AgentStatus: STRUCT<Type: STRING>,
       Configuration: STRUCT<
         Username: STRING,
         RoutingProfile: STRUCT<
           Concurrency: ARRAY<STRUCT<AvailableSlots: INT, MaximumSlots: INT>>>>>"""
-)
 
-SCORECARD = _struct("issue_code STRING, ldap STRING, score DOUBLE")
+SCORECARD = "issue_code STRING, ldap STRING, score DOUBLE"
 
-TEST_REPORT = _struct("attribute STRING, test STRING, statistic DOUBLE, df DOUBLE, p_value DOUBLE")
+TEST_REPORT = "attribute STRING, test STRING, statistic DOUBLE, df DOUBLE, p_value DOUBLE"

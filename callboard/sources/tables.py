@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, where: str, schema: T.StructType | None = None) -> DataFrame:
-    """A parquet folder (anything with a ``/``) or a catalog table, cut to ``schema``."""
+def read_table(spark: SparkSession, where: str, schema: str | None = None) -> DataFrame:
+    """A parquet folder (anything with a ``/``) or a catalog table, cut to ``schema`` (DDL)."""
     if "/" in where:
         reader = spark.read.schema(schema) if schema else spark.read
         return reader.parquet(where)
     df = spark.table(where)
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]) if schema else df
+    if schema is None:
+        return df
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)])
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

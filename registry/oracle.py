@@ -1,3 +1,593 @@
-"""SQL for DuckDB."""
+"""SQL for DuckDB: what each query of ``registry/queries.py`` should return.
+
+Written independently of the Spark code: plain windows, sorts and self-joins, which suit
+small tables only. Every statement reads the whole tables.
+"""
+
+from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+# The stand-ins of registry/standins.py.
+
+_DAY = "(date_diff('day', DATE '1995-01-01', l_shipdate::DATE) % 30 + 1)"
+_SCORE = "CASE WHEN p_size % 5 <> 0 THEN (l_linenumber % 5 + 1)::VARCHAR END"
+_HEALTHY = "((o_orderkey * 7919 + 13) % 100 < 100 * o_totalprice / 500000)::INT"
+
+
+def _key(number: str, day: str) -> str:
+    return f"'E' || {number} || '||CRM||' || CASE WHEN {day} <= 15 THEN '2024-01-01' ELSE '2024-01-16' END"
+
+
+BASE = {
+    "call_chat": f"""
+      SELECT l_orderkey::VARCHAR AS case_key, {_key('l_suppkey', _DAY)} AS latest_employee_key,
+        CASE WHEN l_linenumber < 7 THEN 'V' || l_linenumber END AS vendorid,
+        '2024-01-' || lpad({_DAY}::VARCHAR, 2, '0') || ' 10:11:12' AS interaction_starttime,
+        CASE WHEN l_returnflag = 'N' THEN '11' ELSE '13' END AS language_key,
+        CASE WHEN l_linestatus = 'F' THEN 'LE' ELSE 'SA' END AS data_source,
+        CASE WHEN l_linenumber <= 5 THEN 'Support' ELSE 'Sales' END AS sales_support_flag,
+        p_type AS incidentlevel2reason, p_brand AS skill_category, 'Q' || (p_size % 7) AS first_queue,
+        CASE WHEN l_tax > 0.01::DOUBLE THEN 'Q' || (p_size % 4) END AS last_queue,
+        p_name AS agent_path, 'W' || l_suppkey AS workday_id,
+        CASE WHEN p_size % 2 = 0 THEN 'Y' ELSE 'N' END AS bot_involved_flag,
+        'Q' || quarter(l_shipdate) AS fiscal_qtr,
+        l_quantity * 10 AS wait_time, l_extendedprice / 100 AS complete_duration,
+        CASE WHEN l_tax > 0 THEN l_tax * 1000 END AS avg_response_cust, l_discount * 1000 AS avg_response_agnt,
+        l_extendedprice / l_quantity AS agent_handle_time, p_retailprice AS close_time,
+        (l_linenumber % 3)::BIGINT AS no_of_upfront_sla_breach, l_quantity::BIGINT AS no_of_turns_per_conversation,
+        (l_linenumber % 3 + 1)::BIGINT AS no_of_agents, (p_size * 30)::BIGINT AS agent_tenure_days,
+        {_SCORE} AS csatscore, {_SCORE} AS cesscore,
+        CASE WHEN p_size % 9 = 0 THEN 'n/a' ELSE {_SCORE} END AS agentsatisfactionscore, {_SCORE} AS fcrscore
+      FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "employees": f"""
+      SELECT {_key('s_suppkey', 'd')} AS employee_key, s_name AS employee_name,
+        'LOB' || s_nationkey AS sub_line_of_business__c
+      FROM supplier, (VALUES (1), (16)) AS days(d)""",
+    "closed_cases": """
+      SELECT o_orderkey::VARCHAR AS transaction_no, o_totalprice / 10000 AS resolution_days,
+        date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE AS customer_tenure_days
+      FROM orders""",
+    "productivity": f"""
+      SELECT {_key('user_id', 'day(ts)')} AS employee_key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS cal_date,
+        floor(value * 150)::BIGINT AS login_time, floor(value * 100)::BIGINT AS billable_hour
+      FROM events""",
+    "health": f"""
+      SELECT o_orderkey::VARCHAR AS case_key, {_HEALTHY} AS pred_score,
+        CASE WHEN o_orderkey % 10 <> 3 THEN o_totalprice / 500000 END AS model_prob, 2 * {_HEALTHY} - 1 AS chs
+      FROM orders, generate_series(1, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END)
+      UNION ALL
+      SELECT o_orderkey::VARCHAR, {_HEALTHY}, CASE WHEN o_orderkey % 10 <> 3 THEN o_totalprice / 500000 END,
+        1 - 2 * {_HEALTHY}
+      FROM orders WHERE o_orderkey % 11 = 0""",
+}
+
+_CASE_COLUMNS = """case_key, incidentlevel2reason, wait_time, complete_duration,
+  avg_response_cust, avg_response_agnt, agent_handle_time, close_time, no_of_upfront_sla_breach,
+  no_of_turns_per_conversation, no_of_agents, agent_tenure_days, csatscore, cesscore, agentsatisfactionscore,
+  fcrscore, fiscal_qtr, resolution_days, customer_tenure_days, employee_key, employee_name, sub_line_of_business__c"""
+
+STEPS = BASE | {
+    "facts": """
+      SELECT * FROM call_chat JOIN employees ON employee_key = latest_employee_key
+        JOIN closed_cases ON case_key = transaction_no
+      WHERE language_key = '13' AND data_source = 'LE' AND sales_support_flag = 'Support'""",
+    "facts_older": """
+      SELECT * FROM call_chat JOIN employees ON employee_key = latest_employee_key
+        JOIN closed_cases ON case_key = transaction_no
+      WHERE language_key = '13' AND data_source = 'LE'""",
+    "with_health": """
+      SELECT facts.*, h.pred_score, h.model_prob FROM facts JOIN (SELECT DISTINCT * FROM health) h USING (case_key)""",
+    "days": """
+      SELECT coalesce(c.latest_employee_key, h.employee_key) AS latest_employee_key, coalesce(c.day, h.day) AS day,
+        number_cases::DOUBLE AS number_cases, day_working_hours, day_billable_hour,
+        CASE WHEN day_billable_hour <> 0 THEN number_cases / day_billable_hour END AS "CPH"
+      FROM (SELECT latest_employee_key, interaction_starttime[1:10]::DATE AS day, count(vendorid) AS number_cases
+            FROM call_chat GROUP BY ALL) c
+      RIGHT JOIN (SELECT employee_key, cal_date[1:10]::DATE AS day, sum(login_time)::DOUBLE / 3600 AS day_working_hours,
+                    sum(billable_hour)::DOUBLE / 3600 AS day_billable_hour
+                  FROM productivity
+                  WHERE NOT regexp_matches(cal_date, '2022-0[3456]') GROUP BY ALL) h
+        ON c.latest_employee_key = h.employee_key AND c.day = h.day""",
+    "agents": r"""
+      SELECT regexp_replace(latest_employee_key, '\|\|[^|]*$', '') AS new_employee_key,
+        median(day_working_hours) AS day_working_hours, median(day_billable_hour) AS day_billable_hour,
+        median("CPH") AS "CPH", sum(number_cases) AS number_cases
+      FROM days WHERE "CPH" <= 10 GROUP BY 1""",
+    "agents_older": """
+      SELECT latest_employee_key, avg(day_working_hours) AS day_working_hours,
+        avg(day_billable_hour) AS day_billable_hour, avg("CPH") AS "CPH", avg(number_cases) AS number_cases
+      FROM days WHERE "CPH" <= 10 GROUP BY 1""",
+    "all_cases": r"""
+      SELECT w.* EXCLUDE (csatscore), csatscore::DOUBLE AS csatscore, new_employee_key, counting, day_working_hours,
+        day_billable_hour, "CPH", number_cases,
+        CASE WHEN model_prob <= 0.35::DOUBLE THEN 0 WHEN model_prob < 0.7::DOUBLE THEN 1
+             WHEN model_prob >= 0.7::DOUBLE THEN 2 END AS sign
+      FROM with_health w
+      JOIN (SELECT employee_name, incidentlevel2reason, count(case_key) AS counting FROM with_health GROUP BY ALL)
+        USING (employee_name, incidentlevel2reason)
+      JOIN agents ON regexp_replace(w.employee_key, '\|\|[^|]*$', '') = new_employee_key""",
+    "all_cases_older": """
+      SELECT f.* EXCLUDE (csatscore), csatscore::DOUBLE AS csatscore,
+        CASE h.chs WHEN 1 THEN 1 WHEN -1 THEN 0 END AS chs, day_working_hours, day_billable_hour, "CPH"
+      FROM facts_older f JOIN health h USING (case_key) JOIN agents_older a ON f.employee_key = a.latest_employee_key""",
+    "scored": "SELECT *, avg_response_agnt / 10 + wait_time / 50 AS score FROM with_health",
+    "final": """
+      SELECT employee_name, sub_line_of_business__c, incidentlevel2reason, round(avg(score), 6) AS score,
+        count(pred_score) AS count
+      FROM scored GROUP BY ALL""",
+    "lines": """
+      SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""",
+    "routing": """
+      SELECT p_type AS issue_code, s_name AS ldap, round(avg(l_discount), 6) AS score FROM lines GROUP BY ALL""",
+    "available": "SELECT s_name AS ldap FROM supplier WHERE s_acctbal > 5000",
+    "states": """
+      SELECT 'agent' || user_id AS ldap, date_trunc('hour', ts) AS h,
+        arg_max(event_type IN ('click', 'view') AND (props->>'k')::INT % 3 > 0, (ts, event_id)) AS available
+      FROM events GROUP BY ALL""",
+}
+
+
+def sql(query: str, **more: str) -> str:
+    """``query`` with the steps it needs in front, in the order they are defined."""
+    steps = STEPS | more
+    needed: set[str] = set()
+
+    def need(text: str) -> None:
+        words = set(text.replace("(", " ").replace(")", " ").replace(",", " ").replace(".", " ").split())
+        for name in steps:
+            if name in words and name not in needed:
+                needed.add(name)
+                need(steps[name])
+
+    need(query)
+    head = ",\n".join(f"{name} AS MATERIALIZED ({text})" for name, text in steps.items() if name in needed)
+    return f"WITH RECURSIVE {head}\n{query}" if head else query
+
+
+def _rounded(*columns: str, digits: int = 6) -> str:
+    return ", ".join(f'round("{c}", {digits}) AS "{c}"' for c in columns)
+
+
+_MEASURES = ("day_working_hours", "day_billable_hour", "CPH", "number_cases")
+
+ORACLE["agent_day_productivity"] = sql(
+    f"SELECT latest_employee_key, day, number_cases, {_rounded(*_MEASURES[:3])} FROM days"
+)
+ORACLE["agent_rollup_median"] = sql(f"SELECT new_employee_key, {_rounded(*_MEASURES)} FROM agents")
+ORACLE["agent_rollup_mean"] = sql(f"SELECT latest_employee_key, {_rounded(*_MEASURES)} FROM agents_older")
+ORACLE["exclude_months"] = sql(
+    "SELECT * FROM productivity WHERE NOT (cal_date LIKE '%2024-01-0%' OR cal_date LIKE '%2024-01-2%')"
+)
+ORACLE["case_facts"] = sql(
+    f"SELECT {_CASE_COLUMNS}, agent_path, skill_category, first_queue, last_queue, workday_id, bot_involved_flag FROM facts"
+)
+ORACLE["case_facts_older"] = sql(f"SELECT {_CASE_COLUMNS} FROM facts_older")
+ORACLE["key_strip_version"] = sql(
+    """SELECT latest_employee_key, count(*) AS n,
+         split_part(latest_employee_key, '||', 1) || '||' || split_part(latest_employee_key, '||', 2) AS new_employee_key
+       FROM call_chat GROUP BY ALL"""
+)
+ORACLE["dedup_then_join"] = sql("SELECT case_key, pred_score, model_prob, count(*) AS n FROM with_health GROUP BY ALL")
+ORACLE["issue_case_count"] = sql(
+    "SELECT employee_name, incidentlevel2reason, count(case_key) AS counting FROM facts GROUP BY ALL"
+)
+ORACLE["issue_case_count_joined"] = sql(
+    """SELECT case_key, employee_name, incidentlevel2reason, wait_time,
+         count(case_key) OVER (PARTITION BY employee_name, incidentlevel2reason) AS counting FROM facts"""
+)
+ORACLE["model_frame"] = sql(
+    f"""SELECT case_key, new_employee_key, pred_score, model_prob, sign, counting, number_cases,
+          {_rounded(*_MEASURES[:3])}, csatscore, wait_time FROM all_cases"""
+)
+ORACLE["model_frame_older"] = sql(
+    f"SELECT case_key, employee_key, chs, {_rounded(*_MEASURES[:3])}, csatscore, wait_time FROM all_cases_older"
+)
+
+# Labels and descriptive tables.
+
+_BAND = """CASE WHEN model_prob <= 0.35::DOUBLE THEN 0 WHEN model_prob < 0.7::DOUBLE THEN 1
+             WHEN model_prob >= 0.7::DOUBLE THEN 2 END"""
+ORACLE["score_band_filter"] = sql(
+    f"""SELECT pred_score, count(*) AS count FROM (SELECT DISTINCT * FROM health)
+        WHERE {_BAND} IS DISTINCT FROM 1 GROUP BY ALL"""
+)
+ORACLE["band_frequencies"] = sql(
+    f"SELECT {_BAND} AS sign, count(*) AS count FROM health WHERE model_prob IS NOT NULL GROUP BY ALL"
+)
+ORACLE["label_recode"] = """SELECT doc_id, quality - toxic AS chs,
+  CASE quality - toxic WHEN 1 THEN 1 WHEN -1 THEN 0 END AS label FROM labels"""
+ORACLE["survey_scores_cast"] = sql(
+    """SELECT agentsatisfactionscore, count(TRY_CAST(agentsatisfactionscore AS DOUBLE)) AS n,
+         sum(TRY_CAST(agentsatisfactionscore AS DOUBLE)) AS total FROM call_chat GROUP BY ALL"""
+)
+NUMERIC = ("wait_time", "complete_duration", "avg_response_cust", "no_of_agents", "resolution_days")
+CATEGORICAL = ("skill_category", "employee_name", "last_queue")
+ORACLE["attribute_means_by_label"] = sql(
+    f"SELECT pred_score, {', '.join(f'round(avg({c}), 6) AS {c}' for c in NUMERIC)} FROM with_health GROUP BY ALL"
+)
+ORACLE["label_crosstab"] = sql(
+    """SELECT pred_score, count(*) FILTER (no_of_agents = 1) AS "1", count(*) FILTER (no_of_agents = 2) AS "2",
+         count(*) FILTER (no_of_agents = 3) AS "3" FROM with_health GROUP BY ALL"""
+)
+ORACLE["label_crosstab_cells"] = sql(
+    "SELECT pred_score, skill_category, count(*) AS count FROM with_health GROUP BY ALL"
+)
+ORACLE["histogram_50"] = sql(
+    """SELECT population, b::INT AS bin, round(lo + (b - 1) * (hi - lo) / 50, 6) AS lower,
+         round(lo + b * (hi - lo) / 50, 6) AS upper,
+         (SELECT count(*) FROM members m WHERE m.population = e.population
+            AND least(floor(50 * (x - lo) / (hi - lo)) + 1, 50) = b) AS count
+       FROM (SELECT population, min(x) AS lo, max(x) AS hi FROM members GROUP BY ALL) e, generate_series(1, 50) AS g(b)""",
+    members="""
+      SELECT 'all' AS population, model_prob AS x FROM with_health WHERE model_prob IS NOT NULL
+      UNION ALL SELECT 'bad', model_prob FROM with_health WHERE model_prob IS NOT NULL AND pred_score = 0
+      UNION ALL SELECT 'no_csat', model_prob FROM with_health WHERE model_prob IS NOT NULL AND csatscore IS NULL""",
+)
+
+# Tests. The p-values are the densities integrated by Simpson's rule.
+
+_STEPS_OF_INTEGRAL = 4000
+
+
+def _integral(density: str, upto: str) -> str:
+    return f"""(SELECT sum({density} * CASE WHEN i IN (0, {_STEPS_OF_INTEGRAL}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                  * {upto} / {_STEPS_OF_INTEGRAL} / 3
+                FROM (SELECT i, i * {upto} / {_STEPS_OF_INTEGRAL} AS u FROM generate_series(0, {_STEPS_OF_INTEGRAL}) AS g(i)))"""
+
+
+_T_DENSITY = """exp(lgamma((df + 1) / 2) - lgamma(df / 2) - ln(df * pi()) / 2 - (df + 1) / 2 * ln(1 + u * u / df))"""
+_CHI_DENSITY = "2 * pow(u, df - 1) * exp(-u * u / 2 - df / 2 * ln(2) - lgamma(df / 2))"
+
+
+def _t_results(attributes: tuple[str, ...], source: str) -> str:
+    one = """SELECT '{a}' AS attribute, 't' AS test,
+        (avg({a}) FILTER (pred_score = 0) - avg({a}) FILTER (pred_score = 1)) / sqrt(
+          (var_samp({a}) FILTER (pred_score = 0) * (count({a}) FILTER (pred_score = 0) - 1)
+           + var_samp({a}) FILTER (pred_score = 1) * (count({a}) FILTER (pred_score = 1) - 1)) / (count({a}) - 2)
+          * (1 / (count({a}) FILTER (pred_score = 0)) + 1 / (count({a}) FILTER (pred_score = 1)))) AS statistic,
+        (count({a}) - 2)::DOUBLE AS df
+      FROM {source}"""
+    return " UNION ALL ".join(one.format(a=a, source=source) for a in attributes)
+
+
+def _chi_results(attributes: tuple[str, ...], source: str) -> str:
+    one = """SELECT '{a}' AS attribute, 'chi_square' AS test,
+        sum(pow(CASE WHEN freedom = 1 THEN greatest(abs(o - e) - 0.5, 0) ELSE abs(o - e) END, 2) / e) AS statistic,
+        any_value(freedom)::DOUBLE AS df
+      FROM (SELECT l.g, v.value, r * c / total AS e,
+              (SELECT count(*) FROM {source} s WHERE s.pred_score = l.g AND s.{a} = v.value) AS o,
+              (count(DISTINCT l.g) OVER () - 1) * (count(DISTINCT v.value) OVER () - 1) AS freedom
+            FROM (SELECT pred_score AS g, count({a}) AS r FROM {source} GROUP BY 1) l,
+                 (SELECT {a} AS value, count(*) AS c FROM {source} WHERE {a} IS NOT NULL GROUP BY 1) v,
+                 (SELECT count({a})::DOUBLE AS total FROM {source}))"""
+    return " UNION ALL ".join(one.format(a=a, source=source) for a in attributes)
+
+
+def _with_p(results: str) -> str:
+    return f"""SELECT attribute, test, round(statistic, 6) AS statistic, df,
+        abs(round(greatest(CASE test
+          WHEN 't' THEN 1 - 2 * {_integral(_T_DENSITY, 'abs(statistic)')}
+          ELSE 1 - {_integral(_CHI_DENSITY, 'sqrt(statistic)')} END, 0), 6)) AS p_value
+      FROM ({results})"""
+
+
+_CSAT = {"csat_health": "SELECT * REPLACE (csatscore::DOUBLE AS csatscore) FROM with_health"}
+ORACLE["t_test"] = sql(_with_p(_t_results((*NUMERIC, "csatscore"), "csat_health")), **_CSAT)
+ORACLE["chi_square"] = sql(_with_p(_chi_results(("skill_category",), "with_health")))
+ORACLE["chi_square_corrected"] = sql(_with_p(_chi_results(("bot_involved_flag",), "with_health")))
+ORACLE["expected_cells"] = sql(
+    """SELECT 'skill_category' AS attribute, skill_category AS value, g::INT AS label,
+         count(*) FILTER (pred_score = g) AS observed,
+         round((SELECT count(*) FROM with_health w WHERE w.pred_score = g) * count(*)
+               / (SELECT count(*) FROM with_health)::DOUBLE, 6) AS expected
+       FROM with_health, (VALUES (0), (1)) AS labels_(g) GROUP BY skill_category, g"""
+)
+_MEASURED = (
+    "wait_time", "complete_duration", "avg_response_cust", "avg_response_agnt", "agent_handle_time", "close_time",
+    "no_of_upfront_sla_breach", "no_of_turns_per_conversation", "agent_tenure_days", "resolution_days",
+    "customer_tenure_days", "day_working_hours", "day_billable_hour", '"CPH"',
+)
+ORACLE["ab_report"] = sql(
+    _with_p(
+        _t_results(_MEASURED, "all_cases").replace("'\"CPH\"'", "'CPH'")
+        + " UNION ALL "
+        + _chi_results(("no_of_agents", "csatscore"), "all_cases")
+    )
+)
+
+# Scorecard.
+
+_IS_TEST = "(('0x' || substr(md5(case_key), 1, 4))::BIGINT % 5 < 1)"
+ORACLE["hash_split"] = sql(f"SELECT case_key, {_IS_TEST} AS test, count(*) AS n FROM call_chat GROUP BY ALL")
+
+
+def binning_steps(
+    numeric: tuple[str, ...], categorical: tuple[str, ...], source: str, smallest: float = 0.05, trend: bool = True
+) -> dict[str, str]:
+    """Steps ending in ``bins``: variable, bin, lower, upper, n, events."""
+    rows = [f"SELECT '{c}' AS v, {c}::DOUBLE AS x, NULL::VARCHAR AS category, pred_score AS y FROM {source}" for c in numeric]
+    rows += [
+        f"""SELECT '{c}' AS v, CASE WHEN {c} IS NOT NULL THEN sum(pred_score) OVER (PARTITION BY {c})
+              / count(*) OVER (PARTITION BY {c})::DOUBLE END AS x, {c} AS category, pred_score AS y FROM {source}"""
+        for c in categorical
+    ]
+    steps = {
+        "long_rows": " UNION ALL ".join(rows),
+        "cuts": """
+          SELECT v, list(DISTINCT x) AS cuts FROM (
+            SELECT v, x, row_number() OVER (PARTITION BY v ORDER BY x) AS place, count(*) OVER (PARTITION BY v) AS n
+            FROM long_rows WHERE x IS NOT NULL)
+          WHERE place IN (SELECT k * n // 20 + 1 FROM generate_series(1, 19) AS g(k)) GROUP BY v""",
+        "prebins": """
+          SELECT v, CASE WHEN x IS NULL THEN -1 ELSE len(list_filter(cuts, lambda c: c <= x)) END AS prebin, count(*) AS n,
+            sum(y)::BIGINT AS events
+          FROM long_rows JOIN cuts USING (v) GROUP BY ALL""",
+        "known": """
+          SELECT v, n, events, row_number() OVER (PARTITION BY v ORDER BY prebin) AS i,
+            sum(n) OVER (PARTITION BY v) AS total,
+            CASE WHEN prebin > 0 THEN list_sort(cuts)[prebin] ELSE '-inf'::DOUBLE END AS lower
+          FROM prebins JOIN cuts USING (v) WHERE prebin >= 0""",
+        "scan": f"""
+          SELECT v, i, 0 AS g, n AS cn, events AS ce, total, lower, n, events FROM known WHERE i = 1
+          UNION ALL
+          SELECT k.v, k.i, CASE WHEN full_ THEN s.g + 1 ELSE s.g END, CASE WHEN full_ THEN k.n ELSE s.cn + k.n END,
+            CASE WHEN full_ THEN k.events ELSE s.ce + k.events END, k.total, k.lower, k.n, k.events
+          FROM (SELECT *, cn >= {smallest}::DOUBLE * total AND ce > 0 AND ce < cn AS full_ FROM scan) s
+            JOIN known k ON k.v = s.v AND k.i = s.i + 1""",
+        "large": f"""
+          SELECT v, g2 AS b, min(lower) AS lower, sum(n)::BIGINT AS n, sum(events)::BIGINT AS events
+          FROM (SELECT scan.*, CASE WHEN g = last_g AND NOT last_full AND g > 0 THEN g - 1 ELSE g END AS g2
+                FROM scan JOIN (SELECT v, arg_max(g, i) AS last_g,
+                                  arg_max(cn >= {smallest}::DOUBLE * total AND ce > 0 AND ce < cn, i) AS last_full
+                                FROM scan GROUP BY v) USING (v))
+          GROUP BY ALL""",
+        "sums": """
+          SELECT v, b, lower, n, events, sum(n) OVER w AS cum_n, sum(events) OVER w AS cum_e
+          FROM large WINDOW w AS (PARTITION BY v ORDER BY b)""",
+        "spans": """
+          SELECT s.v, s.b, j.b AS jb, (k.cum_e - j.cum_e + j.events) / (k.cum_n - j.cum_n + j.n)::DOUBLE AS rate
+          FROM sums s JOIN sums j ON j.v = s.v AND j.b <= s.b JOIN sums k ON k.v = s.v AND k.b >= s.b""",
+        "isotonic": """
+          SELECT v, b, 0 AS way, max(rate) AS level FROM
+            (SELECT v, b, jb, min(rate) AS rate FROM spans GROUP BY ALL) GROUP BY v, b
+          UNION ALL
+          SELECT v, b, 1, min(rate) FROM (SELECT v, b, jb, max(rate) AS rate FROM spans GROUP BY ALL) GROUP BY v, b""",
+        "pooled": """
+          SELECT v, way, level, min(lower) AS lower, sum(n)::BIGINT AS n, sum(events)::BIGINT AS events
+          FROM isotonic JOIN large USING (v, b) GROUP BY ALL""",
+        "chosen": """
+          SELECT v, arg_max(way, (iv, -way)) AS way FROM (
+            SELECT v, way, sum(CASE WHEN events > 0 AND n > events
+                THEN ((n - events) / tn - events / te) * ln(((n - events) / tn) / (events / te)) ELSE 0 END) AS iv
+            FROM (SELECT *, sum(n - events) OVER (PARTITION BY v, way) AS tn,
+                    sum(events) OVER (PARTITION BY v, way) AS te FROM pooled) GROUP BY ALL) GROUP BY v""",
+        "joined": (
+            "SELECT v, lower, n, events FROM pooled JOIN chosen USING (v, way)"
+            if trend
+            else "SELECT v, lower, n, events FROM large"
+        ),
+        "bins": """
+          SELECT v AS variable, (row_number() OVER w - 1)::INT AS bin,
+            CASE WHEN row_number() OVER w = 1 THEN '-inf'::DOUBLE ELSE lower END AS lower,
+            coalesce(lead(lower) OVER w, 'inf'::DOUBLE) AS upper, n, events
+          FROM joined WINDOW w AS (PARTITION BY v ORDER BY lower)
+          UNION ALL SELECT v, -1, NULL, NULL, n, events FROM prebins WHERE prebin = -1""",
+        "evidence": """
+          SELECT *, n / sum(n) OVER e AS share, n - events AS non_events, events / n AS event_rate,
+            CASE WHEN events > 0 AND n > events THEN ln(p / q) ELSE 0 END AS woe,
+            CASE WHEN events > 0 AND n > events THEN (p - q) * ln(p / q) ELSE 0 END AS iv,
+            CASE WHEN events > 0 AND n > events
+              THEN (p * ln(2 * p / (p + q)) + q * ln(2 * q / (p + q))) / 2 ELSE 0 END AS js
+          FROM (SELECT *, (n - events) / sum(n - events) OVER e AS p, events / sum(events) OVER e AS q
+                FROM bins WINDOW e AS (PARTITION BY variable))
+          WINDOW e AS (PARTITION BY variable)""",
+    }
+    return steps
+
+
+_EVIDENCE_COLUMNS = """variable, bin, CASE WHEN isfinite(lower) THEN round(lower, 6) END AS lower,
+  CASE WHEN isfinite(upper) THEN round(upper, 6) END AS upper, n, events, non_events,
+  round(share, 6) AS share, round(event_rate, 6) AS event_rate, round(woe, 6) AS woe, round(iv, 6) AS iv,
+  round(js, 6) AS js"""
+
+ORACLE["woe_iv_prebins"] = sql(
+    f"SELECT {_EVIDENCE_COLUMNS} FROM evidence", **binning_steps(NUMERIC, (), "with_health", 0.0, False)
+)
+ORACLE["woe_iv_numeric"] = sql(f"SELECT {_EVIDENCE_COLUMNS} FROM evidence", **binning_steps(NUMERIC, (), "with_health"))
+ORACLE["woe_iv_categorical"] = sql(
+    f"SELECT {_EVIDENCE_COLUMNS} FROM evidence", **binning_steps((), CATEGORICAL, "with_health")
+)
+ORACLE["iv_selection"] = sql(
+    """SELECT variable, round(sum(iv), 6) AS iv FROM evidence GROUP BY variable
+       HAVING sum(iv) BETWEEN 0.005 AND 0.5""",
+    **binning_steps(NUMERIC, CATEGORICAL, "with_health"),
+)
+
+
+def _newton(names: list[str], c: float, rounds: int) -> dict[str, str]:
+    """Steps ``w0 .. w<rounds>``: minimise |w|^2 / 2 + c * loss over rows of ``combos`` (y, m, names)."""
+    k = len(names)
+    x = ["1", *names]
+    steps = {"w0": "SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(k + 1))}
+    for r in range(rounds):
+        logit = " + ".join(f"b{i} * {x[i]}" for i in range(k + 1))
+        moments = [
+            f"{c} * sum(m * (p - y) * {x[i]}) + {'any_value(b%d)' % i if i else '0'} AS a{i}_{k + 1}" for i in range(k + 1)
+        ]
+        moments += [
+            f"{c} * sum(m * p * (1 - p) * {x[i]} * {x[j]}) + {1 if i == j and i else 0} AS a{i}_{j}"
+            for i in range(k + 1)
+            for j in range(k + 1)
+        ]
+        keep = ", ".join(f"any_value(b{i}) AS b{i}" for i in range(k + 1))
+        text = f"""SELECT {', '.join(moments)}, {keep}
+            FROM (SELECT *, 1 / (1 + exp(-({logit}))) AS p FROM combos, w{r})"""
+        # Gauss-Jordan elimination, one column at a time.
+        for col in range(k + 1):
+            new = []
+            for i in range(k + 1):
+                for j in range(k + 2):
+                    pivot = f"a{col}_{j} / a{col}_{col}"
+                    new.append(f"{pivot if i == col else f'a{i}_{j} - a{i}_{col} * {pivot}'} AS a{i}_{j}")
+            text = f"SELECT {', '.join(new)}, {', '.join(f'b{i}' for i in range(k + 1))} FROM ({text})"
+        steps[f"w{r + 1}"] = f"SELECT {', '.join(f'b{i} - a{i}_{k + 1} AS b{i}' for i in range(k + 1))} FROM ({text})"
+    return steps
+
+
+def scorecard_steps(numeric: tuple[str, ...], categorical: tuple[str, ...], rounds: int = 8) -> dict[str, str]:
+    """Steps ending in ``detailed``: the evidence of each bin with coefficient and points."""
+    variables = [*numeric, *categorical]
+    steps = {"train": f"SELECT * FROM with_health WHERE NOT {_IS_TEST}"}
+    steps |= binning_steps(numeric, categorical, "train")
+    woe = {
+        c: f"""coalesce((SELECT woe FROM evidence e WHERE e.variable = '{c}' AND e.bin >= 0
+                         AND {c} >= e.lower AND {c} < e.upper), 0)"""
+        for c in numeric
+    }
+    woe |= {
+        c: f"""coalesce((SELECT woe FROM evidence e JOIN rates r ON r.v = e.variable
+                         WHERE e.variable = '{c}' AND r.category = {c} AND e.bin >= 0
+                           AND r.x >= e.lower AND r.x < e.upper), 0)"""
+        for c in categorical
+    }
+    distinct = ", ".join(variables)
+    steps["rates"] = "SELECT DISTINCT v, category, x FROM long_rows WHERE category IS NOT NULL"
+    steps["counted"] = f"SELECT {distinct}, pred_score AS y, count(*) AS m FROM train GROUP BY ALL"
+    steps["combos"] = f"""SELECT y, {', '.join(f'woe_{i}' for i in range(len(variables)))}, sum(m)::DOUBLE AS m
+      FROM (SELECT y, m, {', '.join(f'{woe[v]} AS woe_{i}' for i, v in enumerate(variables))} FROM counted) GROUP BY ALL"""
+    steps |= _newton([f"woe_{i}" for i in range(len(variables))], 5.0, rounds)
+    steps["weights"] = " UNION ALL ".join(
+        f"SELECT '{v}' AS variable, b{i + 1} AS coefficient FROM w{rounds}" for i, v in enumerate(variables)
+    )
+    steps["parts"] = """
+      SELECT variable, bin, lower, upper, n, share, non_events, events, event_rate, woe, iv, js, coefficient,
+        coefficient * CASE WHEN bin < 0 THEN 0 ELSE woe END AS part
+      FROM evidence JOIN weights USING (variable)
+      UNION ALL
+      SELECT variable, -1, NULL, NULL, 0, 0, 0, 0, NULL, 0, 0, 0, coefficient, 0 FROM weights
+      WHERE variable NOT IN (SELECT variable FROM evidence WHERE bin = -1)"""
+    steps["ends"] = "SELECT variable, min(part) AS lo, max(part) AS hi FROM parts GROUP BY variable"
+    steps["detailed"] = """
+      SELECT parts.*, 100 / (SELECT sum(hi - lo) FROM ends) * (part - lo) AS points
+      FROM parts JOIN ends USING (variable)"""
+    return steps
+
+
+_MODEL = (("resolution_days", "avg_response_cust"), ("skill_category",))
+ORACLE["scorecard_table"] = sql(
+    f"""SELECT {_EVIDENCE_COLUMNS}, round(coefficient, 4) AS coefficient, round(points, 4) AS points FROM detailed""",
+    **scorecard_steps(*_MODEL),
+)
+
+
+def _points(variable: str, numeric: bool) -> str:
+    inside = (
+        f"{variable} >= d.lower AND {variable} < d.upper"
+        if numeric
+        else f"""d.lower <= (SELECT x FROM rates r WHERE r.v = '{variable}' AND r.category = {variable})
+                 AND d.upper > (SELECT x FROM rates r WHERE r.v = '{variable}' AND r.category = {variable})"""
+    )
+    return f"""coalesce((SELECT points FROM detailed d WHERE d.variable = '{variable}' AND d.bin >= 0 AND {inside}),
+                        (SELECT points FROM detailed d WHERE d.variable = '{variable}' AND d.bin = -1))"""
+
+
+ORACLE["scorecard_scores"] = sql(
+    f"""SELECT case_key, resolution_days, avg_response_cust, skill_category, round(score, 3) AS score
+        FROM with_health JOIN (
+          SELECT resolution_days AS r, avg_response_cust AS a, skill_category AS s,
+            {' + '.join([_points(v, True) for v in _MODEL[0]] + [_points(v, False) for v in _MODEL[1]])} AS score
+          FROM (SELECT DISTINCT resolution_days, avg_response_cust, skill_category FROM with_health))
+        ON resolution_days = r AND avg_response_cust IS NOT DISTINCT FROM a AND skill_category = s""",
+    **scorecard_steps(*_MODEL),
+)
+
+_CURVE = """
+  SELECT score, positives, negatives, sum(positives) OVER w AS tp, sum(negatives) OVER w AS fp,
+    sum(positives) OVER w / sum(positives) OVER ()::DOUBLE AS tpr,
+    sum(negatives) OVER w / sum(negatives) OVER ()::DOUBLE AS fpr
+  FROM (SELECT {score}::DOUBLE AS score, sum({label})::BIGINT AS positives, sum(1 - {label})::BIGINT AS negatives
+        FROM {source} GROUP BY 1)
+  WINDOW w AS (ORDER BY score DESC)"""
+ORACLE["roc_curve"] = sql(
+    """SELECT score, positives, negatives, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr
+       FROM points""",
+    points=_CURVE.format(score="resolution_days", label="pred_score", source="with_health"),
+)
+ORACLE["roc_auc"] = sql(
+    """SELECT round(sum((g.fpr - coalesce(g.before_f, 0)) * (g.tpr + coalesce(g.before_t, 0)) / 2), 6) AS auc,
+         sum(positives)::BIGINT AS n_positive, sum(negatives)::BIGINT AS n_negative
+       FROM (SELECT *, lag(fpr) OVER (ORDER BY score DESC) AS before_f, lag(tpr) OVER (ORDER BY score DESC) AS before_t
+             FROM points) g""",
+    points=_CURVE.format(score="resolution_days", label="pred_score", source="with_health"),
+)
+ORACLE["ks"] = sql(
+    "SELECT round(abs(tpr - fpr), 6) AS ks, score FROM points ORDER BY abs(tpr - fpr) DESC, score DESC LIMIT 1",
+    points=_CURVE.format(score="n_chars", label="quality", source="documents JOIN labels USING (doc_id)"),
+)
+ORACLE["running_sum"] = """
+  SELECT price, n, sum(n) OVER (ORDER BY price)::BIGINT AS n_running
+  FROM (SELECT l_extendedprice AS price, count(*) AS n FROM lineitem GROUP BY 1)"""
+
+# Final scores.
+
+ORACLE["final_score"] = sql("SELECT * FROM final")
+ORACLE["final_score_pivot"] = sql(
+    "SELECT employee_name, sub_line_of_business__c, "
+    + ", ".join(
+        f"max(score) FILTER (incidentlevel2reason = '{i}') AS \"{i}\""
+        for i in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+    )
+    + " FROM final GROUP BY ALL"
+)
+ORACLE["exported_scores"] = ORACLE["final_score"]
+
+# Snapshots.
+
+ORACLE["json_repair_explode"] = """
+  SELECT event_id, 0 AS position, event_id::VARCHAR AS account, 'agent' || user_id AS ldap,
+    event_type IN ('click', 'view') AND (props->>'k')::INT % 3 > 0 AS available FROM events
+  UNION ALL
+  SELECT event_id, 1, (event_id + 1)::VARCHAR, 'agent' || user_id || '}{x', event_type NOT IN ('click', 'view') FROM events"""
+ORACLE["snapshot_pieces"] = sql("SELECT strftime(h, '%Y/%m/%d/%H') AS hour, ldap, available FROM states")
+ORACLE["latest_file_available"] = sql(
+    "SELECT ldap FROM states WHERE h = (SELECT date_trunc('hour', max(ts)) FROM events) AND available"
+)
+ORACLE["availability_stream"] = sql(
+    """SELECT ldap, strftime(max(h), '%Y/%m/%d/%H') AS hour, arg_max(available, h) AS available
+       FROM states GROUP BY ldap"""
+)
+
+# Routing.
+
+ORACLE["best_available_agent"] = sql(
+    """SELECT issue_code, coalesce(best, 'Not Found') AS ldap
+       FROM (SELECT p_type AS issue_code FROM part UNION SELECT o_orderpriority FROM orders)
+       LEFT JOIN (SELECT issue_code, arg_min(ldap, (-score, ldap)) AS best FROM routing JOIN available USING (ldap)
+                  GROUP BY issue_code) USING (issue_code)"""
+)
+ORACLE["best_agent_for_one_issue"] = sql(
+    """SELECT ldap FROM routing JOIN available USING (ldap) WHERE issue_code = 'PROMO'
+       ORDER BY score DESC, ldap LIMIT 1"""
+)
+ORACLE["agents_for_issue"] = sql("SELECT * FROM routing WHERE issue_code = 'SMALL'")
+ORACLE["scorecard_upsert"] = sql(
+    """SELECT coalesce(c.issue_code, w.issue_code) AS issue_code, coalesce(c.ldap, w.ldap) AS ldap,
+         coalesce(w.score, c.score) AS score
+       FROM (SELECT * FROM routing
+             UNION ALL SELECT p_brand, s_name, min(l_extendedprice) FROM lines GROUP BY ALL) c
+       FULL JOIN (SELECT p_brand AS issue_code, s_name AS ldap,
+                    arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_extendedprice)) AS score
+                  FROM lines WHERE l_returnflag = 'R' GROUP BY ALL) w USING (issue_code, ldap)"""
+)
+ORACLE["scorecard_save"] = sql(
+    """SELECT issue_code, ldap,
+         CASE WHEN issue_code = 'PROMO' AND ldap IN (SELECT ldap FROM available) THEN 1.5 ELSE score END::DOUBLE AS score
+       FROM routing
+       UNION ALL SELECT 'PROMO', ldap, 1.5 FROM available
+       WHERE ldap NOT IN (SELECT ldap FROM routing WHERE issue_code = 'PROMO')"""
+)
+ORACLE["agents_as_json"] = sql(
+    """SELECT '{"issue_code":"' || issue_code || '","ldap":"' || ldap || '","score":"' || printf('%.6f', score) || '"}' AS body
+       FROM routing"""
+)

@@ -78,15 +78,14 @@ def _with_health(spark, sf):
 
 @query
 def case_facts(spark, sf):
-    return rounded(_facts(spark, sf), "agent_handle_time", "avg_response_cust", "avg_response_agnt")
+    return _facts(spark, sf)
 
 
 @query
 def case_facts_older(spark, sf):
-    older = cases.case_facts(
+    return cases.case_facts(
         s.call_chat(spark, sf), s.employees(spark, sf), s.closed_cases(spark, sf), support_only=False, queues=False
     )
-    return rounded(older, "agent_handle_time", "avg_response_cust", "avg_response_agnt")
 
 
 @query
@@ -319,7 +318,7 @@ def final_score(spark, sf):
 @query
 def final_score_pivot(spark, sf):
     scores = final_scores.final_score(_scored(spark, sf))
-    issues = ["ECONOMY", "LARGE", "PROMO", "SMALL", "STANDARD"]
+    issues = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     return rounded(final_scores.pivoted(scores, issues), *issues)
 
 

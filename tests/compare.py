@@ -1,0 +1,82 @@
+"""Run a query and its SQL on the same tables and compare rows, columns and types."""
+
+from __future__ import annotations
+
+import datetime
+import sys
+import time
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+TABLES = """region nation customer supplier part orders lineitem events documents embeddings pages benchmark
+labels conversations""".split()
+
+KINDS = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
+}
+
+
+def connection(folder: str):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return con
+
+
+def _plain(value):
+    if isinstance(value, float) and value == 0:
+        return 0.0
+    if isinstance(value, datetime.datetime):
+        return value.replace(tzinfo=None)
+    return value
+
+
+def differences(df, con, sql: str) -> list[str]:
+    """What differs; nothing for equal results."""
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    kinds = {d[0]: str(d[1]) for d in found.description}
+    rows = found.fetchall()
+    columns = sorted(df.columns)
+    if columns != sorted(names):
+        return [f"columns {columns} / {sorted(names)}"]
+    problems = []
+    for name, kind in df.dtypes:
+        if KINDS.get(kind) != kinds[name]:
+            problems.append(f"type of {name}: {kind} / {kinds[name]}")
+    ours = sorted((tuple(_plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    at = [names.index(c) for c in columns]
+    theirs = sorted((tuple(_plain(r[i]) for i in at) for r in rows), key=repr)
+    if len(ours) != len(theirs):
+        problems.append(f"rows {len(ours)} / {len(theirs)}")
+    if ours != theirs:
+        here, there = Counter(ours), Counter(theirs)
+        for a, b in zip(sorted((here - there).elements(), key=repr)[:2], sorted((there - here).elements(), key=repr)):
+            problems.append(str([(c, x, y) for c, x, y in zip(columns, a, b) if x != y]))
+        problems.append(f"{(here - there).total()} rows only here, {(there - here).total()} only in SQL")
+    return problems
+
+
+if __name__ == "__main__":
+    from callboard.session import local_session
+    from registry.oracle import ORACLE
+    from registry.queries import QUERIES
+
+    folder, wanted = sys.argv[1], sys.argv[2:] or list(QUERIES)
+    spark, con = local_session(cores="8"), connection(folder)
+    for name in wanted:
+        start = time.time()
+        try:
+            df = QUERIES[name](spark, folder)
+            if name in ORACLE:
+                problems = differences(df, con, ORACLE[name])
+                verdict = "ok" if not problems else "DIFFERS " + "; ".join(problems)
+            else:
+                verdict = f"{len(df.collect())} rows, no SQL"
+        except Exception as error:  # noqa: BLE001 - report and go on with the next query
+            verdict = "FAILED " + str(error)
+        print(f"{name:28s} {time.time() - start:6.2f}s {verdict[:900]}", flush=True)
