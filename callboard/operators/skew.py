@@ -1,9 +1,9 @@
 """Joins whose large side may have a hot key.
 
-Adaptive execution splits a hot key by itself where both join sides are plain
-shuffles. It cannot where one side is an aggregate that already sits on the join
-key, which is the case when an aggregate is joined back to its own rows. Those
-joins go through ``spread_join``.
+Adaptive execution splits a hot key by itself where both sides of a join are plain
+shuffles and the result is not needed in the same partitioning again. That leaves two
+kinds of join out: an aggregate joined back to its own rows, since it already sits on the
+join key, and two joins in a row on one key. Those go through ``spread_join``.
 """
 
 from __future__ import annotations
@@ -15,26 +15,23 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 0.01
 SKETCH_ITEMS = 4096
+COPIES = 32
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> Column:
-    """Array of the hashes of keys that hold at least ``share`` of the rows.
+def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> list[int]:
+    """Hashes of the keys that hold about ``share`` of the rows or more, at most ``1 / share``.
 
-    One pass over the key columns with a mergeable sketch; nothing is shuffled but
-    the sketches. At most ``1 / share`` hashes come back. The counts are estimates,
-    which changes only how a row is routed, never the join result.
+    One pass over the key columns with a mergeable sketch; only sketches are shuffled. The
+    counts are estimates, which decides how rows travel and never what a join returns. The
+    list is found once and then fixed, so that both sides of a join agree on it.
     """
     most = int(1 / share)
-    sketch = (
+    found = (
         df.select(F.xxhash64(*on).alias("key"))
         .agg(F.expr(f"approx_top_k(key, {most}, {SKETCH_ITEMS})").alias("top"), F.count("*").alias("n"))
-        .select(
-            F.transform(
-                F.filter("top", lambda item: item["count"] >= F.col("n") * share), lambda item: item["item"]
-            ).alias("hot")
-        )
+        .first()
     )
-    return sketch.scalar()
+    return sorted(item["item"] for item in found["top"] or [] if item["count"] >= found["n"] * share)
 
 
 def spread_join(
@@ -42,22 +39,24 @@ def spread_join(
     small: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    copies: int = 32,
-    share: float = HOT_SHARE,
+    hot: Sequence[int] | None = None,
+    copies: int = COPIES,
     spread_by: Column | None = None,
-    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join that divides the rows of a hot key of ``large`` over ``copies`` tasks.
 
-    Only the rows of ``small`` that belong to a hot key are repeated, at most
-    ``copies`` times for at most ``1 / share`` keys. ``spread_by`` decides the place of
-    a row; it has to give the same value when a lost task is run again, so the default
-    is a hash of the whole row and not a random number. ``keys_from`` is a cheaper frame
-    to look for hot keys in, where ``large`` itself is costly to compute. ``how`` is ``inner``, ``left``,
-    ``left_semi`` or ``left_anti``.
+    Without a hot key this is a plain join. Otherwise only the rows of ``small`` that belong
+    to a hot key are repeated, ``copies`` times for at most a hundred keys. ``hot`` is the
+    result of ``hot_keys`` if it is known already. ``spread_by`` decides the place of a row;
+    it has to give the same value when a lost task is run again, so the default is a hash
+    of the whole row and not a random number. ``how`` is ``inner``, ``left``, ``left_semi``
+    or ``left_anti``.
     """
-    hot = hot_keys(large if keys_from is None else keys_from, on, share)
-    is_hot = F.array_contains(hot, F.xxhash64(*on))
+    on = list(on)
+    hot = hot_keys(large, on) if hot is None else list(hot)
+    if not hot:
+        return large.join(small, on, how)
+    is_hot = F.xxhash64(*on).isin(hot)
     place = F.pmod(spread_by if spread_by is not None else F.xxhash64(*large.columns), F.lit(copies))
     left = large.withColumn("_place", F.when(is_hot, place.cast("int")).otherwise(0))
     every = F.sequence(F.lit(0), F.lit(copies - 1))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import like_none, without_version
+from ..operators.skew import spread_join
 
 # Which cases count.
 LANGUAGE_KEY = "13"
@@ -25,31 +26,35 @@ QUEUE_COLUMNS = ["agent_path", "skill_category", "first_queue", "last_queue", "w
 CLOSING_COLUMNS = ["resolution_days", "customer_tenure_days"]
 
 
+def wanted_cases(call_chat: DataFrame, support_only: bool = True) -> DataFrame:
+    """Cases in the wanted language and source, in the newer form only supported ones."""
+    wanted = (F.col("language_key") == LANGUAGE_KEY) & (F.col("data_source") == DATA_SOURCE)
+    return call_chat.where(wanted & (F.col("sales_support_flag") == SUPPORT_FLAG) if support_only else wanted)
+
+
 def case_facts(
     call_chat: DataFrame,
     employees: DataFrame,
     closed_cases: DataFrame,
     support_only: bool = True,
     queues: bool = True,
+    hot: Sequence[int] = (),
 ) -> DataFrame:
     """Cases with their employee and closing facts; both joins are inner.
 
     ``support_only`` and ``queues`` off give the older form, with 22 columns and all
     cases. The filters are on the scan side, columns not named here are not read. No
     side is forced to be broadcast: Spark does so where a side is small by its size on
-    disk, and otherwise sorts both and splits a hot employee or case at run time.
+    disk, and otherwise sorts both and splits a hot employee or case at run time. Name the
+    ``hot`` cases where another join by case follows, because Spark does not split then.
     """
-    wanted = (F.col("language_key") == LANGUAGE_KEY) & (F.col("data_source") == DATA_SOURCE)
-    if support_only:
-        wanted &= F.col("sales_support_flag") == SUPPORT_FLAG
     columns = CASE_COLUMNS + (QUEUE_COLUMNS if queues else [])
-    cases = call_chat.where(wanted).select("latest_employee_key", *columns)
-    closed = closed_cases.select("transaction_no", *CLOSING_COLUMNS)
-    return (
-        cases.join(employees.select(*EMPLOYEE_COLUMNS), F.col("latest_employee_key") == F.col("employee_key"))
-        .join(closed, F.col("case_key") == F.col("transaction_no"))
-        .select(*EMPLOYEE_COLUMNS, *columns, *CLOSING_COLUMNS)
+    cases = wanted_cases(call_chat, support_only).select("latest_employee_key", *columns)
+    closed = closed_cases.select(F.col("transaction_no").alias("case_key"), *CLOSING_COLUMNS)
+    staffed = cases.join(
+        employees.select(*EMPLOYEE_COLUMNS), F.col("latest_employee_key") == F.col("employee_key")
     )
+    return spread_join(staffed, closed, ["case_key"], hot=hot).select(*EMPLOYEE_COLUMNS, *columns, *CLOSING_COLUMNS)
 
 
 def with_agent_key(df: DataFrame, key: str = "employee_key") -> DataFrame:

@@ -17,31 +17,39 @@ MIDDLE_BAND = 1
 
 
 def with_health(
-    cases: DataFrame, health: DataFrame, columns: Sequence[str] = ("pred_score", "model_prob"), dedup: bool = True
+    cases: DataFrame,
+    health: DataFrame,
+    columns: Sequence[str] = ("pred_score", "model_prob"),
+    dedup: bool = True,
+    hot: Sequence[int] = (),
 ) -> DataFrame:
     """Cases with a health score.
 
     Duplicates are whole rows of ``health``, found before its columns are cut down, so a
-    case with two different rows still appears twice, as it should.
+    case with two different rows still appears twice, as it should. ``hot`` are the hot
+    keys among the cases, if there are any.
     """
     rows = health.dropDuplicates() if dedup else health
-    return cases.join(rows.select("case_key", *columns), "case_key")
+    return spread_join(cases, rows.select("case_key", *columns), ["case_key"], hot=hot)
 
 
-def with_issue_counts(cases: DataFrame, keys: Sequence[str] = ("employee_name", "incidentlevel2reason")) -> DataFrame:
+def with_issue_counts(
+    cases: DataFrame, keys: Sequence[str] = ("employee_name", "incidentlevel2reason"), hot: Sequence[int] | None = None
+) -> DataFrame:
     """Add ``counting``: how many cases the row's agent has had of the row's issue.
 
     Counted by a group-by with map-side sums and joined back, since a window would bring
-    all rows of a busy agent into one task.
+    all rows of a busy agent into one task. ``cases`` is read three times (hot keys,
+    counts, rows), so it should be a materialized table.
     """
-    return spread_join(cases, count_by(cases, keys, "case_key", "counting"), list(keys))
+    return spread_join(cases, count_by(cases, keys, "case_key", "counting"), list(keys), hot=hot)
 
 
 def with_agent_figures(
-    cases: DataFrame, agents: DataFrame, on: str = "new_employee_key", keys_from: DataFrame | None = None
+    cases: DataFrame, agents: DataFrame, on: str = "new_employee_key", hot: Sequence[int] | None = None
 ) -> DataFrame:
     """Add the agent's daily hours, contacts per hour and (newer form) number of cases."""
-    return spread_join(cases, agents, [on], keys_from=keys_from)
+    return spread_join(cases, agents, [on], hot=hot)
 
 
 def with_band(cases: DataFrame, probability: str = "model_prob") -> DataFrame:

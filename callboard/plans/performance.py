@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import number
 from ..operators import hypothesis
+from ..operators.skew import hot_keys
 from ..session import materialize
 from . import cases, final_scores, health, productivity, roc, scorecard
 
@@ -45,27 +46,38 @@ class Tables:
     health: DataFrame
 
 
+def cases_with_health(t: Tables, older: bool = False) -> DataFrame:
+    """Case facts with health, two joins by case with the hot cases looked up once."""
+    wanted = cases.wanted_cases(t.call_chat, support_only=not older)
+    hot = hot_keys(wanted, ["case_key"])
+    facts = cases.case_facts(
+        t.call_chat, t.employees, t.closed_cases, support_only=not older, queues=not older, hot=hot
+    )
+    if older:
+        return health.with_health(facts, t.health, ["chs"], dedup=False, hot=hot)
+    return health.with_health(facts, t.health, hot=hot)
+
+
 def all_cases(t: Tables) -> DataFrame:
     """Newer form: cases with health, issue counts, agent figures and band.
 
     The joined facts are written once, since four later passes read them.
     """
-    facts = cases.with_agent_key(cases.case_facts(t.call_chat, t.employees, t.closed_cases))
-    base = materialize(health.with_health(facts, t.health), "cases")
+    base = materialize(cases.with_agent_key(cases_with_health(t)), "cases")
     agents = productivity.agent_rollup(t.call_chat, t.productivity)
-    counted = health.with_issue_counts(base)
-    rows = health.with_agent_figures(counted, agents, keys_from=base)
+    rows = health.with_agent_figures(
+        health.with_issue_counts(base), agents, hot=hot_keys(base, ["new_employee_key"])
+    )
     return health.with_band(rows).withColumn("csatscore", number("csatscore"))
 
 
 def all_cases_older(t: Tables) -> DataFrame:
     """Older form: no support filter, health label -1/1, mean agent figures."""
-    facts = cases.case_facts(t.call_chat, t.employees, t.closed_cases, support_only=False, queues=False)
-    base = materialize(health.with_health(facts, t.health, ["chs"], dedup=False), "cases-older")
+    base = materialize(cases_with_health(t, older=True), "cases-older")
     agents = productivity.agent_rollup_older(t.call_chat, t.productivity).select(
         F.col("latest_employee_key").alias("employee_key"), "day_working_hours", "day_billable_hour", "CPH"
     )
-    rows = health.with_agent_figures(base, agents, "employee_key", keys_from=base)
+    rows = health.with_agent_figures(base, agents, "employee_key")
     return health.with_label(rows).withColumn("csatscore", number("csatscore"))
 
 

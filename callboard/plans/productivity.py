@@ -62,8 +62,12 @@ def agent_days(cases: DataFrame, hours: DataFrame) -> DataFrame:
 
 
 def plausible_days(days: DataFrame, most: float = MOST_CONTACTS_PER_HOUR) -> DataFrame:
-    """Days with a known number of contacts per hour of at most ``most``."""
-    return days.where(F.col("CPH") <= most)
+    """Days with a known number of contacts per hour of at most ``most``.
+
+    That takes a known number of cases. Saying so lets Spark turn the outer join before it
+    into an inner one.
+    """
+    return days.where(F.col("number_cases").isNotNull() & (F.col("CPH") <= most))
 
 
 def rollup_median(days: DataFrame) -> DataFrame:

@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import real
 from ..operators.ordering import running_totals
+from ..session import materialize
 
 
 def curve(df: DataFrame, score: str, label: str, pieces: int = 512) -> DataFrame:
     """One point per distinct score, from the highest down.
 
     (score, positives, negatives, tp, fp, tpr, fpr): rows with this score, and with this
-    score or a higher one. Rows are counted per score first; the running sums are spread
-    over many tasks.
+    score or a higher one. Rows are counted per score first. The counts are written once,
+    since the totals, the cut into pieces and the running sums each read them; the running
+    sums are spread over many tasks.
     """
     rows = df.select(real(score).alias("score"), F.col(label).cast("long").alias("label")).dropna()
     counts = rows.groupBy("score").agg(
         F.sum("label").alias("positives"), F.sum(1 - F.col("label")).alias("negatives")
     )
+    counts = materialize(counts, "score-counts")
     totals = counts.agg(F.sum("positives").alias("p"), F.sum("negatives").alias("n"))
     running = running_totals(counts, "score", ["positives", "negatives"], descending=True, pieces=pieces)
     return running.select(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import real
-from ..operators.skew import spread_join
+from ..operators.skew import hot_keys, spread_join
 from .binning import MISSING, Binning, evidence, fit_binning, informative, information_values
 
 # Fixed values of the model.
@@ -104,7 +104,8 @@ def _with_bins(
         if binning.n_categories.get(v, 0) <= BROADCAST_CATEGORIES:
             joined = keyed.join(F.broadcast(mapping), f"_{v}", "left")
         else:
-            joined = spread_join(keyed, mapping, [f"_{v}"], "left", keys_from=keyed.select(f"_{v}"))
+            hot = hot_keys(df.select(F.col(v).cast("string").alias(f"_{v}")), [f"_{v}"])
+            joined = spread_join(keyed, mapping, [f"_{v}"], "left", hot=hot)
         out = joined.withColumn(v + suffix, F.coalesce(F.col(v + suffix), F.lit(absent.get(v, 0.0)))).drop(f"_{v}")
     return out
 

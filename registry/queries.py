@@ -73,7 +73,7 @@ def _facts(spark, sf):
 
 
 def _with_health(spark, sf):
-    return health.with_health(_facts(spark, sf), s.health(spark, sf))
+    return performance.cases_with_health(s.base_tables(spark, sf))
 
 
 @query
@@ -106,7 +106,7 @@ def issue_case_count(spark, sf):
 
 @query
 def issue_case_count_joined(spark, sf):
-    counted = health.with_issue_counts(_facts(spark, sf))
+    counted = health.with_issue_counts(materialize(_facts(spark, sf), "facts"))
     return counted.select("case_key", "employee_name", "incidentlevel2reason", "wait_time", "counting")
 
 
