@@ -21,22 +21,26 @@ def repaired(text: Column | str) -> Column:
     return F.concat(F.lit("["), F.replace(text, F.lit(SEAM), F.lit(REPAIRED_SEAM)), F.lit("]"))
 
 
+def _array(text: Column) -> Column:
+    """Parse an array of snapshots. As the member of an object, so that text after its end is an error too."""
+    return F.from_json(F.concat(F.lit('{"all":'), text, F.lit("}")), f"all {SNAPSHOT_LIST}")["all"]
+
+
 def parsed(text: Column | str) -> Column:
     """Array of snapshots; NULL for malformed text."""
-    return F.from_json(repaired(text), SNAPSHOT_LIST)
+    return _array(repaired(text))
 
 
 def parsed_piece(piece: Column | str) -> Column:
     """One snapshot out of a file that was split at the seams.
 
     The reader takes the seam away, so a piece may lack its opening (all but the
-    first) and its closing brace (all but the last). Wrapping it as an array makes
-    text after the object an error instead of being passed over.
+    first) and its closing brace (all but the last).
     """
     piece = F.col(piece) if isinstance(piece, str) else piece
     start = F.when(F.ltrim(piece).startswith("{"), piece).otherwise(F.concat(F.lit(SEAM[1:]), piece))
-    inner = F.from_json(F.concat(F.lit("["), start, F.lit("}]")), SNAPSHOT_LIST)
-    last = F.from_json(F.concat(F.lit("["), start, F.lit("]")), SNAPSHOT_LIST)
+    inner = _array(F.concat(F.lit("["), start, F.lit("}]")))
+    last = _array(F.concat(F.lit("["), start, F.lit("]")))
     return F.get(F.coalesce(inner, last), F.lit(0))
 
 
