@@ -22,8 +22,14 @@ def repaired(text: Column | str) -> Column:
 
 
 def _array(text: Column) -> Column:
-    """Parse an array of snapshots. As the member of an object, so that text after its end is an error too."""
-    return F.from_json(F.concat(F.lit('{"all":'), text, F.lit("}")), f"all {SNAPSHOT_LIST}")["all"]
+    """Parse an array of snapshots; NULL unless the text is well-formed as a whole.
+
+    The parser stops at the end of the first value, so the array is followed by a mark that
+    is reached only if nothing comes between.
+    """
+    marked = F.concat(F.lit('{"all":'), text, F.lit(',"end":1}'))
+    found = F.from_json(marked, f"all {SNAPSHOT_LIST}, end INT")
+    return F.when(found["end"] == 1, found["all"])
 
 
 def parsed(text: Column | str) -> Column:
