@@ -28,6 +28,16 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def shape(df: DataFrame) -> DataFrame:
+    """(rows, columns) of a frame, one row."""
+    return df.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(df.columns)))
+
+
+def first_rows(df: DataFrame, order: Sequence[str | Column], n: int = 5) -> DataFrame:
+    """The first rows by ``order``: each task keeps its ``n`` best, nothing is sorted as a whole."""
+    return df.orderBy(*order).limit(n)
+
+
 def count_by(df: DataFrame, keys: Sequence[str], counted: str, name: str) -> DataFrame:
     """Non-missing ``counted`` per group; groups with a missing key are left out."""
     return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(counted).alias(name))

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.numbers import real
 
 
+ROWS_PER_PIECE = 250_000
+MOST_PIECES = 10_000
+
+
 def splits(cuts: Sequence[float]) -> list[float]:
     """Strictly increasing edges around ``cuts``, open at both ends."""
     inner = sorted({float(c) for c in cuts if c is not None and math.isfinite(c)})
@@ -48,18 +52,22 @@ def running_totals(
     order: str,
     totals: Sequence[str],
     descending: bool = False,
-    pieces: int = 512,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Add ``<column>_running`` for each of ``totals``: its sum up to this row by ``order``.
 
     ``order`` is a double without NULL and with one row per value, as it comes out of
-    a ``groupBy(order)``.
+    a ``groupBy(order)``. It is read three to four times, so it should be a materialized
+    table. Without ``pieces`` their number follows from the number of rows.
     """
+    if pieces is None:
+        pieces = max(1, min(MOST_PIECES, math.ceil(df.count() / ROWS_PER_PIECE)))
     probabilities = [i / pieces for i in range(1, pieces)]
     # One row comes back, with fewer than ``pieces`` numbers.
-    fences = df.agg(
-        F.percentile_approx(order, probabilities, F.lit(max(10_000, 10 * pieces))).alias("fences")
-    ).first()["fences"]
+    fences = []
+    if probabilities:
+        sketch = F.percentile_approx(order, probabilities, F.lit(max(10_000, 10 * pieces)))
+        fences = df.agg(sketch.alias("fences")).first()["fences"]
     cut = bucketed(df, {order: fences or []}, "_piece")
     piece = f"{order}_piece"
     direction = F.desc if descending else F.asc

@@ -39,6 +39,7 @@ def case_facts(
     support_only: bool = True,
     queues: bool = True,
     hot: Sequence[int] = (),
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """Cases with their employee and closing facts; both joins are inner.
 
@@ -47,8 +48,9 @@ def case_facts(
     side is forced to be broadcast: Spark does so where a side is small by its size on
     disk, and otherwise sorts both and splits a hot employee or case at run time. Name the
     ``hot`` cases where another join by case follows, because Spark does not split then.
+    ``carried`` are further columns of ``call_chat`` to keep.
     """
-    columns = CASE_COLUMNS + (QUEUE_COLUMNS if queues else [])
+    columns = [*CASE_COLUMNS, *(QUEUE_COLUMNS if queues else []), *carried]
     cases = wanted_cases(call_chat, support_only).select("latest_employee_key", *columns)
     closed = closed_cases.select(F.col("transaction_no").alias("case_key"), *CLOSING_COLUMNS)
     staffed = cases.join(

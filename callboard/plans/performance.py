@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.numbers import number
 from ..operators import hypothesis
 from ..operators.skew import hot_keys
 from ..session import materialize
+from ..sources.tables import read_table
 from . import cases, final_scores, health, productivity, roc, scorecard
 
 # The variables of the model.
@@ -46,38 +48,60 @@ class Tables:
     health: DataFrame
 
 
+def read_tables(spark: SparkSession, call_chat: str, employees: str, closed_cases: str, productivity: str, health: str) -> Tables:
+    """The base tables from parquet folders or catalog tables."""
+    return Tables(
+        read_table(spark, call_chat, schemas.CALL_CHAT),
+        read_table(spark, employees, schemas.EMPLOYEES),
+        read_table(spark, closed_cases, schemas.CLOSED_CASES),
+        read_table(spark, productivity, schemas.PRODUCTIVITY),
+        read_table(spark, health, schemas.HEALTH),
+    )
+
+
 def cases_with_health(t: Tables, older: bool = False) -> DataFrame:
-    """Case facts with health, two joins by case with the hot cases looked up once."""
-    wanted = cases.wanted_cases(t.call_chat, support_only=not older)
-    hot = hot_keys(wanted, ["case_key"])
+    """Case facts with health, two joins by case with the hot cases looked up once.
+
+    Where there are hot cases, rows get a number at the scan of the base table, so that
+    even equal rows are spread. A scan numbers its rows the same way when it is run again.
+    """
+    chats, carried = t.call_chat, []
+    hot = hot_keys(cases.wanted_cases(chats, support_only=not older), ["case_key"])
+    if hot:
+        chats, carried = chats.withColumn("_row", F.monotonically_increasing_id()), ["_row"]
     facts = cases.case_facts(
-        t.call_chat, t.employees, t.closed_cases, support_only=not older, queues=not older, hot=hot
+        chats, t.employees, t.closed_cases, support_only=not older, queues=not older, hot=hot, carried=carried
     )
     if older:
-        return health.with_health(facts, t.health, ["chs"], dedup=False, hot=hot)
-    return health.with_health(facts, t.health, hot=hot)
+        found = health.with_health(facts, t.health, ["chs"], dedup=False, hot=hot)
+    else:
+        found = health.with_health(facts, t.health, hot=hot)
+    return found.drop("_row")
 
 
 def all_cases(t: Tables) -> DataFrame:
     """Newer form: cases with health, issue counts, agent figures and band.
 
-    The joined facts are written once, since four later passes read them.
+    The joined facts are written once, since four later passes read them, and numbered, so
+    that equal rows of a busy agent can be spread.
     """
-    base = materialize(cases.with_agent_key(cases_with_health(t)), "cases")
+    facts = cases.with_agent_key(cases_with_health(t)).withColumn("_row", F.monotonically_increasing_id())
+    base = materialize(facts, "cases")
     agents = productivity.agent_rollup(t.call_chat, t.productivity)
     rows = health.with_agent_figures(
         health.with_issue_counts(base), agents, hot=hot_keys(base, ["new_employee_key"])
     )
-    return health.with_band(rows).withColumn("csatscore", number("csatscore"))
+    return health.with_band(rows).withColumn("csatscore", number("csatscore")).drop("_row")
 
 
 def all_cases_older(t: Tables) -> DataFrame:
     """Older form: no support filter, health label -1/1, mean agent figures."""
-    base = materialize(cases_with_health(t, older=True), "cases-older")
+    facts = cases_with_health(t, older=True).withColumn("_row", F.monotonically_increasing_id())
+    base = materialize(facts, "cases-older")
     agents = productivity.agent_rollup_older(t.call_chat, t.productivity).select(
         F.col("latest_employee_key").alias("employee_key"), "day_working_hours", "day_billable_hour", "CPH"
     )
-    rows = health.with_agent_figures(base, agents, "employee_key")
+    rows = health.with_agent_figures(base, agents, "employee_key").drop("_row")
     return health.with_label(rows).withColumn("csatscore", number("csatscore"))
 
 

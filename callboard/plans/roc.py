@@ -10,7 +10,7 @@ from ..operators.ordering import running_totals
 from ..session import materialize
 
 
-def curve(df: DataFrame, score: str, label: str, pieces: int = 512) -> DataFrame:
+def curve(df: DataFrame, score: str, label: str, pieces: int | None = None) -> DataFrame:
     """One point per distinct score, from the highest down.
 
     (score, positives, negatives, tp, fp, tpr, fpr): rows with this score, and with this

@@ -8,7 +8,7 @@ row holds a whole file.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,8 +87,12 @@ def available_agents(pieces: DataFrame) -> DataFrame:
     return rows.where(F.col("available") & F.col("ldap").isNotNull() & whole).select("ldap").distinct()
 
 
-def available_now(spark: SparkSession, root: str, as_of: datetime, named: bool = False) -> DataFrame:
-    """Logins that can take a case by the newest file of the hour; nobody without a file."""
+def available_now(spark: SparkSession, root: str, as_of: datetime | None = None, named: bool = False) -> DataFrame:
+    """Logins that can take a case by the newest file of the hour; nobody without a file.
+
+    ``as_of`` is in UTC, by default the present.
+    """
+    as_of = as_of or datetime.now(timezone.utc)
     path = newest_file(files_of_hour(spark, root, as_of, named))
     if path is None:
         return spark.createDataFrame([], "ldap STRING")

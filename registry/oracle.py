@@ -206,6 +206,11 @@ CATEGORICAL = ("skill_category", "employee_name", "last_queue")
 ORACLE["attribute_means_by_label"] = sql(
     f"SELECT pred_score, {', '.join(f'round(avg({c}), 6) AS {c}' for c in NUMERIC)} FROM with_health GROUP BY ALL"
 )
+ORACLE["case_frame_shape"] = sql("SELECT count(*) AS rows, 30 AS columns FROM with_health")
+ORACLE["first_cases"] = sql(
+    """SELECT case_key, wait_time, complete_duration, employee_key FROM with_health
+       ORDER BY case_key, wait_time, complete_duration, employee_key LIMIT 5"""
+)
 ORACLE["label_crosstab"] = sql(
     """SELECT pred_score, count(*) FILTER (no_of_agents = 1) AS "1", count(*) FILTER (no_of_agents = 2) AS "2",
          count(*) FILTER (no_of_agents = 3) AS "3" FROM with_health GROUP BY ALL"""

@@ -162,6 +162,17 @@ def attribute_means_by_label(spark, sf):
     return rounded(describe.means_by_label(rows, "pred_score", attributes), *attributes)
 
 
+@query
+def case_frame_shape(spark, sf):
+    return describe.shape(_with_health(spark, sf))
+
+
+@query
+def first_cases(spark, sf):
+    keys = ["case_key", "wait_time", "complete_duration", "employee_key"]
+    return describe.first_rows(_with_health(spark, sf).select(*keys), keys)
+
+
 @query
 def label_crosstab(spark, sf):
     return describe.crosstab(_with_health(spark, sf), "pred_score", "no_of_agents", [1, 2, 3])

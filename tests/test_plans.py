@@ -248,3 +248,63 @@ def test_routing(spark):
     assert routing.route(requests, scores, here).count() == 4
     assert [r.ldap for r in routing.route_one("i", scores, here).collect()] == ["a"]
     assert [r.ldap for r in routing.route_one("j", scores, here).collect()] == ["Not Found"]
+
+
+def test_hot_cases_change_nothing(spark, tmp_path):
+    """A third of the rows on one case and one agent, in equal copies, against plain joins."""
+    from callboard.plans import performance
+    from callboard.schemas import HEALTH
+
+    at = "2021-04-22 10:00:00"
+    one = CASE | {"interaction_starttime": at, "vendorid": "v", "incidentlevel2reason": "x", "wait_time": 1.0, "csatscore": "4"}
+    rows = [one | {"case_key": "hot", "latest_employee_key": "H||S||1"}] * 300
+    rows += [one | {"case_key": f"c{i % 400}", "latest_employee_key": f"E{i % 40}||S||1"} for i in range(600)]
+    people = [{"employee_key": f"E{i}||S||1", "employee_name": f"n{i}"} for i in range(40)]
+    people.append({"employee_key": "H||S||1", "employee_name": "hot"})
+    keys = [f"c{i}" for i in range(400)] + ["hot"]
+    parts = {
+        "call_chat": frame(spark, CALL_CHAT, rows),
+        "employees": frame(spark, EMPLOYEES, people),
+        "closed_cases": frame(spark, CLOSED_CASES, [{"transaction_no": k, "resolution_days": 1.0} for k in keys]),
+        "productivity": frame(
+            spark,
+            PRODUCTIVITY,
+            [
+                {"employee_key": p["employee_key"], "cal_date": at, "login_time": 360000, "billable_hour": 360000}
+                for p in people
+            ],
+        ),
+        "health": frame(
+            spark, HEALTH, [{"case_key": k, "pred_score": i % 2, "model_prob": 0.8, "chs": 1} for i, k in enumerate(keys)]
+        ),
+    }
+    for name, df in parts.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    tables = performance.read_tables(spark, **{name: f"{tmp_path}/{name}" for name in parts})
+    found = performance.all_cases(tables).toPandas()
+    assert len(found) == 900
+    assert "_row" not in found.columns
+    counts = found.groupby("employee_name").counting.agg(["first", "nunique", "size"])
+    assert (counts["nunique"] == 1).all() and (counts["first"] == counts["size"]).all()
+    assert counts.loc["hot", "first"] == 300
+    older = performance.all_cases_older(tables).toPandas()
+    assert len(older) == 900 and set(older.chs) == {1}
+
+
+def test_exports(spark, modelled, tmp_path):
+    from callboard.sources import tables
+
+    _, model = modelled
+    tables.write_csv(model.table, f"{tmp_path}/csv")
+    tables.write_parquet(model.table, f"{tmp_path}/parquet")
+    tables.write_json(model.table, f"{tmp_path}/json")
+    expected = sorted((r.variable, r.bin, r.points) for r in model.table.collect())
+    for reader in (
+        spark.read.option("header", True).schema(model.table.schema).csv(f"{tmp_path}/csv"),
+        tables.read_table(spark, f"{tmp_path}/parquet"),
+        spark.read.schema(model.table.schema).json(f"{tmp_path}/json"),
+    ):
+        assert sorted((r.variable, r.bin, r.points) for r in reader.collect()) == expected
+    model.table.createOrReplaceTempView("model_summary")
+    cut = tables.read_table(spark, "model_summary", "variable STRING, n DOUBLE")
+    assert cut.dtypes == [("variable", "string"), ("n", "double")]
