@@ -29,11 +29,13 @@ BIN_SCHEMA = "variable STRING, bin INT, lower DOUBLE, upper DOUBLE, n LONG, even
 
 
 def category_rates(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """(variable, category, n, events, rate) of all categorical variables in one pass."""
+    """(variable, category, n, events, rate) of all categorical variables in one pass.
+
+    Rows without a category are counted under a NULL one.
+    """
     pairs = [F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("category")) for c in columns]
     return (
         df.select(label, F.inline(F.array(*pairs)))
-        .where(F.col("category").isNotNull())
         .groupBy("variable", "category")
         .agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("events"))
         .withColumn("rate", F.col("events") / F.col("n"))
@@ -212,33 +214,24 @@ def fit_binning(
 
     rates, sizes = None, {}
     if categorical:
-        rates = materialize(category_rates(known, categorical, label), "category-rates")
+        counted = materialize(category_rates(known, categorical, label), "category-rates")
+        rates = counted.where(F.col("category").isNotNull())
         sizes = {r["variable"]: r["k"] for r in rates.groupBy("variable").agg(F.count("*").alias("k")).collect()}
         # One column per variable, so that the rates are cut as numeric variables are.
         wide = rates.select("n", "events", *[F.when(F.col("variable") == c, F.col("rate")).alias(c) for c in categorical])
         cuts = rank_cuts(wide, categorical, parts, weight="n")
         cut = bucketed(wide, cuts, "_bin")
         pairs = [F.struct(F.lit(c).alias("variable"), F.col(f"{c}_bin").alias("prebin")) for c in categorical]
-        counts = (
+        present = (
             cut.select("n", "events", F.inline(F.array(*pairs)))
             .where(F.col("prebin").isNotNull())
             .groupBy("variable", "prebin")
             .agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
         )
-        missing = known.agg(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("variable"),
-                        F.lit(MISSING).alias("prebin"),
-                        F.count_if(F.col(c).isNull()).alias("n"),
-                        F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col(label).cast("long"))), F.lit(0)).alias("events"),
-                    )
-                    for c in categorical
-                ]
-            ).alias("all")
-        ).select(F.inline("all"))
-        found.append(_edges(cuts, counts.unionByName(missing.where(F.col("n") > 0))))
+        missing = counted.where(F.col("category").isNull()).select(
+            "variable", F.lit(MISSING).alias("prebin"), "n", "events"
+        )
+        found.append(_edges(cuts, present.unionByName(missing)))
 
     prebins = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     # A few rows per variable; kept as such, since every later step needs them.
