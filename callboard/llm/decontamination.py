@@ -21,7 +21,6 @@ null can be hit but is not listed. A document of any length is searched whole.
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 

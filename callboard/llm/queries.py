@@ -13,12 +13,17 @@ from . import (
     line_dedup,
     quality_ledger,
     simhash,
+    suffix_dedup,
     url_filter,
     warc,
 )
 from .common import table
 
 
+def repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, folder, "documents"))
+
+
 def byte_bpe_coding(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(table(spark, folder, "documents"), keep=["doc_id"])
 
@@ -67,6 +72,7 @@ def chat_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": repeated_bytes,
     "op2_byte_bpe": byte_bpe_coding,
     "op3_url_filter": url_verdicts,
     "op4_line_dedup": line_runs,
