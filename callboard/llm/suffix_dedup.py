@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, mixed, others, portions, schema, with_columns, written
+from .common import Hasher, discard, mixed, others, portions, schema, with_columns, written
 
 # Suffixes looked at together; positions below this many bits share a number with their hash.
 STRETCH = 1 << 20
@@ -190,7 +190,10 @@ def _with_text(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 
 def repeats(rows: DataFrame, sizes: Sizes = DEFAULT) -> DataFrame:
-    """(doc, print, start, stop): stretches of bytes covered by repeated matches, from rows (doc, print, text)."""
+    """(doc, print, todo): stretches of bytes covered by repeated matches, from rows (doc, print, text).
+
+    They are written before the texts are moved again, and what led to them is removed.
+    """
     key = ["doc", "print"]
     whole = written(blocks(rows, sizes), "blocks")
     contents = settled(whole, ["bucket"], ["c1", "c2"], [*key, "first", "last", "anchor"])
@@ -222,7 +225,11 @@ def repeats(rows: DataFrame, sizes: Sizes = DEFAULT) -> DataFrame:
         (F.col("place") - F.col("back")).alias("start"),
         (F.col("place") - F.col("back") + sizes.match).alias("stop"),
     )
-    return in_blocks.unionByName(in_samples).unionByName(alone)
+    stretches = in_blocks.unionByName(in_samples).unionByName(alone)
+    found = written(stretches.groupBy(*key).agg(F.collect_list(F.struct("start", "stop")).alias("todo")), "repeats")
+    for table in (whole, contents, sampled, ranks):
+        discard(table)
+    return found
 
 
 def merged(stretches: list[dict]) -> list[tuple[int, int]]:
@@ -244,9 +251,8 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", sizes: Sizes
     names = ["kept", "n_bytes", "removed"]
     kept = others(df.select(*keep) if keep is not None else df.drop(text), names)
     rows = df.select(F.col(key).alias("doc"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
-    found = repeats(rows, sizes).groupBy("doc", "print").agg(F.collect_list(F.struct("start", "stop")).alias("todo"))
     whole = df.select(F.col(key).alias("doc"), F.xxhash64(text).alias("print"), F.col(text).alias("text"), F.struct(*kept).alias("kept"))
-    joined = _with_text(whole, found, "left")
+    joined = _with_text(whole, repeats(rows, sizes), "left")
     fields = {field.name: field for field in df.select(*kept).schema}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
