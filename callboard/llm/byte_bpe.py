@@ -30,7 +30,7 @@ from .common import others, portions, schema, with_columns
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Pieces whose tokens a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 # Pieces of more bytes are merged with a heap.
 LONG_PIECE = 48
 
