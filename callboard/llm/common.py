@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,19 +22,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The shuffle files of the write are removed when it ends, since nothing reads them
-    any more; the table outlives lost executors.
-    """
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within this, the shuffle files of a write are removed when it ends, since nothing reads them any more."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
     try:
-        return materialize(df, name)
+        yield
     finally:
-        conf.set(CLEANUP, before)
+        spark.conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; the table outlives lost executors."""
+    with tidy(df.sparkSession):
+        return materialize(df, name)
 
 
 def discard(df: DataFrame) -> None:

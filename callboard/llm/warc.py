@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
+from .common import tidy
 
 CHUNK = 1 << 18
 LEAST_BYTES = 0
@@ -124,8 +125,18 @@ class Archive:
         self.folder, self.boundary = folder, boundary
 
 
-def write(pages: DataFrame, payload: str = "html", least_bytes: int = LEAST_BYTES, date: str = "2024-01-01T00:00:00Z") -> Archive:
-    """Write an archive of ``pages`` (page_id, url, payload) to the shared folder."""
+def write(
+    pages: DataFrame,
+    payload: str = "html",
+    least_bytes: int = LEAST_BYTES,
+    date: str = "2024-01-01T00:00:00Z",
+    compression: str = "gzip",
+) -> Archive:
+    """Write an archive of ``pages`` (page_id, url, payload) to the shared folder.
+
+    With ``compression`` "none" the files are plain and can be read in splits; "gzip" makes one
+    stream of each file.
+    """
     spark = pages.sparkSession
     archive = Archive(new_folder(spark, "warc"), uuid.uuid4().hex)
     boundary = archive.boundary
@@ -141,7 +152,9 @@ def write(pages: DataFrame, payload: str = "html", least_bytes: int = LEAST_BYTE
                 for row in record_rows(boundary, date, page_id.as_py(), url.as_py(), refers_to.as_py(), (body.as_py() or "").encode()):
                     yield pa.RecordBatch.from_arrays([pa.array([row])], names=["value"])
 
-    rows.select("page_id", "url", "refers_to", "payload").mapInArrow(work, "value string").write.text(archive.folder, lineSep="\n")
+    records = rows.select("page_id", "url", "refers_to", "payload").mapInArrow(work, "value string")
+    with tidy(spark):
+        records.write.text(archive.folder, compression=compression, lineSep="\n")
     return archive
 
 

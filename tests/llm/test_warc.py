@@ -61,7 +61,7 @@ def test_chunks_carry_the_payload(spark):
 
 
 def test_reading_in_small_splits(spark):
-    archive = warc.write(pages(spark).coalesce(1))
+    archive = warc.write(pages(spark).coalesce(1), compression="none")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
