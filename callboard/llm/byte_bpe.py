@@ -316,11 +316,30 @@ def ids_array(packed: str = "token_ids"):
     return F.transform(places.otherwise(F.array().cast("array<int>")), lambda i: F.conv(turned(i), 16, 10).cast("long"))
 
 
+def round_trip(df: DataFrame, text: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass, so that a task has one Python worker and not two."""
+    made = ["token_ids", "token_offsets", "decoded"]
+    kept = others(df.select(*keep) if keep is not None else df, made)
+    raw = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(raw.value)
+        for batch, texts in portions(batches, text):
+            columns: dict[str, list[bytes]] = {name: [] for name in made}
+            for packed in vocabulary.encode(texts):
+                ids = np.frombuffer(packed, "<u4")
+                offsets = vocabulary.offsets(ids)
+                for name, value in zip(made, (packed, offsets.tobytes(), vocabulary.decode(ids, offsets)), strict=True):
+                    columns[name].append(value)
+            yield with_columns(batch, kept, {name: pa.array(values, pa.binary()) for name, values in columns.items()})
+
+    kinds = ", ".join(f"{name} binary" for name in made)
+    return _mapped(df.select(*dict.fromkeys([*kept, text])), work, kinds, kept)
+
+
 def digests(df: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
     """Encode and decode; one row per text with counts and digests of both."""
-    coded = encode(df, path=path, keep=keep)
-    back = decode(coded, path=path, keep=[*keep, "token_ids"])
-    return back.select(
+    return round_trip(df, path=path, keep=keep).select(
         *keep,
         F.floor(F.length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
