@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +38,8 @@ def case_facts(
     closed_cases: DataFrame,
     support_only: bool = True,
     queues: bool = True,
-    hot: Sequence[int] = (),
-    carried: Sequence[str] = (),
+    hot: Mapping[int, int] = {},
+    number: str | None = None,
 ) -> DataFrame:
     """Cases with their employee and closing facts; both joins are inner.
 
@@ -48,10 +48,13 @@ def case_facts(
     side is forced to be broadcast: Spark does so where a side is small by its size on
     disk, and otherwise sorts both and splits a hot employee or case at run time. Name the
     ``hot`` cases where another join by case follows, because Spark does not split then.
-    ``carried`` are further columns of ``call_chat`` to keep.
+    ``number`` names a column that numbers the wanted rows, so that even equal rows can be
+    told apart; a scan numbers its rows the same way when it is run again.
     """
-    columns = [*CASE_COLUMNS, *(QUEUE_COLUMNS if queues else []), *carried]
+    columns = [*CASE_COLUMNS, *(QUEUE_COLUMNS if queues else [])]
     cases = wanted_cases(call_chat, support_only).select("latest_employee_key", *columns)
+    if number:
+        cases, columns = cases.withColumn(number, F.monotonically_increasing_id()), [*columns, number]
     closed = closed_cases.select(F.col("transaction_no").alias("case_key"), *CLOSING_COLUMNS)
     staffed = cases.join(
         employees.select(*EMPLOYEE_COLUMNS), F.col("latest_employee_key") == F.col("employee_key")

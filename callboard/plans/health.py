@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ def with_health(
     health: DataFrame,
     columns: Sequence[str] = ("pred_score", "model_prob"),
     dedup: bool = True,
-    hot: Sequence[int] = (),
+    hot: Mapping[int, int] = {},
 ) -> DataFrame:
     """Cases with a health score.
 
@@ -34,7 +34,7 @@ def with_health(
 
 
 def with_issue_counts(
-    cases: DataFrame, keys: Sequence[str] = ("employee_name", "incidentlevel2reason"), hot: Sequence[int] | None = None
+    cases: DataFrame, keys: Sequence[str] = ("employee_name", "incidentlevel2reason"), hot: Mapping[int, int] | None = None
 ) -> DataFrame:
     """Add ``counting``: how many cases the row's agent has had of the row's issue.
 
@@ -46,7 +46,7 @@ def with_issue_counts(
 
 
 def with_agent_figures(
-    cases: DataFrame, agents: DataFrame, on: str = "new_employee_key", hot: Sequence[int] | None = None
+    cases: DataFrame, agents: DataFrame, on: str = "new_employee_key", hot: Mapping[int, int] | None = None
 ) -> DataFrame:
     """Add the agent's daily hours, contacts per hour and (newer form) number of cases."""
     return spread_join(cases, agents, [on], hot=hot)

@@ -62,15 +62,12 @@ def read_tables(spark: SparkSession, call_chat: str, employees: str, closed_case
 def cases_with_health(t: Tables, older: bool = False) -> DataFrame:
     """Case facts with health, two joins by case with the hot cases looked up once.
 
-    Where there are hot cases, rows get a number at the scan of the base table, so that
-    even equal rows are spread. A scan numbers its rows the same way when it is run again.
+    Rows are numbered after the filters, so that even equal rows of a hot case are spread and
+    the filters still reach the scan.
     """
-    chats, carried = t.call_chat, []
-    hot = hot_keys(cases.wanted_cases(chats, support_only=not older), ["case_key"])
-    if hot:
-        chats, carried = chats.withColumn("_row", F.monotonically_increasing_id()), ["_row"]
+    hot = hot_keys(cases.wanted_cases(t.call_chat, support_only=not older), [["case_key"]])[0]
     facts = cases.case_facts(
-        chats, t.employees, t.closed_cases, support_only=not older, queues=not older, hot=hot, carried=carried
+        t.call_chat, t.employees, t.closed_cases, support_only=not older, queues=not older, hot=hot, number="_row"
     )
     if older:
         found = health.with_health(facts, t.health, ["chs"], dedup=False, hot=hot)
@@ -88,9 +85,8 @@ def all_cases(t: Tables) -> DataFrame:
     facts = cases.with_agent_key(cases_with_health(t)).withColumn("_row", F.monotonically_increasing_id())
     base = materialize(facts, "cases")
     agents = productivity.agent_rollup(t.call_chat, t.productivity)
-    rows = health.with_agent_figures(
-        health.with_issue_counts(base), agents, hot=hot_keys(base, ["new_employee_key"])
-    )
+    issues, busy = hot_keys(base, [["employee_name", "incidentlevel2reason"], ["new_employee_key"]])
+    rows = health.with_agent_figures(health.with_issue_counts(base, hot=issues), agents, hot=busy)
     return health.with_band(rows).withColumn("csatscore", number("csatscore")).drop("_row")
 
 

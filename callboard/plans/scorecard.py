@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import real
-from ..operators.skew import hot_keys, spread_join
+from ..session import materialize
 from .binning import MISSING, Binning, evidence, fit_binning, informative, information_values
 
 # Fixed values of the model.
@@ -21,11 +20,6 @@ MOST_ITERATIONS = 5000
 LOWEST, HIGHEST = 0.0, 100.0
 TEST_PARTS, ALL_PARTS = 1, 5
 
-# A mapping of at most this many categories is broadcast (some megabytes).
-BROADCAST_CATEGORIES = 50_000
-# Below this many combinations of bins the rows are counted per combination before the fit.
-COUNTED_COMBINATIONS = 100_000
-
 
 def is_test(key: Column | str) -> Column:
     """True for the fifth of the cases that is kept for testing.
@@ -55,7 +49,7 @@ def _by_bin(value: Column, bins: list, what: str, otherwise: float) -> Column:
 
 @dataclass
 class Scorecard:
-    """``table`` is the detailed table, a few rows per variable."""
+    """``table`` is the detailed table, a few rows per variable; ``passes`` is what the fit took."""
 
     binning: Binning
     variables: list[str]
@@ -64,6 +58,7 @@ class Scorecard:
     table: DataFrame
     lowest: float
     highest: float
+    passes: int = 0
 
     def with_bins(self, df: DataFrame, what: str, suffix: str) -> DataFrame:
         """Add ``<variable><suffix>`` with the ``what`` of the row's bin.
@@ -100,12 +95,8 @@ def _with_bins(
         mapping = binning.rates.where(F.col("variable") == v).select(
             F.col("category").alias(f"_{v}"), _by_bin(F.col("rate"), of[v], what, 0.0).alias(v + suffix)
         )
-        keyed = out.withColumn(f"_{v}", F.col(v).cast("string"))
-        if binning.n_categories.get(v, 0) <= BROADCAST_CATEGORIES:
-            joined = keyed.join(F.broadcast(mapping), f"_{v}", "left")
-        else:
-            hot = hot_keys(df.select(F.col(v).cast("string").alias(f"_{v}")), [f"_{v}"])
-            joined = spread_join(keyed, mapping, [f"_{v}"], "left", hot=hot)
+        # A plain join with a stored table: Spark broadcasts it if it is small, else it splits hot categories.
+        joined = out.withColumn(f"_{v}", F.col(v).cast("string")).join(mapping, f"_{v}", "left")
         out = joined.withColumn(v + suffix, F.coalesce(F.col(v + suffix), F.lit(absent.get(v, 0.0)))).drop(f"_{v}")
     return out
 
@@ -143,7 +134,7 @@ def fit(
     rows = [r.asDict() for r in table.where(F.col("variable").isin(variables)).collect()]
     for r in rows:
         r["used"] = 0.0 if r["bin"] == MISSING and missing == "zero" else r["woe"]
-    intercept, weights = _logistic(df, binning, rows, variables, label, inverse_regularisation, iterations)
+    intercept, weights, passes = _logistic(df, binning, rows, variables, label, inverse_regularisation, iterations)
     _add_points(rows, variables, intercept, weights, lowest, highest, reverse)
     for r in rows:
         r["coefficient"] = weights[r["variable"]]
@@ -156,43 +147,32 @@ def fit(
         for c in names
     )
     detailed = df.sparkSession.createDataFrame([tuple(r[c] for c in names) for r in rows], schema)
-    return Scorecard(binning, variables, intercept, weights, detailed, lowest, highest)
+    return Scorecard(binning, variables, intercept, weights, detailed, lowest, highest, passes)
 
 
 def _logistic(
     df: DataFrame, binning: Binning, rows: list, variables: list[str], label: str, c: float, iterations: int
-) -> tuple[float, dict[str, float]]:
-    """Intercept and coefficients over the weights of evidence.
+) -> tuple[float, dict[str, float], int]:
+    """Intercept and coefficients over the weights of evidence, and the passes that took.
 
-    With few combinations of bins, equal rows are counted first and the fit reads one
-    row per combination; the optimum is the same.
+    The weights of every row are written to the shared folder, which each pass reads.
     """
     binned = _with_bins(df.where(F.col(label).isNotNull()), binning, rows, variables, "used", "_woe")
     names = [f"{v}_woe" for v in variables]
-    data = binned.select(F.col(label).cast("double").alias("_label"), *names)
-    combinations = 2 * math.prod(1 + sum(r["variable"] == v for r in rows) for v in variables)
-    if combinations <= COUNTED_COMBINATIONS:
-        data = data.groupBy("_label", *names).agg(F.count("*").cast("double").alias("_weight"))
-    else:
-        data = data.withColumn("_weight", F.lit(1.0))
-    data = VectorAssembler(inputCols=names, outputCol="_features").transform(data)
-    data = data.select("_label", "_weight", "_features").persist()
-    try:
-        n = data.agg(F.sum("_weight")).first()[0]
-        model = LogisticRegression(
-            featuresCol="_features",
-            labelCol="_label",
-            weightCol="_weight",
-            regParam=1.0 / (c * n),
-            elasticNetParam=0.0,
-            standardization=False,
-            maxIter=iterations,
-            tol=1e-10,
-            family="binomial",
-        ).fit(data)
-    finally:
-        data.unpersist()
-    return model.intercept, dict(zip(variables, model.coefficients.toArray().tolist()))
+    data = materialize(binned.select(F.col(label).cast("double").alias("_label"), *names), "weights-of-evidence")
+    model = LogisticRegression(
+        featuresCol="_features",
+        labelCol="_label",
+        regParam=1.0 / (c * data.count()),
+        elasticNetParam=0.0,
+        standardization=False,
+        maxIter=iterations,
+        tol=1e-10,
+        family="binomial",
+        aggregationDepth=3,
+    ).fit(VectorAssembler(inputCols=names, outputCol="_features").transform(data).select("_label", "_features"))
+    coefficients = dict(zip(variables, model.coefficients.toArray().tolist()))
+    return model.intercept, coefficients, model.summary.totalIterations
 
 
 def _add_points(

@@ -24,8 +24,17 @@ def skewed(spark):
 
 def test_hot_keys_finds_the_hot_one(spark, skewed):
     wanted = spark.range(1).select(F.xxhash64(F.lit("hot"))).first()[0]
-    assert skew.hot_keys(skewed.where("k is not null"), ["k"]) == [wanted]
-    assert skew.hot_keys(skewed.limit(0), ["k"]) == []
+    assert skew.hot_keys(skewed, [["k"], ["k", "v"]], rows_per_task=300) == [{wanted: 7}, {}]
+    assert skew.hot_keys(skewed.limit(0), [["k"]], rows_per_task=300) == [{}]
+
+
+def test_a_key_of_half_a_percent_is_hot_if_it_fills_tasks(spark):
+    rows = spark.range(400_000).select(F.when(F.col("id") % 200 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    (found,) = skew.hot_keys(rows, [["k"]], rows_per_task=1_200)
+    assert list(found.values()) == [2]
+    # The tasks follow the rows of the key: ten times the rows, ten times the tasks, give or take the sample.
+    (found,) = skew.hot_keys(rows.select(F.explode(F.array(*["k"] * 10)).alias("k")), [["k"]], rows_per_task=1_200)
+    assert 15 <= max(found.values()) <= 19
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -34,7 +43,9 @@ def test_spread_join_returns_what_a_join_does(spark, skewed, how):
         [("hot", "a"), ("hot", "b")] + [(f"k{i}", str(i)) for i in range(0, 500, 2)] + [(None, "z")], "k STRING, w STRING"
     )
     plain = skewed.join(small, ["k"], how).collect()
-    spread = skew.spread_join(skewed, small, ["k"], how).collect()
+    (hot,) = skew.hot_keys(skewed, [["k"]], rows_per_task=100)
+    spread = skew.spread_join(skewed, small, ["k"], how, hot=hot).collect()
+    assert max(hot.values()) == 20
     assert Counter(map(tuple, spread)) == Counter(map(tuple, plain))
 
 
@@ -44,7 +55,7 @@ def test_spread_join_divides_the_hot_key(spark, skewed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        joined = skew.spread_join(numbered, small, ["k"])
+        joined = skew.spread_join(numbered, small, ["k"], hot=skew.hot_keys(numbered, [["k"]], rows_per_task=100)[0])
         sizes = joined.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -78,8 +89,8 @@ def brute_cuts(values, parts):
     return sorted({values[k * len(values) // parts] for k in range(1, parts)}) if values else []
 
 
-@pytest.mark.parametrize("accuracy", [100, 10_000])
-def test_rank_cuts(spark, accuracy):
+@pytest.mark.parametrize(("accuracy", "sorted_values"), [(100, 250_000), (10_000, 250_000), (100, 3), (10_000, 1)])
+def test_rank_cuts(spark, accuracy, sorted_values):
     rng = random.Random(11)
     rows = []
     for _ in range(5000):
@@ -95,7 +106,7 @@ def test_rank_cuts(spark, accuracy):
         )
     names = ["gauss", "few", "gaps", "nans", "same", "none"]
     df = spark.createDataFrame(rows, ", ".join(f"{n} DOUBLE" for n in names)).repartition(4)
-    found = ordering.rank_cuts(df, names, 20, accuracy=accuracy)
+    found = ordering.rank_cuts(df, names, 20, accuracy=accuracy, sorted_values=sorted_values)
     for i, name in enumerate(names):
         values = [r[i] for r in rows if r[i] is not None and r[i] == r[i]]
         assert found[name] == brute_cuts(values, 20), name

@@ -161,11 +161,9 @@ def newton(x, y, c):
     return w
 
 
-@pytest.mark.parametrize("counted", [0, 100_000])
-def test_coefficients_agree_with_newton(modelled, monkeypatch, counted):
-    df, _ = modelled
-    monkeypatch.setattr(scorecard, "COUNTED_COMBINATIONS", counted)
-    model = scorecard.fit(df, ["x", "z"], ["c"], "y")
+def test_coefficients_agree_with_newton(modelled):
+    df, model = modelled
+    assert 0 < model.passes < 100
     table = model.table.withColumn("woe", F.when(F.col("bin") == -1, 0.0).otherwise(F.col("woe"))).collect()
     rows = scorecard._with_bins(df, model.binning, table, model.variables, "woe", "_w").toPandas()
     expected = newton(rows[[f"{v}_w" for v in model.variables]].values, rows.y.values, 5.0)
@@ -195,11 +193,14 @@ def test_reverse_and_selection(modelled):
     assert set(chosen.variables) == {v for v, iv in values.items() if 0.2 <= iv <= 10.0} != set(values)
 
 
-def test_wide_categories_are_joined_without_broadcast(modelled, monkeypatch):
+def test_categories_are_joined_with_and_without_broadcast(spark, modelled):
     df, model = modelled
     before = {r.k: r.score for r in model.score(df).collect()}
-    monkeypatch.setattr(scorecard, "BROADCAST_CATEGORIES", 0)
-    after = {r.k: r.score for r in model.score(df).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        after = {r.k: r.score for r in model.score(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert after == before
 
 
@@ -250,8 +251,9 @@ def test_routing(spark):
     assert [r.ldap for r in routing.route_one("j", scores, here).collect()] == ["Not Found"]
 
 
-def test_hot_cases_change_nothing(spark, tmp_path):
+def test_hot_cases_change_nothing(spark, tmp_path, monkeypatch):
     """A third of the rows on one case and one agent, in equal copies, against plain joins."""
+    from callboard.operators import skew
     from callboard.plans import performance
     from callboard.schemas import HEALTH
 
@@ -281,6 +283,11 @@ def test_hot_cases_change_nothing(spark, tmp_path):
     for name, df in parts.items():
         df.write.parquet(f"{tmp_path}/{name}")
     tables = performance.read_tables(spark, **{name: f"{tmp_path}/{name}" for name in parts})
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    filters = performance.cases_with_health(tables)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(sales_support_flag,Support)" in filters and "EqualTo(language_key,13)" in filters
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (50,))
     found = performance.all_cases(tables).toPandas()
     assert len(found) == 900
     assert "_row" not in found.columns
