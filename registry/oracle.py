@@ -410,61 +410,66 @@ ORACLE["iv_selection"] = sql(
 )
 
 
-def _newton(names: list[str], c: float, rounds: int) -> dict[str, str]:
-    """Steps ``w0 .. w<rounds>``: minimise |w|^2 / 2 + c * loss over rows of ``combos`` (y, m, names)."""
-    k = len(names)
-    x = ["1", *names]
-    steps = {"w0": "SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(k + 1))}
+def _newton(k: int, c: float, rounds: int) -> dict[str, str]:
+    """Steps ``w0 .. w<rounds>``: minimise |w|^2 / 2 + c * loss over rows of ``train_x`` (y, x).
+
+    ``x`` is a list that starts with 1; each step has one row with the list ``b``. Gradient and
+    Hessian are sums in long form, put into one matrix that a recursion eliminates column by column.
+    """
+    steps = {"w0": f"SELECT [0.0::DOUBLE for _ in range({k})] AS b"}
     for r in range(rounds):
-        logit = " + ".join(f"b{i} * {x[i]}" for i in range(k + 1))
-        moments = [
-            f"{c} * sum(m * (p - y) * {x[i]}) + {'any_value(b%d)' % i if i else '0'} AS a{i}_{k + 1}" for i in range(k + 1)
-        ]
-        moments += [
-            f"{c} * sum(m * p * (1 - p) * {x[i]} * {x[j]}) + {1 if i == j and i else 0} AS a{i}_{j}"
-            for i in range(k + 1)
-            for j in range(k + 1)
-        ]
-        keep = ", ".join(f"any_value(b{i}) AS b{i}" for i in range(k + 1))
-        text = f"""SELECT {', '.join(moments)}, {keep}
-            FROM (SELECT *, 1 / (1 + exp(-({logit}))) AS p FROM combos, w{r})"""
-        # Gauss-Jordan elimination, one column at a time.
-        for col in range(k + 1):
-            new = []
-            for i in range(k + 1):
-                for j in range(k + 2):
-                    pivot = f"a{col}_{j} / a{col}_{col}"
-                    new.append(f"{pivot if i == col else f'a{i}_{j} - a{i}_{col} * {pivot}'} AS a{i}_{j}")
-            text = f"SELECT {', '.join(new)}, {', '.join(f'b{i}' for i in range(k + 1))} FROM ({text})"
-        steps[f"w{r + 1}"] = f"SELECT {', '.join(f'b{i} - a{i}_{k + 1} AS b{i}' for i in range(k + 1))} FROM ({text})"
+        steps[f"p{r}"] = f"SELECT x, y, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM train_x, w{r}"
+        steps[f"g{r}"] = f"""
+          SELECT i, {k + 1} AS j, {c} * sum((p - y) * x[i]) + any_value(CASE WHEN i > 1 THEN b[i] ELSE 0 END) AS h
+          FROM p{r}, w{r}, range(1, {k + 1}) AS a(i) GROUP BY i
+          UNION ALL
+          SELECT i, j, {c} * sum(p * (1 - p) * x[i] * x[j]) + CASE WHEN i = j AND i > 1 THEN 1 ELSE 0 END
+          FROM p{r}, range(1, {k + 1}) AS a(i), range(1, {k + 1}) AS d(j) GROUP BY i, j"""
+        steps[f"m{r}"] = f"""
+          SELECT list(line ORDER BY i) AS m FROM (SELECT i, list(h ORDER BY j) AS line FROM g{r} GROUP BY i)"""
+        steps[f"s{r}"] = f"""
+          SELECT 0 AS done, m FROM m{r}
+          UNION ALL
+          SELECT done + 1, [CASE WHEN i = done + 1 THEN [m[i][j] / m[i][i] for j in range(1, {k + 2})]
+              ELSE [m[i][j] - m[i][done + 1] * m[done + 1][j] / m[done + 1][done + 1] for j in range(1, {k + 2})]
+            END for i in range(1, {k + 1})]
+          FROM s{r} WHERE done < {k}"""
+        steps[f"w{r + 1}"] = f"SELECT [b[i] - m[i][{k + 1}] for i in range(1, {k + 1})] AS b FROM s{r}, w{r} WHERE done = {k}"
     return steps
 
 
-def scorecard_steps(numeric: tuple[str, ...], categorical: tuple[str, ...], rounds: int = 8) -> dict[str, str]:
-    """Steps ending in ``detailed``: the evidence of each bin with coefficient and points."""
+def scorecard_steps(
+    numeric: tuple[str, ...], categorical: tuple[str, ...], rows: str, label: str, rounds: int = 8
+) -> dict[str, str]:
+    """Steps ending in ``detailed`` (the evidence of each bin with coefficient and points) and ``card_scores``.
+
+    ``rows`` is what is scored; the rows with a label outside the test part are fitted.
+    """
     variables = [*numeric, *categorical]
-    steps = {"train": f"SELECT * FROM with_health WHERE NOT {_IS_TEST}"}
-    steps |= binning_steps(numeric, categorical, "train")
-    woe = {
-        c: f"""coalesce((SELECT woe FROM evidence e WHERE e.variable = '{c}' AND e.bin >= 0
-                         AND {c} >= e.lower AND {c} < e.upper), 0)"""
-        for c in numeric
+    steps = {
+        "frame": f"SELECT * EXCLUDE ({label}), {label} AS pred_score, row_number() OVER () AS rid FROM ({rows})",
+        "train": f"SELECT * FROM frame WHERE NOT {_IS_TEST} AND pred_score IS NOT NULL",
     }
-    woe |= {
-        c: f"""coalesce((SELECT woe FROM evidence e JOIN rates r ON r.v = e.variable
-                         WHERE e.variable = '{c}' AND r.category = {c} AND e.bin >= 0
-                           AND r.x >= e.lower AND r.x < e.upper), 0)"""
+    steps |= binning_steps(numeric, categorical, "train")
+    steps["rates"] = """SELECT v, category, x, count(*) AS n, sum(y)::BIGINT AS events FROM long_rows
+      WHERE category IS NOT NULL GROUP BY ALL"""
+    values = [f"SELECT rid, '{c}' AS v, {c}::DOUBLE AS x, {c} IS NULL AS missing FROM frame" for c in numeric]
+    values += [
+        f"SELECT rid, '{c}', rates.x, rates.x IS NULL FROM frame LEFT JOIN rates ON rates.v = '{c}' AND category = {c}::VARCHAR"
         for c in categorical
-    }
-    distinct = ", ".join(variables)
-    steps["rates"] = "SELECT DISTINCT v, category, x FROM long_rows WHERE category IS NOT NULL"
-    steps["counted"] = f"SELECT {distinct}, pred_score AS y, count(*) AS m FROM train GROUP BY ALL"
-    steps["combos"] = f"""SELECT y, {', '.join(f'woe_{i}' for i in range(len(variables)))}, sum(m)::DOUBLE AS m
-      FROM (SELECT y, m, {', '.join(f'{woe[v]} AS woe_{i}' for i, v in enumerate(variables))} FROM counted) GROUP BY ALL"""
-    steps |= _newton([f"woe_{i}" for i in range(len(variables))], 5.0, rounds)
-    steps["weights"] = " UNION ALL ".join(
-        f"SELECT '{v}' AS variable, b{i + 1} AS coefficient FROM w{rounds}" for i, v in enumerate(variables)
-    )
+    ]
+    steps["frame_values"] = " UNION ALL ".join(values)
+    order = ", ".join(f"('{v}', {i})" for i, v in enumerate(variables, 2))
+    steps["variables"] = f"SELECT * FROM (VALUES {order}) AS every(v, i)"
+    steps["places"] = """
+      SELECT rid, f.v, i, coalesce(bin, -1) AS bin, coalesce(woe, 0) AS woe
+      FROM frame_values f JOIN variables ON variables.v = f.v
+      LEFT JOIN evidence e ON e.variable = f.v AND e.bin >= 0 AND x >= e.lower AND x < e.upper"""
+    steps["train_x"] = """
+      SELECT pred_score AS y, list_prepend(1.0::DOUBLE, list(woe ORDER BY i)) AS x
+      FROM places JOIN train USING (rid) GROUP BY rid, pred_score"""
+    steps |= _newton(len(variables) + 1, 5.0, rounds)
+    steps["weights"] = f"SELECT v AS variable, b[i] AS coefficient FROM variables, w{rounds}"
     steps["parts"] = """
       SELECT variable, bin, lower, upper, n, share, non_events, events, event_rate, woe, iv, js, coefficient,
         coefficient * CASE WHEN bin < 0 THEN 0 ELSE woe END AS part
@@ -472,40 +477,40 @@ def scorecard_steps(numeric: tuple[str, ...], categorical: tuple[str, ...], roun
       UNION ALL
       SELECT variable, -1, NULL, NULL, 0, 0, 0, 0, NULL, 0, 0, 0, coefficient, 0 FROM weights
       WHERE variable NOT IN (SELECT variable FROM evidence WHERE bin = -1)"""
-    steps["ends"] = "SELECT variable, min(part) AS lo, max(part) AS hi FROM parts GROUP BY variable"
+    # Weight of evidence 0 is always possible.
+    steps["ends"] = "SELECT variable, least(min(part), 0) AS lo, greatest(max(part), 0) AS hi FROM parts GROUP BY variable"
     steps["detailed"] = """
       SELECT parts.*, 100 / (SELECT sum(hi - lo) FROM ends) * (part - lo) AS points
       FROM parts JOIN ends USING (variable)"""
+    steps["card_scores"] = """
+      SELECT frame.*, total AS score FROM frame JOIN (
+        SELECT rid, sum(points) AS total FROM places JOIN detailed ON detailed.variable = v AND detailed.bin = places.bin
+        GROUP BY rid) USING (rid)"""
     return steps
 
 
-_MODEL = (("resolution_days", "avg_response_cust"), ("skill_category",))
+_NUMERIC_OLDER = (
+    "wait_time", "complete_duration", "avg_response_cust", "avg_response_agnt", "agent_handle_time", "close_time",
+    "no_of_upfront_sla_breach", "no_of_turns_per_conversation", "no_of_agents", "agent_tenure_days", "resolution_days",
+    "csatscore", "day_working_hours", "day_billable_hour", "CPH",
+)
+_CATEGORICAL_OLDER = ("employee_name", "incidentlevel2reason", "sub_line_of_business__c")
+_NEWER = scorecard_steps(
+    (*_NUMERIC_OLDER, "customer_tenure_days", "counting", "number_cases"),
+    (*_CATEGORICAL_OLDER, "skill_category", "first_queue", "last_queue", "bot_involved_flag"),
+    "SELECT * FROM all_cases WHERE sign IS DISTINCT FROM 1",
+    "pred_score",
+)
+_OLDER = scorecard_steps(_NUMERIC_OLDER, _CATEGORICAL_OLDER, "SELECT * FROM all_cases_older", "chs")
+_FINAL = """SELECT employee_name, sub_line_of_business__c, incidentlevel2reason, round(avg(score), 3) AS score,
+    count(pred_score) AS count FROM card_scores GROUP BY ALL"""
 ORACLE["scorecard_table"] = sql(
     f"""SELECT {_EVIDENCE_COLUMNS}, round(coefficient, 4) AS coefficient, round(points, 4) AS points FROM detailed""",
-    **scorecard_steps(*_MODEL),
-)
-
-
-def _points(variable: str, numeric: bool) -> str:
-    inside = (
-        f"{variable} >= d.lower AND {variable} < d.upper"
-        if numeric
-        else f"""d.lower <= (SELECT x FROM rates r WHERE r.v = '{variable}' AND r.category = {variable})
-                 AND d.upper > (SELECT x FROM rates r WHERE r.v = '{variable}' AND r.category = {variable})"""
-    )
-    return f"""coalesce((SELECT points FROM detailed d WHERE d.variable = '{variable}' AND d.bin >= 0 AND {inside}),
-                        (SELECT points FROM detailed d WHERE d.variable = '{variable}' AND d.bin = -1))"""
-
-
-ORACLE["scorecard_scores"] = sql(
-    f"""SELECT case_key, resolution_days, avg_response_cust, skill_category, round(score, 3) AS score
-        FROM with_health JOIN (
-          SELECT resolution_days AS r, avg_response_cust AS a, skill_category AS s,
-            {' + '.join([_points(v, True) for v in _MODEL[0]] + [_points(v, False) for v in _MODEL[1]])} AS score
-          FROM (SELECT DISTINCT resolution_days, avg_response_cust, skill_category FROM with_health))
-        ON resolution_days = r AND avg_response_cust IS NOT DISTINCT FROM a AND skill_category = s""",
-    **scorecard_steps(*_MODEL),
+    **_NEWER,
 )
+ORACLE["scorecard_scores"] = sql("SELECT case_key, round(score, 3) AS score FROM card_scores", **_NEWER)
+ORACLE["agent_performance"] = sql(_FINAL, **_NEWER)
+ORACLE["agent_performance_older"] = sql(_FINAL, **_OLDER)
 
 _CURVE = """
   SELECT score, positives, negatives, sum(positives) OVER w AS tp, sum(negatives) OVER w AS fp,

@@ -267,27 +267,25 @@ def iv_selection(spark, sf):
     return rounded(binning.informative(binning.information_values(found.table)), "iv")
 
 
-MODEL_NUMERIC, MODEL_CATEGORICAL = ["resolution_days", "avg_response_cust"], ["skill_category"]
+def _result(spark, sf) -> performance.Result:
+    """The whole job with all its variables."""
+    return performance.run(performance.all_cases(s.base_tables(spark, sf)))
 
 
-def _model(spark, sf):
-    rows = _labelled(spark, sf)
-    train, _ = scorecard.split(rows, "case_key")
-    return rows, scorecard.fit(train, MODEL_NUMERIC, MODEL_CATEGORICAL, "pred_score")
+def _detailed(table: DataFrame) -> DataFrame:
+    table = table.withColumns({c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in ("lower", "upper")})
+    table = rounded(table, "lower", "upper", "share", "event_rate", "woe", "iv", "js")
+    return rounded(table, "coefficient", "points", digits=4)
 
 
 @query
 def scorecard_table(spark, sf):
-    table = _model(spark, sf)[1].table
-    table = table.withColumns({c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in ("lower", "upper")})
-    table = rounded(table, "lower", "upper", "share", "event_rate", "woe", "iv", "js")
-    return rounded(table, "coefficient", "points", digits=4)
+    return _detailed(_result(spark, sf).model.table)
 
 
 @query
 def scorecard_scores(spark, sf):
-    rows, model = _model(spark, sf)
-    return rounded(model.score(rows).select("case_key", *MODEL_NUMERIC, *MODEL_CATEGORICAL, "score"), "score", digits=3)
+    return rounded(_result(spark, sf).scored.select("case_key", "score"), "score", digits=3)
 
 
 @query
@@ -343,12 +341,13 @@ def exported_scores(spark, sf):
 
 @query
 def agent_performance(spark, sf):
-    return performance.run(performance.all_cases(s.base_tables(spark, sf))).final
+    return rounded(_result(spark, sf).final, "score", digits=3)
 
 
 @query
 def agent_performance_older(spark, sf):
-    return performance.run_older(performance.all_cases_older(s.base_tables(spark, sf))).final
+    final = performance.run_older(performance.all_cases_older(s.base_tables(spark, sf))).final
+    return rounded(final, "score", digits=3)
 
 
 # Snapshots
