@@ -29,14 +29,24 @@ def for_issue(scorecard: DataFrame, issue: str) -> DataFrame:
     return scorecard.where(F.col("issue_code") == issue).orderBy(F.desc_nulls_last("score"), F.asc("ldap"))
 
 
+def of_touched_issues(scorecard: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows of the issues that occur in ``changes``.
+
+    While ``touched`` is small enough to be broadcast, Spark finds the issues first and reads
+    their folders only. It does so only where a condition on the small side looks selective;
+    this one is true for every issue.
+    """
+    touched = changes.select("issue_code").where(F.col("issue_code") >= "").distinct()
+    return scorecard.join(touched, "issue_code", "left_semi")
+
+
 def save(spark: SparkSession, path: str, changes: DataFrame, order: list[str]) -> None:
     """Put rows into the stored scorecard, replacing those with the same key.
 
-    Only the folders of the issues that change are written again. The new content is
-    materialized first, because a folder cannot be replaced while it is being read.
+    Only the folders of the issues that change are read and written again. The new content
+    is materialized first, because a folder cannot be replaced while it is being read.
     """
-    touched = changes.select("issue_code").distinct()
-    current = read(spark, path).join(touched, "issue_code", "left_semi")
+    current = of_touched_issues(read(spark, path), changes)
     merged = materialize(upsert(current, changes, ["issue_code", "ldap"], order), "scorecard")
     (
         merged.write.mode("overwrite")

@@ -584,11 +584,11 @@ ORACLE["agents_for_issue"] = sql("SELECT * FROM routing WHERE issue_code = 'SMAL
 ORACLE["scorecard_upsert"] = sql(
     """SELECT coalesce(c.issue_code, w.issue_code) AS issue_code, coalesce(c.ldap, w.ldap) AS ldap,
          coalesce(w.score, c.score) AS score
-       FROM (SELECT * FROM routing
-             UNION ALL SELECT p_brand, s_name, min(l_extendedprice) FROM lines GROUP BY ALL) c
+       FROM (SELECT 'Brand#' || (s_suppkey % 30) AS issue_code, s_name AS ldap, s_acctbal AS score FROM supplier
+             UNION ALL SELECT 'none', s_name, s_acctbal FROM supplier) c
        FULL JOIN (SELECT p_brand AS issue_code, s_name AS ldap,
                     arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_extendedprice)) AS score
-                  FROM lines WHERE l_returnflag = 'R' GROUP BY ALL) w USING (issue_code, ldap)"""
+                  FROM lines GROUP BY ALL) w USING (issue_code, ldap)"""
 )
 ORACLE["scorecard_save"] = sql(
     """SELECT issue_code, ldap,

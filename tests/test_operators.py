@@ -200,6 +200,14 @@ def test_upsert(spark):
     assert sorted(map(str, twice.collect())) == sorted(map(str, once.collect()))
 
 
+def test_upsert_reads_each_side_once(spark, tmp_path):
+    for name in ("current", "changes"):
+        spark.createDataFrame([("a", 1.0)], "k STRING, v DOUBLE").write.parquet(f"{tmp_path}/{name}")
+    current, changes = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("current", "changes"))
+    plan = upsert.upsert(current, changes, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == 2 and "Join" not in plan
+
+
 def test_means_by_label(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 3.0), (0, None), (1, float("nan")), (None, 5.0)], "g INT, x DOUBLE")
     assert {r.g: r.x for r in describe.means_by_label(df, "g", ["x"]).collect()} == {0: 2.0, 1: None}

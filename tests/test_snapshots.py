@@ -122,6 +122,8 @@ def test_scorecard_store(spark):
         scorecards.save(spark, path, changes, ["at"])
         found = {(r.issue_code, r.ldap): r.score for r in scorecards.read(spark, path).collect()}
         assert found == {("i", "a"): 5.0, ("i", "b"): 2.0, ("j", "a"): 3.0, ("k", "z"): 9.0}
+    touched = scorecards.of_touched_issues(scorecards.read(spark, path), changes)
+    assert "dynamicpruning" in touched._jdf.queryExecution().executedPlan().toString()
     best = scorecards.for_issue(scorecards.read(spark, path), "i")
     assert [r.ldap for r in best.collect()] == ["a", "b"]
     assert "PartitionFilters: [isnotnull(issue_code" in best._jdf.queryExecution().executedPlan().toString()
