@@ -32,8 +32,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             step = c * d
             value *= step
         if abs(step - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"the incomplete beta function of {a}, {b}, {x} does not converge")
 
 
 def beta_share(a: float, b: float, x: float) -> float:
@@ -77,8 +77,8 @@ def gamma_tail(a: float, x: float) -> float:
         step = c * d
         value *= step
         if abs(step - 1.0) < 1e-15:
-            break
-    return front * value
+            return front * value
+    raise ArithmeticError(f"the incomplete gamma function of {a}, {x} does not converge")
 
 
 def t_p_value(t: float, df: float) -> float:

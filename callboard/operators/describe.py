@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import real
+from ..session import materialize
 
 
 def columns_by_kind(df: DataFrame) -> tuple[list[str], list[str]]:
@@ -69,13 +70,15 @@ def crosstab(df: DataFrame, label: str, attribute: str, values: Sequence | None
 def histograms(df: DataFrame, column: str, populations: Mapping[str, Column], bins: int = 50) -> DataFrame:
     """Equal-width histogram of ``column`` in each population, all in two passes.
 
+    The column and the conditions are written once, and both passes read that.
+
     ``populations`` maps a name to a condition on the row. Bins run from the least to
     the greatest value of the population; the last one includes its upper edge. All
     ``bins`` bins are in the result, empty ones with count 0. A population with a
     single value gets a range of 1 around it.
     """
     data = df.select(real(column).alias("x"), *[c.alias(f"in_{p}") for p, c in populations.items()])
-    data = data.where(F.col("x").isNotNull())
+    data = materialize(data.where(F.col("x").isNotNull()), "histogram")
     # One row: the range of every population.
     ends = data.agg(
         F.array(

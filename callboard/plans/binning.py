@@ -24,6 +24,8 @@ from ..session import materialize
 PREBINS = 20
 SMALLEST_BIN = 0.05
 MISSING = -1
+# Category that rare ones are put together in, and unseen ones where there is one.
+OTHER = "Other"
 
 BIN_SCHEMA = "variable STRING, bin INT, lower DOUBLE, upper DOUBLE, n LONG, events LONG"
 
@@ -42,6 +44,24 @@ def category_rates(df: DataFrame, columns: Sequence[str], label: str) -> DataFra
     )
 
 
+def with_rare_folded(counted: DataFrame, rare: float) -> DataFrame:
+    """Put categories with less than ``rare`` of their variable's rows together as ``OTHER``.
+
+    A category with a few rows takes an event rate that is mostly chance; on pure noise that
+    alone looks informative.
+    """
+    known = counted.where(F.col("category").isNotNull())
+    # One row per variable.
+    totals = known.groupBy("variable").agg(F.sum("n").alias("_total"))
+    folded = F.when(F.col("n") < rare * F.col("_total"), OTHER).otherwise(F.col("category"))
+    known = known.join(F.broadcast(totals), "variable").withColumn("category", folded)
+    rows = known.select("variable", "category", "n", "events").unionByName(
+        counted.where(F.col("category").isNull()).select("variable", "category", "n", "events")
+    )
+    summed = rows.groupBy("variable", "category").agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
+    return summed.withColumn("rate", F.col("events") / F.col("n"))
+
+
 def prebin_counts(df: DataFrame, cuts: dict[str, list[float]], label: str) -> DataFrame:
     """(variable, prebin, n, events) of numeric variables; prebin -1 holds missing values.
 
@@ -185,13 +205,14 @@ class Binning:
 
     ``table`` has (variable, bin, lower, upper, n, events), a few rows per variable.
     ``rates`` has one row per category and lies in the shared folder; it may be large.
+    ``others`` has the event rate of the rare categories of each variable that has any.
     """
 
     numeric: list[str]
     categorical: list[str]
     table: DataFrame
     rates: DataFrame | None = None
-    n_categories: dict[str, int] = field(default_factory=dict)
+    others: dict[str, float] = field(default_factory=dict)
 
 
 def fit_binning(
@@ -202,8 +223,13 @@ def fit_binning(
     parts: int = PREBINS,
     smallest: float = SMALLEST_BIN,
     trend: str | None = "auto",
+    rare: float = 0.0,
 ) -> Binning:
-    """Bin all variables against a 0/1 label. ``df`` is read several times; keep it cheap to read."""
+    """Bin all variables against a 0/1 label. ``df`` is read several times; keep it cheap to read.
+
+    With ``rare`` above 0, categories with less than that share of the rows are one category,
+    which unseen ones join when rows are scored.
+    """
     numeric, categorical = list(numeric), list(categorical)
     known = df.where(F.col(label).isNotNull())
     found: list[DataFrame] = []
@@ -212,11 +238,13 @@ def fit_binning(
         cuts = rank_cuts(values, numeric, parts)
         found.append(_edges(cuts, prebin_counts(values, cuts, label)))
 
-    rates, sizes = None, {}
+    rates, others = None, {}
     if categorical:
-        counted = materialize(category_rates(known, categorical, label), "category-rates")
+        counted = category_rates(known, categorical, label)
+        counted = materialize(with_rare_folded(counted, rare) if rare else counted, "category-rates")
         rates = counted.where(F.col("category").isNotNull())
-        sizes = {r["variable"]: r["k"] for r in rates.groupBy("variable").agg(F.count("*").alias("k")).collect()}
+        if rare:
+            others = {r["variable"]: r["rate"] for r in rates.where(F.col("category") == OTHER).collect()}
         # One column per variable, so that the rates are cut as numeric variables are.
         wide = rates.select("n", "events", *[F.when(F.col("variable") == c, F.col("rate")).alias(c) for c in categorical])
         cuts = rank_cuts(wide, categorical, parts, weight="n")
@@ -237,7 +265,7 @@ def fit_binning(
     # A few rows per variable; kept as such, since every later step needs them.
     rows = merge_bins(prebins, smallest, trend).collect()
     table = df.sparkSession.createDataFrame(rows, BIN_SCHEMA)
-    return Binning(numeric, categorical, table, rates, sizes)
+    return Binning(numeric, categorical, table, rates, others)
 
 
 # Workers get the merging functions by value, so nothing has to be installed on them.

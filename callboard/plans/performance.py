@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.numbers import number
 from ..operators import hypothesis
+from ..operators.describe import columns_by_kind
 from ..operators.skew import hot_keys
 from ..session import materialize
 from ..sources.tables import read_table
@@ -26,8 +27,7 @@ NUMERIC = [
     "agent_tenure_days", "resolution_days", "customer_tenure_days", "csatscore", "day_working_hours",
     "day_billable_hour", "CPH", "counting", "number_cases",
 ]
-CATEGORICAL_OLDER = ["employee_name", "incidentlevel2reason", "sub_line_of_business__c"]
-NUMERIC_OLDER = [
+FEATURES_OLDER = ["employee_name", "incidentlevel2reason", "sub_line_of_business__c"] + [
     c for c in NUMERIC if c not in ("customer_tenure_days", "counting", "number_cases")
 ]
 # The attributes of the tests.
@@ -130,7 +130,9 @@ def run(rows: DataFrame, label: str = "pred_score") -> Result:
 
 
 def run_older(rows: DataFrame) -> Result:
-    return _run(rows, NUMERIC_OLDER, CATEGORICAL_OLDER, "chs", 1000)
+    """Older form; what is a category and what a number follows from the columns' types."""
+    categorical, numeric = columns_by_kind(rows.select(*FEATURES_OLDER))
+    return _run(rows, numeric, categorical, "chs", 1000)
 
 
 def tests(rows: DataFrame) -> DataFrame:

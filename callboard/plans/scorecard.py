@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import real
@@ -23,6 +23,11 @@ MOST_ITERATIONS = 5000
 LOWEST, HIGHEST = 0.0, 100.0
 TEST_PARTS, ALL_PARTS = 1, 5
 
+MODEL_SCHEMA = (
+    "numeric ARRAY<STRING>, categorical ARRAY<STRING>, others MAP<STRING, DOUBLE>, variables ARRAY<STRING>, "
+    "intercept DOUBLE, coefficients MAP<STRING, DOUBLE>, lowest DOUBLE, highest DOUBLE, passes INT"
+)
+
 
 def is_test(key: Column | str) -> Column:
     """True for the fifth of the cases that is kept for testing.
@@ -71,6 +76,49 @@ class Scorecard:
         """
         return _with_bins(df, self.binning, self.table.collect(), self.variables, what, suffix)
 
+    def category_bins(self) -> DataFrame:
+        """(variable, bin, category, n, events, woe, points): which categories are in which bin."""
+        rows = self.table.collect()
+        rates = self.binning.rates.where(F.col("variable").isin([v for v in self.variables if v in self.binning.categorical]))
+        values = {}
+        for what in ("bin", "woe", "points"):
+            cases = None
+            for v in self.binning.categorical:
+                bins = sorted((r for r in rows if r["variable"] == v and r["bin"] >= 0), key=lambda r: r["bin"])
+                if bins:
+                    here = _by_bin(F.col("rate"), bins, what, 0.0)
+                    cases = (F if cases is None else cases).when(F.col("variable") == v, here)
+            values[what] = cases if cases is not None else F.lit(None)
+        return rates.select(
+            "variable", values["bin"].cast("int").alias("bin"), "category", "n", "events",
+            values["woe"].cast("double").alias("woe"), values["points"].cast("double").alias("points"),
+        )
+
+    def write(self, path: str) -> None:
+        """Store the scorecard, its category rates among it, in a folder of its own."""
+        spark = self.table.sparkSession
+        self.table.write.mode("overwrite").parquet(f"{path}/table")
+        if self.binning.rates is not None:
+            self.binning.rates.write.mode("overwrite").parquet(f"{path}/rates")
+        one = (
+            self.binning.numeric, self.binning.categorical, self.binning.others, self.variables, self.intercept,
+            self.coefficients, self.lowest, self.highest, self.passes,
+        )
+        spark.createDataFrame([one], MODEL_SCHEMA).write.mode("overwrite").parquet(f"{path}/model")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Scorecard:
+        """A scorecard that was stored with :meth:`write`."""
+        one = spark.read.schema(MODEL_SCHEMA).parquet(f"{path}/model").first()
+        table = spark.read.parquet(f"{path}/table")
+        rates = spark.read.parquet(f"{path}/rates") if one["categorical"] else None
+        bins = table.select("variable", "bin", "lower", "upper", "n", "events")
+        binning = Binning(list(one["numeric"]), list(one["categorical"]), bins, rates, one["others"])
+        return Scorecard(
+            binning, list(one["variables"]), one["intercept"], one["coefficients"], table,
+            one["lowest"], one["highest"], one["passes"],
+        )
+
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         """Add the score: the sum of the points of the row's bins."""
         points = self.with_bins(df, "points", "_points")
@@ -100,7 +148,11 @@ def _with_bins(
         )
         # A plain join with a stored table: Spark broadcasts it if it is small, else it splits hot categories.
         joined = out.withColumn(f"_{v}", F.col(v).cast("string")).join(mapping, f"_{v}", "left")
-        out = joined.withColumn(v + suffix, F.coalesce(F.col(v + suffix), F.lit(absent.get(v, 0.0)))).drop(f"_{v}")
+        found = [F.col(v + suffix)]
+        if v in binning.others:
+            unseen = next(b[what] for b in of[v] if binning.others[v] < b["upper"])
+            found.append(F.when(F.col(f"_{v}").isNotNull(), F.lit(unseen)))
+        out = joined.withColumn(v + suffix, F.coalesce(*found, F.lit(absent.get(v, 0.0)))).drop(f"_{v}")
     return out
 
 

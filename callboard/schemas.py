@@ -30,5 +30,3 @@ SNAPSHOT = """
           Concurrency: ARRAY<STRUCT<AvailableSlots: INT, MaximumSlots: INT>>>>>"""
 
 SCORECARD = "issue_code STRING, ldap STRING, score DOUBLE"
-
-TEST_REPORT = "attribute STRING, test STRING, statistic DOUBLE, df DOUBLE, p_value DOUBLE"

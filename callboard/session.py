@@ -44,9 +44,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Folder below the shared one that holds whatever this application writes in between."""
+    return f"{shared_folder(spark)}/callboard/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """Path of a folder below the shared one that nothing uses yet."""
-    return f"{shared_folder(spark)}/callboard/{name}-{uuid.uuid4().hex}"
+    """Path of a folder of this application that nothing uses yet."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of the JVM for a path."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has written in between; frames that still read it end here."""
+    files, path = file_system(spark, run_folder(spark))
+    files.delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

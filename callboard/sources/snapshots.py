@@ -56,8 +56,8 @@ def newest_file(files: DataFrame) -> str | None:
 
 
 def read_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, file_path, file_time) of a file or folder, one row per object."""
-    return pieces_of(spark.read.option("lineSep", SEAM).text(path))
+    """(piece, file_path, file_time) of a file or of all files below a folder, one row per object."""
+    return pieces_of(spark.read.option("lineSep", SEAM).option("recursiveFileLookup", True).text(path))
 
 
 def pieces_of(lines: DataFrame) -> DataFrame:
@@ -97,19 +97,3 @@ def available_now(spark: SparkSession, root: str, as_of: datetime | None = None,
     if path is None:
         return spark.createDataFrame([], "ldap STRING")
     return available_agents(read_pieces(spark, path))
-
-
-def write_back_to_back(df: DataFrame, root: str, json: str = "json") -> None:
-    """Write JSON objects with nothing between them, in one folder per hour.
-
-    ``df`` has the columns of ``LEVELS`` and one with the object as text. The text
-    writer ends each record with a separator of its own; here that is the object's
-    closing brace.
-    """
-    body = F.expr(f"left({json}, length({json}) - 1)")
-    (
-        df.select(body.alias("value"), *LEVELS)
-        .write.partitionBy(*LEVELS)
-        .option("lineSep", "}")
-        .text(f"{root.rstrip('/')}/{PREFIX}")
-    )

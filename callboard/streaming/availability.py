@@ -6,55 +6,86 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.snapshots import SEAM
+from ..session import file_system
 from ..sources.snapshots import agents, hour_of_path, pieces_of
 
-STATE_SCHEMA = "ldap STRING, hour STRING, file_time TIMESTAMP, file_path STRING, available BOOLEAN, batch LONG"
+RECORD = ["hour", "file_time", "file_path", "available"]
+STATE_SCHEMA = "ldap STRING, hour STRING, file_time TIMESTAMP, file_path STRING, available BOOLEAN"
+# Versions of the state that stay: the present one, and the one before for a batch that is run again.
+KEPT_VERSIONS = 2
 
 
-def arriving(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of snapshots from every file that appears below ``folder``."""
+def arriving(
+    spark: SparkSession, folder: str, files_per_trigger: int | None = None, archive: str | None = None
+) -> DataFrame:
+    """Stream of snapshots from every file that appears below ``folder``.
+
+    A trigger lists the folder whole. With ``archive`` files are moved there once they are dealt
+    with, so that the listing stays as short as what is new.
+    """
     reader = (
         spark.readStream.schema("value STRING").option("lineSep", SEAM).option("recursiveFileLookup", True)
     )
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return agents(pieces_of(reader.text(folder)))
 
 
-def latest_state(snapshots: DataFrame) -> DataFrame:
+def records(snapshots: DataFrame) -> DataFrame:
+    """Snapshots as states: (ldap, hour, file_time, file_path, available)."""
+    known = snapshots.where(F.col("ldap").isNotNull())
+    return known.select("ldap", hour_of_path(F.col("file_path")).alias("hour"), *RECORD[1:])
+
+
+def latest_state(states: DataFrame) -> DataFrame:
     """Latest known state of every agent.
 
     Files are ordered by the hour of their folder, then by when they were written. An
     agent met twice in one file is available if either record says so. Both rules are
-    one maximum, so the state is a single row per agent, and a late, older file changes
-    nothing.
+    one maximum, so the state is a single row per agent, a late, older file changes
+    nothing, and a file that is met again changes nothing either.
     """
-    known = snapshots.where(F.col("ldap").isNotNull())
-    record = F.struct(hour_of_path(F.col("file_path")).alias("hour"), "file_time", "file_path", "available")
-    return known.groupBy("ldap").agg(F.max(record).alias("last")).select("ldap", "last.*")
+    return states.groupBy("ldap").agg(F.max(F.struct(*RECORD)).alias("last")).select("ldap", "last.*")
+
+
+def versions(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the states that are written whole, in order."""
+    files, path = file_system(spark, table)
+    if not files.exists(path):
+        return []
+    found = [status.getPath() for status in files.listStatus(path)]
+    whole = [p for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("version=")) for p in whole)
 
 
 def keep_up(snapshots: DataFrame, table: str, checkpoint: str, available_now: bool = True):
-    """Start the stream; each batch writes the agents whose state changed.
+    """Start the stream; each batch writes the whole state, one row per agent, as a new version.
 
-    A batch writes a folder of its own and replaces it when it is run again, so a
-    restart leaves neither gaps nor doubles.
+    A version is the one before it and the batch, so a batch that is run again writes the same
+    and a restart leaves neither gaps nor doubles. Versions nobody needs are removed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-
-    writer = (
-        latest_state(snapshots)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
-    )
+        spark = batch.sparkSession
+        states, before = records(batch), [v for v in versions(spark, table) if v < batch_id]
+        if before:
+            states = states.unionByName(_version(spark, table, before[-1]))
+        latest_state(states).write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+        for old in versions(spark, table)[:-KEPT_VERSIONS]:
+            files, path = file_system(spark, f"{table}/version={old}")
+            files.delete(path, True)
+
+    writer = snapshots.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _version(spark: SparkSession, table: str, number: int) -> DataFrame:
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{table}/version={number}")
+
+
 def read_state(spark: SparkSession, table: str) -> DataFrame:
     """(ldap, hour, file_time, file_path, available) of every agent, as of the last batch."""
-    rows = spark.read.schema(STATE_SCHEMA).parquet(table)
-    last = F.max_by(F.struct("hour", "file_time", "file_path", "available"), "batch")
-    return rows.groupBy("ldap").agg(last.alias("last")).select("ldap", "last.*")
+    found = versions(spark, table)
+    return _version(spark, table, found[-1]) if found else spark.createDataFrame([], STATE_SCHEMA)

@@ -49,7 +49,8 @@ BASE = {
         date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE AS customer_tenure_days
       FROM orders""",
     "productivity": f"""
-      SELECT {_key('user_id', 'day(ts)')} AS employee_key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS cal_date,
+      SELECT {_key('user_id', 'day(ts)')} AS employee_key,
+        CASE WHEN event_id % 10 = 1 THEN '2022-04' ELSE '2024-01' END || strftime(ts, '-%d %H:%M:%S') AS cal_date,
         floor(value * 150)::BIGINT AS login_time, floor(value * 100)::BIGINT AS billable_hour
       FROM events""",
     "health": f"""
@@ -78,7 +79,7 @@ STEPS = BASE | {
       WHERE language_key = '13' AND data_source = 'LE'""",
     "with_health": """
       SELECT facts.*, h.pred_score, h.model_prob FROM facts JOIN (SELECT DISTINCT * FROM health) h USING (case_key)""",
-    "days": """
+    "all_days": """
       SELECT coalesce(c.latest_employee_key, h.employee_key) AS latest_employee_key, coalesce(c.day, h.day) AS day,
         number_cases::DOUBLE AS number_cases, day_working_hours, day_billable_hour,
         CASE WHEN day_billable_hour <> 0 THEN number_cases / day_billable_hour END AS "CPH"
@@ -86,9 +87,9 @@ STEPS = BASE | {
             FROM call_chat GROUP BY ALL) c
       RIGHT JOIN (SELECT employee_key, cal_date[1:10]::DATE AS day, sum(login_time)::DOUBLE / 3600 AS day_working_hours,
                     sum(billable_hour)::DOUBLE / 3600 AS day_billable_hour
-                  FROM productivity
-                  WHERE NOT regexp_matches(cal_date, '2022-0[3456]') GROUP BY ALL) h
+                  FROM productivity GROUP BY ALL) h
         ON c.latest_employee_key = h.employee_key AND c.day = h.day""",
+    "days": "SELECT * FROM all_days WHERE NOT regexp_matches(day::VARCHAR, '2022-0[3456]')",
     "agents": r"""
       SELECT regexp_replace(latest_employee_key, '\|\|[^|]*$', '') AS new_employee_key,
         median(day_working_hours) AS day_working_hours, median(day_billable_hour) AS day_billable_hour,
@@ -97,7 +98,7 @@ STEPS = BASE | {
     "agents_older": """
       SELECT latest_employee_key, avg(day_working_hours) AS day_working_hours,
         avg(day_billable_hour) AS day_billable_hour, avg("CPH") AS "CPH", avg(number_cases) AS number_cases
-      FROM days WHERE "CPH" <= 10 GROUP BY 1""",
+      FROM all_days WHERE "CPH" <= 10 GROUP BY 1""",
     "all_cases": r"""
       SELECT w.* EXCLUDE (csatscore), csatscore::DOUBLE AS csatscore, new_employee_key, counting, day_working_hours,
         day_billable_hour, "CPH", number_cases,
@@ -121,10 +122,11 @@ STEPS = BASE | {
     "routing": """
       SELECT p_type AS issue_code, s_name AS ldap, round(avg(l_discount), 6) AS score FROM lines GROUP BY ALL""",
     "available": "SELECT s_name AS ldap FROM supplier WHERE s_acctbal > 5000",
-    "states": """
-      SELECT 'agent' || user_id AS ldap, date_trunc('hour', ts) AS h,
-        arg_max(event_type IN ('click', 'view') AND (props->>'k')::INT % 3 > 0, (ts, event_id)) AS available
-      FROM events GROUP BY ALL""",
+    "records": """
+      SELECT event_id, 'agent' || (user_id % 40) AS ldap, date_trunc('hour', ts) AS h, minute(ts) // 30 AS half,
+        event_type IN ('click', 'view') AND (props->>'k')::INT % 3 > 0 AS available
+      FROM events""",
+    "files": "SELECT ldap, h, half, bool_or(available) AS available FROM records GROUP BY ALL",
 }
 
 
@@ -152,7 +154,7 @@ def _rounded(*columns: str, digits: int = 6) -> str:
 _MEASURES = ("day_working_hours", "day_billable_hour", "CPH", "number_cases")
 
 ORACLE["agent_day_productivity"] = sql(
-    f"SELECT latest_employee_key, day, number_cases, {_rounded(*_MEASURES[:3])} FROM days"
+    f"SELECT latest_employee_key, day, number_cases, {_rounded(*_MEASURES[:3])} FROM all_days"
 )
 ORACLE["agent_rollup_median"] = sql(f"SELECT new_employee_key, {_rounded(*_MEASURES)} FROM agents")
 ORACLE["agent_rollup_mean"] = sql(f"SELECT latest_employee_key, {_rounded(*_MEASURES)} FROM agents_older")
@@ -308,13 +310,17 @@ ORACLE["hash_split"] = sql(f"SELECT case_key, {_IS_TEST} AS test, count(*) AS n
 
 
 def binning_steps(
-    numeric: tuple[str, ...], categorical: tuple[str, ...], source: str, smallest: float = 0.05, trend: bool = True
+    numeric: tuple[str, ...], categorical: tuple[str, ...], source: str, smallest: float = 0.05, trend: bool = True,
+    rare: float = 0,
 ) -> dict[str, str]:
     """Steps ending in ``bins``: variable, bin, lower, upper, n, events."""
     rows = [f"SELECT '{c}' AS v, {c}::DOUBLE AS x, NULL::VARCHAR AS category, pred_score AS y FROM {source}" for c in numeric]
     rows += [
         f"""SELECT '{c}' AS v, CASE WHEN {c} IS NOT NULL THEN sum(pred_score) OVER (PARTITION BY {c})
-              / count(*) OVER (PARTITION BY {c})::DOUBLE END AS x, {c} AS category, pred_score AS y FROM {source}"""
+              / count(*) OVER (PARTITION BY {c})::DOUBLE END AS x, {c} AS category, pred_score AS y
+            FROM (SELECT pred_score, CASE WHEN count(*) OVER (PARTITION BY {c}) < {rare}::DOUBLE * count({c}) OVER ()
+                    THEN 'Other' ELSE {c} END AS {c} FROM {source} WHERE {c} IS NOT NULL
+                  UNION ALL SELECT pred_score, NULL FROM {source} WHERE {c} IS NULL)"""
         for c in categorical
     ]
     steps = {
@@ -403,6 +409,10 @@ ORACLE["woe_iv_numeric"] = sql(f"SELECT {_EVIDENCE_COLUMNS} FROM evidence", **bi
 ORACLE["woe_iv_categorical"] = sql(
     f"SELECT {_EVIDENCE_COLUMNS} FROM evidence", **binning_steps((), CATEGORICAL, "with_health")
 )
+ORACLE["woe_iv_categorical_rare"] = sql(
+    f"SELECT {_EVIDENCE_COLUMNS} FROM evidence",
+    **binning_steps((), ("skill_category", "employee_name"), "with_health", rare=0.012),
+)
 ORACLE["iv_selection"] = sql(
     """SELECT variable, round(sum(iv), 6) AS iv FROM evidence GROUP BY variable
        HAVING sum(iv) BETWEEN 0.005 AND 0.5""",
@@ -509,6 +519,11 @@ ORACLE["scorecard_table"] = sql(
     **_NEWER,
 )
 ORACLE["scorecard_scores"] = sql("SELECT case_key, round(score, 3) AS score FROM card_scores", **_NEWER)
+ORACLE["category_bins"] = sql(
+    """SELECT d.variable, d.bin, category, rates.n, rates.events, round(woe, 6) AS woe, round(points, 4) AS points
+       FROM rates JOIN detailed d ON d.variable = rates.v AND d.bin >= 0 AND x >= d.lower AND x < d.upper""",
+    **_NEWER,
+)
 ORACLE["agent_performance"] = sql(_FINAL, **_NEWER)
 ORACLE["agent_performance_older"] = sql(_FINAL, **_OLDER)
 
@@ -535,10 +550,6 @@ ORACLE["ks"] = sql(
     "SELECT round(abs(tpr - fpr), 6) AS ks, score FROM points ORDER BY abs(tpr - fpr) DESC, score DESC LIMIT 1",
     points=_CURVE.format(score="n_chars", label="quality", source="documents JOIN labels USING (doc_id)"),
 )
-ORACLE["running_sum"] = """
-  SELECT price, n, sum(n) OVER (ORDER BY price)::BIGINT AS n_running
-  FROM (SELECT l_extendedprice AS price, count(*) AS n FROM lineitem GROUP BY 1)"""
-
 # Final scores.
 
 ORACLE["final_score"] = sql("SELECT * FROM final")
@@ -551,21 +562,25 @@ ORACLE["final_score_pivot"] = sql(
     + " FROM final GROUP BY ALL"
 )
 ORACLE["exported_scores"] = ORACLE["final_score"]
+ORACLE["exported_pivot"] = ORACLE["final_score_pivot"]
+ORACLE["exported_model_table"] = ORACLE["scorecard_table"]
+ORACLE["scorecard_kept"] = ORACLE["scorecard_scores"]
 
 # Snapshots.
 
-ORACLE["json_repair_explode"] = """
-  SELECT event_id, 0 AS position, event_id::VARCHAR AS account, 'agent' || user_id AS ldap,
-    event_type IN ('click', 'view') AND (props->>'k')::INT % 3 > 0 AS available FROM events
-  UNION ALL
-  SELECT event_id, 1, (event_id + 1)::VARCHAR, 'agent' || user_id || '}{x', event_type NOT IN ('click', 'view') FROM events"""
-ORACLE["snapshot_pieces"] = sql("SELECT strftime(h, '%Y/%m/%d/%H') AS hour, ldap, available FROM states")
+ORACLE["json_repair_explode"] = sql(
+    """SELECT event_id, 0 AS position, event_id::VARCHAR AS account, ldap, available FROM records
+       UNION ALL
+       SELECT event_id, 1, (event_id + 1)::VARCHAR, ldap || '}{x', event_type NOT IN ('click', 'view')
+       FROM records JOIN events USING (event_id)"""
+)
+ORACLE["snapshot_pieces"] = sql("SELECT strftime(h, '%Y/%m/%d/%H') AS hour, ldap, available FROM records")
 ORACLE["latest_file_available"] = sql(
-    "SELECT ldap FROM states WHERE h = (SELECT date_trunc('hour', max(ts)) FROM events) AND available"
+    "SELECT ldap FROM files WHERE available AND (h, half) = (SELECT max((h, half)) FROM files)"
 )
 ORACLE["availability_stream"] = sql(
-    """SELECT ldap, strftime(max(h), '%Y/%m/%d/%H') AS hour, arg_max(available, h) AS available
-       FROM states GROUP BY ldap"""
+    """SELECT ldap, strftime(max(h), '%Y/%m/%d/%H') AS hour, arg_max(available, (h, half)) AS available
+       FROM files GROUP BY ldap"""
 )
 
 # Routing.

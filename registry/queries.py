@@ -11,7 +11,6 @@ from callboard.functions import snapshots as snapshot_text
 from callboard.functions.numbers import number, recode
 from callboard.functions.text import without_version
 from callboard.operators import describe, hypothesis
-from callboard.operators.ordering import running_totals
 from callboard.operators.upsert import upsert
 from callboard.plans import binning, cases, final_scores, health, performance, productivity, roc, routing, scorecard
 from callboard.session import materialize, new_folder
@@ -25,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Numeric attributes of a line item, its order and its part, used as variables and attributes.
 NUMERIC = ["wait_time", "complete_duration", "avg_response_cust", "no_of_agents", "resolution_days"]
 CATEGORICAL = ["skill_category", "employee_name", "last_queue"]
+RARE_CATEGORICAL, RARE_SHARE = ["skill_category", "employee_name"], 0.012
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -175,7 +175,7 @@ def first_cases(spark, sf):
 
 @query
 def label_crosstab(spark, sf):
-    return describe.crosstab(_with_health(spark, sf), "pred_score", "no_of_agents", [1, 2, 3])
+    return describe.crosstab(materialize(_with_health(spark, sf).select("pred_score", "no_of_agents"), "crosstab"), "pred_score", "no_of_agents")
 
 
 @query
@@ -288,6 +288,26 @@ def scorecard_scores(spark, sf):
     return rounded(_result(spark, sf).scored.select("case_key", "score"), "score", digits=3)
 
 
+@query
+def scorecard_kept(spark, sf):
+    """Scores by a scorecard that was stored and read again."""
+    result, path = _result(spark, sf), new_folder(spark, "scorecard-model")
+    result.model.write(path)
+    again = scorecard.Scorecard.read(spark, path).score(result.scored.drop("score"))
+    return rounded(again.select("case_key", "score"), "score", digits=3)
+
+
+@query
+def category_bins(spark, sf):
+    return rounded(rounded(_result(spark, sf).model.category_bins(), "woe"), "points", digits=4)
+
+
+@query
+def woe_iv_categorical_rare(spark, sf):
+    found = binning.fit_binning(_labelled(spark, sf), [], RARE_CATEGORICAL, "pred_score", rare=RARE_SHARE)
+    return _evidence(found)
+
+
 @query
 def roc_curve(spark, sf):
     return rounded(roc.curve(_with_health(spark, sf), "resolution_days", "pred_score"), "tpr", "fpr")
@@ -305,12 +325,6 @@ def ks(spark, sf):
     return rounded(roc.distance(points), "ks")
 
 
-@query
-def running_sum(spark, sf):
-    counts = s.table(spark, sf, "lineitem").groupBy(F.col("l_extendedprice").alias("price")).agg(F.count("*").alias("n"))
-    return running_totals(counts, "price", ["n"])
-
-
 # Final scores
 
 
@@ -326,9 +340,24 @@ def final_score(spark, sf):
 
 @query
 def final_score_pivot(spark, sf):
-    scores = final_scores.final_score(_scored(spark, sf))
-    issues = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    return rounded(final_scores.pivoted(scores, issues), *issues)
+    pivot = final_scores.pivoted(materialize(final_scores.final_score(_scored(spark, sf)), "final-scores"))
+    return rounded(pivot, *pivot.columns[2:])
+
+
+@query
+def exported_pivot(spark, sf):
+    path = new_folder(spark, "pivot-csv")
+    pivot = final_score_pivot(spark, sf)
+    tables.write_csv(pivot, path)
+    return spark.read.schema(pivot.schema).option("header", True).csv(path)
+
+
+@query
+def exported_model_table(spark, sf):
+    path = new_folder(spark, "model-csv")
+    table = _detailed(_result(spark, sf).model.table)
+    tables.write_csv(table, path)
+    return spark.read.schema(table.schema).option("header", True).csv(path)
 
 
 @query
@@ -370,7 +399,7 @@ def json_repair_explode(spark, sf):
 
 def _written_snapshots(spark, sf):
     root = new_folder(spark, "snapshots")
-    snapshots.write_back_to_back(s.hourly_snapshots(spark, sf), root)
+    s.write_snapshots(spark, sf, root)
     return root
 
 
@@ -385,7 +414,7 @@ def snapshot_pieces(spark, sf):
 def latest_file_available(spark, sf):
     root = _written_snapshots(spark, sf)
     last = s.table(spark, sf, "events").agg(F.max("ts")).first()[0]
-    return snapshots.available_now(spark, root, last, named=True)
+    return snapshots.available_now(spark, root, last)
 
 
 @query

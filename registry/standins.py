@@ -5,10 +5,14 @@ Every function reads whole tables; ``registry/oracle.py`` states the same deriva
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callboard.plans.performance import Tables
+from callboard.session import file_system
+from callboard.sources.snapshots import PREFIX
 
 # Schemas of the test tables that are used.
 SCHEMAS = {
@@ -90,7 +94,8 @@ def closed_cases(spark: SparkSession, sf: str) -> DataFrame:
 def productivity(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").selectExpr(
         f"{_employee_key('user_id', 'dayofmonth(ts)')} AS employee_key",
-        "date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS cal_date",
+        # One in ten lies in a month that is left out.
+        "concat(if(event_id % 10 = 1, '2022-04', '2024-01'), date_format(ts, '-dd HH:mm:ss')) AS cal_date",
         "floor(value * 150) AS login_time",
         "floor(value * 100) AS billable_hour",
     )
@@ -156,26 +161,35 @@ def event_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").selectExpr(
         "event_id",
         "ts",
-        "concat('agent', user_id) AS ldap",
+        "concat('agent', user_id % 40) AS ldap",
         "event_type IN ('click', 'view') AS routable",
         "int(get_json_object(props, '$.k')) % 3 AS slots",
     )
 
 
-def hourly_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """One object per agent and hour, with the columns ``write_back_to_back`` wants.
+def write_snapshots(spark: SparkSession, sf: str, root: str) -> None:
+    """All events as status files, two an hour, in folders ``connect/AEs/YYYY/MM/DD/HH``.
 
-    Events are reduced to one state per agent and hour before they are gathered into one
-    file per hour, so a file is bounded by the number of agents, however many events an
-    hour holds.
+    The text writer ends each record with a separator of its own; here that is the object's
+    closing brace, so nothing stands between two objects. It names folders ``level=value``, so
+    the files, one for each half hour, are moved to where the feed would have put them, with the
+    end of their half hour as the time they were written.
     """
-    states = (
-        event_snapshots(spark, sf)
-        .groupBy("ldap", F.date_trunc("hour", "ts").alias("h"))
-        .agg(F.max(F.struct("ts", "event_id", "routable", "slots")).alias("s"))
+    rows = event_snapshots(spark, sf).selectExpr(
+        "date_format(ts, 'yyyy/MM/dd/HH') AS hour",
+        "int(minute(ts) / 30) AS half",
+        f"{snapshot_json('event_id', 'ldap', 'routable', 'slots')} AS json",
     )
-    levels = ["year", "month", "day", "hour"]
-    return states.selectExpr(
-        *[f"date_format(h, '{p}') AS {level}" for level, p in zip(levels, ("yyyy", "MM", "dd", "HH"))],
-        f"{snapshot_json('s.event_id', 'ldap', 's.routable', 's.slots')} AS json",
-    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *levels)
+    folder = f"{root}/written"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    body = rows.selectExpr("left(json, length(json) - 1) AS value", "replace(hour, '/', '-') AS hour", "half")
+    body.repartition(parts, "hour", "half").write.partitionBy("hour", "half").option("lineSep", "}").text(folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "hour", "half")
+    files, _ = file_system(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for row in found.collect():
+        hour = datetime.strptime(row["hour"], "%Y-%m-%d-%H").replace(tzinfo=timezone.utc)
+        target = path(f"{root}/{PREFIX}/{hour:%Y/%m/%d/%H}/half-{row['half']}.json")
+        files.mkdirs(target.getParent())
+        files.rename(path(row["path"]), target)
+        files.setTimes(target, int(hour.timestamp() + 1800 * (row["half"] + 1)) * 1000, -1)

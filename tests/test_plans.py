@@ -204,6 +204,48 @@ def test_categories_are_joined_with_and_without_broadcast(spark, modelled):
     assert after == before
 
 
+def test_scorecard_can_be_stored(spark, modelled, tmp_path):
+    df, model = modelled
+    model.write(str(tmp_path / "card"))
+    again = scorecard.Scorecard.read(spark, str(tmp_path / "card"))
+    assert {r.k: r.score for r in again.score(df).collect()} == {r.k: r.score for r in model.score(df).collect()}
+    assert sorted(map(tuple, again.category_bins().collect())) == sorted(map(tuple, model.category_bins().collect()))
+
+
+def test_category_bins(modelled):
+    df, model = modelled
+    rows = {r.category: r for r in model.category_bins().collect()}
+    assert set(rows) == {"red", "green", "blue", "rare"}
+    counts = {r.c: r["count"] for r in df.groupBy("c").count().collect()}
+    assert all(rows[c].n == counts[c] for c in rows)
+    table = {(r.variable, r.bin): r for r in model.table.collect()}
+    assert all(r.points == table["c", r.bin].points and r.woe == table["c", r.bin].woe for r in rows.values())
+
+
+def test_rare_categories_are_folded(spark, modelled):
+    df, _ = modelled
+    model = scorecard.fit(df, ["x"], ["c"], "y", rare=0.05)
+    rows = {r.category: r for r in model.category_bins().collect()}
+    assert set(rows) == {"red", "green", "blue", "Other"}
+    schema = "k STRING, x DOUBLE, c STRING"
+    points = {r.k: r.score for r in model.score(spark.createDataFrame([(c, None, c) for c in ("rare", "violet", "red")], schema)).collect()}
+    assert points["rare"] == points["violet"]
+    missing = model.score(spark.createDataFrame([("m", None, None)], schema)).first().score
+    absent = {r.variable: r.points for r in model.table.where("bin = -1").collect()}
+    assert missing == pytest.approx(absent["x"] + absent["c"])
+    assert points["violet"] == pytest.approx(absent["x"] + rows["Other"].points)
+
+
+def test_folding_takes_the_chance_out_of_noise(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"c{i // 3}", int(rng.random() < 0.5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "c STRING, y INT")
+    plain, folded = (
+        binning.information_values(binning.fit_binning(df, [], ["c"], "y", rare=rare).table).first().iv for rare in (0.0, 0.01)
+    )
+    assert plain > 0.5 and folded < 0.01
+
+
 def test_joined_bins():
     bins = [[0, 1, 10, 0], [1, 2, 100, 30], [2, 3, 100, 20], [3, 4, 100, 60], [4, 5, 2, 1]]
     joined = binning.joined_bins(bins, 0.05, "ascending")

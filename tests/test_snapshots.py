@@ -111,6 +111,36 @@ def test_stream_keeps_the_latest_state(spark, tmp_path):
     assert catch_up() == {"a": True, "b": False, "c": True, "d": True}
 
 
+def test_state_does_not_grow_with_batches(spark, tmp_path):
+    root, table = tmp_path / "in", str(tmp_path / "state")
+    for i in range(6):
+        write(root, f"f{i}", [record("a", slots=(i % 2,)), record(f"u{i}")], 1000 + i, hour=f"2022/02/14/{i:02d}")
+    stream = availability.arriving(spark, str(root), files_per_trigger=1, archive=str(tmp_path / "done"))
+    availability.keep_up(stream, table, str(tmp_path / "progress")).awaitTermination()
+    found = availability.versions(spark, table)
+    assert found == [4, 5]
+    state = availability.read_state(spark, table)
+    assert state.count() == 7 and {r.ldap: r.available for r in state.collect()}["a"] is True
+    # Files that are dealt with leave the folder that is listed.
+    assert len(list(root.rglob("f?"))) < 6
+
+
+def test_no_state_yet(spark, tmp_path):
+    assert availability.read_state(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_run_folder_can_be_cleared(spark):
+    from callboard import session
+
+    kept = session.materialize(spark.range(3).toDF("i"), "test-clear")
+    folder = session.run_folder(spark)
+    assert kept.count() == 3 and os.path.isdir(folder)
+    session.clear(spark)
+    assert not os.path.isdir(folder)
+    session.clear(spark)
+    assert session.materialize(spark.range(2).toDF("i"), "test-clear").count() == 2
+
+
 def test_scorecard_store(spark):
     path = new_folder(spark, "test-scorecard")
     rows = spark.createDataFrame([("i", "a", 1.0), ("i", "b", 2.0), ("j", "a", 3.0)], "issue_code STRING, ldap STRING, score DOUBLE")
