@@ -135,7 +135,7 @@ RULES = (
     Rule("few_words", "n_words < 10"),
     Rule("repeated_words", "100 * n_repeat_words > 20 * n_words"),
     Rule("symbols", "100 * n_symbols > 10 * n_words"),
-    Rule("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("repeated_lines", "n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 20 * n_words"),
 )

@@ -33,7 +33,11 @@ def plain(spark):
     def passes(raw):
         n, chars, symbols, lines, dup, repeated = brute_quality(raw)
         return not (
-            n < 10 or 100 * repeated > 20 * n or 100 * symbols > 10 * n or 100 * dup > 30 * lines or chars < 2 * n or chars > 20 * n
+            n < 10
+            or 100 * repeated > 20 * n
+            or 100 * symbols > 10 * n
+            or (dup > 2 and 100 * dup > 30 * lines)
+            or not 2 * n <= chars <= 20 * n
         )
 
     first = [(doc, raw) for doc, raw in documents if passes(raw)]
