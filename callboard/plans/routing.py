@@ -17,7 +17,8 @@ def best_agents(scorecard: DataFrame, available: DataFrame) -> DataFrame:
     """(issue_code, ldap): the best-scoring available agent of every issue; the lower login on a tie.
 
     An aggregate with map-side reduction instead of a ranking window, so an issue with
-    very many agents is not sorted in one task.
+    very many agents is not sorted in one task. As the login is text, Spark sorts each task's
+    rows by issue to do so; ``min_by`` would too.
     """
     first = F.min(F.struct(F.col("score").isNull(), -F.col("score"), F.col("ldap"))).alias("first")
     return (
