@@ -154,10 +154,10 @@ def _rounded(*columns: str, digits: int = 6) -> str:
 _MEASURES = ("day_working_hours", "day_billable_hour", "CPH", "number_cases")
 
 ORACLE["agent_day_productivity"] = sql(
-    f"SELECT latest_employee_key, day, number_cases, {_rounded(*_MEASURES[:3])} FROM all_days"
+    f"SELECT latest_employee_key, day, number_cases, {_rounded(*_MEASURES[:3], digits=9)} FROM all_days"
 )
-ORACLE["agent_rollup_median"] = sql(f"SELECT new_employee_key, {_rounded(*_MEASURES)} FROM agents")
-ORACLE["agent_rollup_mean"] = sql(f"SELECT latest_employee_key, {_rounded(*_MEASURES)} FROM agents_older")
+ORACLE["agent_rollup_median"] = sql(f"SELECT new_employee_key, {_rounded(*_MEASURES, digits=9)} FROM agents")
+ORACLE["agent_rollup_mean"] = sql(f"SELECT latest_employee_key, {_rounded(*_MEASURES, digits=9)} FROM agents_older")
 ORACLE["exclude_months"] = sql(
     "SELECT * FROM productivity WHERE NOT (cal_date LIKE '%2024-01-0%' OR cal_date LIKE '%2024-01-2%')"
 )
@@ -180,10 +180,10 @@ ORACLE["issue_case_count_joined"] = sql(
 )
 ORACLE["model_frame"] = sql(
     f"""SELECT case_key, new_employee_key, pred_score, model_prob, sign, counting, number_cases,
-          {_rounded(*_MEASURES[:3])}, csatscore, wait_time FROM all_cases"""
+          {_rounded(*_MEASURES[:3], digits=9)}, csatscore, wait_time FROM all_cases"""
 )
 ORACLE["model_frame_older"] = sql(
-    f"SELECT case_key, employee_key, chs, {_rounded(*_MEASURES[:3])}, csatscore, wait_time FROM all_cases_older"
+    f"SELECT case_key, employee_key, chs, {_rounded(*_MEASURES[:3], digits=9)}, csatscore, wait_time FROM all_cases_older"
 )
 
 # Labels and descriptive tables.

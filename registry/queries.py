@@ -24,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Numeric attributes of a line item, its order and its part, used as variables and attributes.
 NUMERIC = ["wait_time", "complete_duration", "avg_response_cust", "no_of_agents", "resolution_days"]
 CATEGORICAL = ["skill_category", "employee_name", "last_queue"]
+# Means of whole seconds in hours often end in a 5 within eight digits; at nine few are halfway between two.
+HOUR_DIGITS = 9
 RARE_CATEGORICAL, RARE_SHARE = ["skill_category", "employee_name"], 0.012
 
 
@@ -45,18 +47,18 @@ def agent_day_productivity(spark, sf):
     days = productivity.agent_days(
         productivity.cases_per_day(s.call_chat(spark, sf)), productivity.hours_per_day(s.productivity(spark, sf))
     )
-    return rounded(days, "day_working_hours", "day_billable_hour", "CPH")
+    return rounded(days, "day_working_hours", "day_billable_hour", "CPH", digits=HOUR_DIGITS)
 
 
 @query
 def agent_rollup_median(spark, sf):
-    return rounded(productivity.agent_rollup(s.call_chat(spark, sf), s.productivity(spark, sf)), *productivity.MEASURES)
+    return rounded(productivity.agent_rollup(s.call_chat(spark, sf), s.productivity(spark, sf)), *productivity.MEASURES, digits=HOUR_DIGITS)
 
 
 @query
 def agent_rollup_mean(spark, sf):
     older = productivity.agent_rollup_older(s.call_chat(spark, sf), s.productivity(spark, sf))
-    return rounded(older, *productivity.MEASURES)
+    return rounded(older, *productivity.MEASURES, digits=HOUR_DIGITS)
 
 
 @query
@@ -116,7 +118,7 @@ def model_frame(spark, sf):
         "case_key", "new_employee_key", "pred_score", "model_prob", "sign", "counting", "number_cases",
         "day_working_hours", "day_billable_hour", "CPH", "csatscore", "wait_time",
     )
-    return rounded(rows, "day_working_hours", "day_billable_hour", "CPH")
+    return rounded(rows, "day_working_hours", "day_billable_hour", "CPH", digits=HOUR_DIGITS)
 
 
 @query
@@ -124,7 +126,7 @@ def model_frame_older(spark, sf):
     rows = performance.all_cases_older(s.base_tables(spark, sf)).select(
         "case_key", "employee_key", "chs", "day_working_hours", "day_billable_hour", "CPH", "csatscore", "wait_time"
     )
-    return rounded(rows, "day_working_hours", "day_billable_hour", "CPH")
+    return rounded(rows, "day_working_hours", "day_billable_hour", "CPH", digits=HOUR_DIGITS)
 
 
 # Labels and descriptive tables
