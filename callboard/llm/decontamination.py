@@ -9,9 +9,11 @@ present place, a search moves on by that many bytes, or by m - block + 1 where n
 block. Only where the shift is 0, so the block is the last of a string's first m bytes, the
 strings with that block are compared with the text itself.
 
-The benchmark is dealt with in blocks of about BLOCK_TEXT bytes of text, each sent to the executors
-whole. The documents pass by one block after the other (written in between if there are several)
-and are never shuffled.
+The benchmark is cut into parts of at most PART window starts, which overlap by a window less one
+word, and equal parts are one. They are dealt with in blocks of about BLOCK_TEXT bytes, each sent to
+the executors whole; as parts are short, a long item or one that is repeated makes no block larger.
+The documents pass by one block after the other (written in between if there are several) and are
+never shuffled.
 
 Defined results: null or wordless texts have no words and no windows; an item of fewer words than
 a window is one window; rows that repeat an item_id are parts of one item; an item whose id is
@@ -37,6 +39,8 @@ WINDOW = 10
 BLOCK = 8
 # Benchmark text sent to the executors at a time. Its tables take some two hundred times as much.
 BLOCK_TEXT = 1 << 20
+# Window starts of an item that stay together.
+PART = 2_000
 
 _KEEP = {*b"0123456789", *b"abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)}
 _TO_WORDS = bytes(b if b in _KEEP else ord(" ") for b in bytes(range(256)).lower())
@@ -119,10 +123,31 @@ def _matcher(items: tuple[tuple[str | None, bytes], ...], size: int) -> Matcher:
     return Matcher(items, size)
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[tuple[str | None, bytes], ...]]:
+def parts(item: bytes, size: int = WINDOW, most: int = PART) -> list[bytes]:
+    """An item's words in parts; every window of the item is in one of them, and no others are."""
+    found = words(item)
+    starts = range(0, max(1, len(found) - size + 1), most) if found else ()
+    return [b" ".join(found[i : i + most + size - 1]) for i in starts]
+
+
+def _part_rows(benchmark: DataFrame, item: str, text: str, size: int) -> DataFrame:
+    """(item, text): the different parts of all items."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
+    most = PART
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in portions(batches, "text"):
+            cut = [parts(raw, size, most) for raw in texts]
+            owners = np.repeat(np.arange(len(cut)), [len(own) for own in cut])
+            found = pa.array([part for own in cut for part in own], pa.binary())
+            yield with_columns(batch.select(["item"]).take(pa.array(owners)), ["item"], {"text": found})
+
+    return rows.mapInArrow(work, "item string, text binary").distinct()
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[tuple[tuple[str | None, bytes], ...]]:
     """The benchmark in blocks of bounded text, whatever its size; one empty block if it has none."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.encode(F.col(text), "UTF-8").alias("text"))
-    rows = rows.where("text is not null")
+    rows = written(_part_rows(benchmark, item, text, size), "benchmark-parts")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_TEXT))
     place = F.pmod(F.xxhash64("item", "text"), F.lit(n))
@@ -172,12 +197,15 @@ def search(
     kept = others(df.select(*keep) if keep is not None else df, _NAMES)
     carried = list(dict.fromkeys([*kept, text]))
     found = df.select(*carried)
-    blocks = list(_blocks(benchmark, item, item_text))
-    for i, block in enumerate(blocks):
-        last = i == len(blocks) - 1
+    blocks = _blocks(benchmark, item, item_text, size)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        last = after is None
         found = _pass(found, block, text, size, kept if last else carried)
         if not last:
             found = written(found, "benchmark-hits")
+        block = after
     return found
 
 

@@ -72,6 +72,18 @@ def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     assert multiset(decontamination.report(df, benchmark(spark, ITEMS), ["doc_id"]).collect()) == multiset(whole)
 
 
+def test_long_and_repeated_items_are_cut(spark, monkeypatch):
+    df = odd_documents(spark, [(100 + i, text, "en", "a", 1) for i, text in enumerate(texts())])
+    monkeypatch.setattr(decontamination, "PART", 3)
+    monkeypatch.setattr(decontamination, "BLOCK_TEXT", 12_000)
+    items = [(20, " ".join(texts()[20:40]), "x"), (21, texts()[-1], "x"), *ITEMS]
+    got = decontamination.report(df, benchmark(spark, items * 30), ["doc_id"]).collect()
+    assert multiset(map(tuple, got)) == multiset(brute(texts_of(df), [(a, (b or "").encode()) for a, b, _ in items]))
+    blocks = list(decontamination._blocks(benchmark(spark, items * 30), "item_id", "text", 10))
+    assert len(blocks) > 1 and len({part for block in blocks for part in block}) == sum(map(len, blocks))
+    assert max(len(decontamination.windows(text)) for block in blocks for _, text in block) <= 3
+
+
 def test_shift_table_finds_overlapping_strings():
     strings = [b" a b c d e f g ", b" b c d e f g h ", b" a b c d e f g h "]
     table = decontamination.ShiftTable(strings)
