@@ -5,9 +5,10 @@ longest rule that fits decides. Urls without a rule are judged by gradient-boost
 features: lengths, depth, share of digits, entropy of the characters, number of parameters, and how
 often the suffix (last part of the host) was to be blocked among the labelled urls.
 
-The trees are fitted on at most SAMPLE labelled urls, those with the least hash, so the choice does
-not depend on order or partitions; everything else covers all rows. Suffix statistics come from
-that sample, so there are at most SAMPLE suffixes.
+The trees are fitted on at most SAMPLE different pairs of url and label, those with the least hash,
+each with the number of its rows as weight, so the choice does not depend on order or partitions and
+a url that has many of the rows is one pair; everything else covers all rows. Suffix statistics come
+from that sample, so there are at most SAMPLE suffixes.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and is
 judged by its features like any other; labels that are null are not used; without labels of both
@@ -58,6 +59,8 @@ FEATURES = [
     "_length", "_host_length", "_path_length", "_depth", "_labels", "_digits", "_entropy", "_parameters",
     "_hyphens", "_suffix_rate", "_suffix_count",
 ]
+# Hashes are even over these numbers.
+LEAST_HASH, HASHES = -(1 << 63), 1 << 64
 _OWN = {*FEATURES, "_suffix", "_label", "_features", "_raw", "_probability", "_prediction"}
 
 
@@ -138,20 +141,34 @@ def with_suffixes(rows: DataFrame, suffixes: DataFrame, overall: float) -> DataF
     )
 
 
+def sampled(labelled: DataFrame, label: str = "block", url: str = "url", sample: int = SAMPLE) -> DataFrame:
+    """(url, _label, _weight): the ``sample`` pairs of least hash, or all if there are fewer, and how many rows each has.
+
+    Pairs are about counted first. Only those whose hash is in a range that has some twice as many
+    as asked for are grouped and sorted, so little of the rows is moved, however many there are.
+    """
+    rows = labelled.where(F.col(label).isNotNull()).select(url, F.col(label).cast("double").alias("_label"))
+    rows = rows.withColumn("_hash", F.xxhash64(url, "_label"))
+    about = rows.agg(F.approx_count_distinct("_hash")).first()[0]
+    range_end = LEAST_HASH + min(HASHES - 1, HASHES * (2 * sample + 1000) // max(1, about))
+    pairs = rows.where(F.col("_hash") <= range_end).groupBy(url, "_label", "_hash").agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    return pairs.orderBy("_hash", url, "_label").limit(sample).drop("_hash")
+
+
 def fit(labelled: DataFrame, label: str = "block", url: str = "url", sample: int = SAMPLE) -> Judge:
     """Fit on rows with a url and ``label`` (1: block, 0: allow)."""
-    rows = labelled.where(F.col(label).isNotNull()).select(url, F.col(label).cast("double").alias("_label"))
-    rows = rows.orderBy(F.xxhash64(url, "_label"), url, "_label").limit(sample)
-    rows = written(lexical(split_url(rows, url), url), "labelled-urls")
-    n, overall = rows.agg(F.count(F.lit(1)), F.avg("_label")).first()
-    if not n or overall in (0.0, 1.0):
-        return Judge(None, None, overall or 0.0)
-    statistics = rows.groupBy("_suffix").agg(F.count(F.lit(1)).alias("_suffix_count"), F.sum("_label").alias("sum"))
+    rows = written(lexical(split_url(sampled(labelled, label, url, sample), url), url), "labelled-urls")
+    weighted = F.sum(F.col("_label") * F.col("_weight"))
+    n, blocked = rows.agg(F.sum("_weight"), weighted).first()
+    overall = blocked / n if n else 0.0
+    if overall in (0.0, 1.0):
+        return Judge(None, None, overall)
+    statistics = rows.groupBy("_suffix").agg(F.sum("_weight").alias("_suffix_count"), weighted.alias("sum"))
     rate = (F.col("sum") + F.lit(PRIOR * overall)) / (F.col("_suffix_count") + PRIOR)
     suffixes = written(statistics.select("_suffix", "_suffix_count", rate.alias("_suffix_rate")), "suffixes")
     trees = GBTClassifier(
         labelCol="_label", featuresCol="_features", predictionCol="_prediction", maxIter=TREES, maxDepth=DEPTH, seed=7,
-        checkpointInterval=-1,
+        weightCol="_weight", checkpointInterval=-1,
     )
     trees.set(trees.rawPredictionCol, "_raw")
     trees.set(trees.probabilityCol, "_probability")

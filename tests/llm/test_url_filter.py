@@ -75,6 +75,18 @@ def test_trees_learn_what_the_labels_show(spark):
     assert right / len(judged) > 0.95
 
 
+def test_sample_counts_copies_and_is_the_same_for_any_order(spark):
+    urls = [f"http://h{i}.net/" for i in range(5000)]
+    rows = [(u, i % 2) for i, u in enumerate(urls)] + [("http://hot.net/", 1)] * 3000 + [("http://hot.net/", 0)] * 10
+    df = spark.createDataFrame(rows, "url string, block int")
+    found = {(r.url, r._label): r._weight for r in url_filter.sampled(df, sample=100).collect()}
+    order = df.distinct().selectExpr("url", "cast(block AS double) AS b").selectExpr("url", "b", "xxhash64(url, b) AS h").orderBy("h").limit(100)
+    assert found.keys() == {(r.url, r.b) for r in order.collect()}
+    assert found == {(r.url, r._label): r._weight for r in url_filter.sampled(df.orderBy("url"), sample=100).collect()}
+    whole = {(r.url, r._label): r._weight for r in url_filter.sampled(df).collect()}
+    assert len(whole) == 5002 and sum(whole.values()) == len(rows) and whole["http://hot.net/", 1.0] == 3000
+
+
 def test_without_labels_or_rows(spark):
     none = labelled(spark).limit(0)
     assert {r.verdict for r in url_filter.verdicts(pages(spark, ["http://a.net/"]), none).collect()} == {"allow"}
