@@ -39,6 +39,8 @@ BLOCKS = 5
 PAIRED = 50
 # Hashes whose bits are counted at a time.
 COUNTED = 1 << 15
+# Name for the hash of a text in a frame of any columns.
+_PRINT = "__print"
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -127,15 +129,18 @@ def _meeting_places(distance: int) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("bit"), v.alias("value")) for i, v in places))
 
 
+def rooted(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """``nodes`` (``simhash``, each once) with ``root``, the least fingerprint reachable over links."""
+    reached = connected(linked(nodes, distance, blocks)).withColumnRenamed("node", "simhash")
+    return nodes.join(reached, "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
+
+
 def grouped(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """Add ``component_id`` (least key reachable over links) to rows with ``simhash``."""
     nodes = written(prints.groupBy("simhash").agg(F.min(key).alias("_least")), "simhash-nodes")
-    links = linked(nodes, distance, blocks)
-    reached = connected(links)
-    of_nodes = nodes.join(reached.withColumnRenamed("node", "simhash"), "simhash", "left")
-    root = F.coalesce("root", "simhash")
-    least = of_nodes.groupBy(root.alias("root")).agg(F.min("_least").alias("component_id"))
-    named = of_nodes.select("simhash", root.alias("root")).join(least, "root").drop("root")
+    of_nodes = rooted(nodes, distance, blocks)
+    least = of_nodes.groupBy("root").agg(F.min("_least").alias("component_id"))
+    named = of_nodes.select("simhash", "root").join(least, "root").drop("root")
     return prints.select(*others(prints, ["component_id"])).join(named, "simhash")
 
 
@@ -147,7 +152,17 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
 
 
 def one_of_each(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``df`` whose doc_id is the least of its component, once each."""
-    found = near_duplicates(df, shingle, distance)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return df.join(first, "doc_id", "left_semi")
+    """One row of each component: that of the least doc_id, null after all others.
+
+    Of rows that share it, the one whose text has the least hash stays; of rows that share the text
+    too, any one. Rows that share both are one before texts are moved, however many they are.
+    """
+    rows = df.withColumn(_PRINT, F.xxhash64("text"))
+    prints = fingerprints(rows, shingle=shingle, keep=["doc_id", _PRINT])
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", _PRINT)
+    nodes = written(prints.groupBy("simhash").agg(F.min(place).alias("first")), "simhash-nodes")
+    first = rooted(nodes, distance).groupBy("root").agg(F.min("first").alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_id"), F.col(f"first.{_PRINT}").alias("_of"))
+    single = rows.dropDuplicates(["doc_id", _PRINT])
+    chosen = single["doc_id"].eqNullSafe(first["_id"]) & (single[_PRINT] == first["_of"])
+    return single.join(first, chosen, "left_semi").select(*df.columns)

@@ -93,6 +93,15 @@ def test_one_of_each_and_clashing_columns(spark):
     assert 40 in ids and 50 not in ids and 60 not in ids and 1 in ids
 
 
+def test_one_of_each_with_repeated_rows_and_null_ids(spark):
+    text, other = (" ".join(f"{c}{i}" for i in range(200)) for c in "xy")
+    rows = [(8, text, "en"), (8, text, "en"), (8, text + " ", "en"), (9, text, "en"), (None, text, "en")]
+    rows += [(None, other, "en"), (None, other, "en"), (None, "quite another text", None), (3, None, None), (3, None, None), (4, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [(r.doc_id, (r.text or "").strip()) for r in simhash.one_of_each(df).collect()]
+    assert sorted(kept, key=str) == sorted([(8, text), (None, other), (None, "quite another text"), (3, "")], key=str)
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty_documents(spark)).collect() == []
 
