@@ -93,7 +93,8 @@ def later_windows(df: DataFrame, key: str, text: str, size: int, long_line: int)
     first = extended.groupBy("h", "g").agg(F.min("here").alias("first"), F.max("here").alias("last"))
     first = first.where("first < last").select("h", "g", "first")
     later = extended.join(first, ["h", "g"]).where("here > first")
-    return later.groupBy("doc", "print").agg(F.array_distinct(F.flatten(F.collect_list("covers"))).alias("later"))
+    # A set, made inside tasks first: rows that repeat each other add nothing to it.
+    return later.groupBy("doc", "print").agg(F.array_distinct(F.flatten(F.collect_set("covers"))).alias("later"))
 
 
 def deduplicated(

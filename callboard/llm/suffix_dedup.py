@@ -226,7 +226,8 @@ def repeats(rows: DataFrame, sizes: Sizes = DEFAULT) -> DataFrame:
         (F.col("place") - F.col("back") + sizes.match).alias("stop"),
     )
     stretches = in_blocks.unionByName(in_samples).unionByName(alone)
-    found = written(stretches.groupBy(*key).agg(F.collect_list(F.struct("start", "stop")).alias("todo")), "repeats")
+    # A set, made inside tasks first: rows that repeat each other add nothing to it.
+    found = written(stretches.groupBy(*key).agg(F.collect_set(F.struct("start", "stop")).alias("todo")), "repeats")
     for table in (whole, contents, sampled, ranks):
         discard(table)
     return found
