@@ -14,29 +14,43 @@ from pyspark.sql import functions as F
 from callboard.llm import byte_bpe, decontamination, line_dedup, quality_ledger, simhash
 from callboard.llm.common import table, written
 
+# Columns that the operators look at.
+OPEN = ["doc_id", "text"]
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as one, where no operator's own columns replace them."""
+    rest = [name for name in docs.columns if name not in OPEN]
+    return docs.select(*OPEN, F.struct(*(rest or [F.lit(0)])).alias("rest"))
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, from rows that :func:`carried` made."""
+    return rows.select(*(F.col(name) if name in OPEN else F.col("rest")[name].alias(name) for name in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy rejects go."""
-    entries = quality_ledger.ledger(quality_ledger.measured(docs, keep=docs.columns))
-    return entries.where(quality_ledger.passes(quality_ledger.CURRENT)).select(*docs.columns)
+    entries = quality_ledger.ledger(quality_ledger.measured(carried(docs)))
+    return restored(entries.where(quality_ledger.passes(quality_ledger.CURRENT)), docs)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that stand in an earlier document too are taken out of the text; ``n_chars`` follows it."""
-    left = line_dedup.without_repeats(docs)
+    left = restored(line_dedup.without_repeats(carried(docs)), docs)
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the least id."""
-    return simhash.one_of_each(docs).select(*docs.columns)
+    return simhash.one_of_each(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+    return restored(decontamination.clean(carried(docs), table(spark, sf_dir, "benchmark")), docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

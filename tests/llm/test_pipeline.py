@@ -80,6 +80,23 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, FOLDER).columns == docs.columns
 
 
+def test_columns_that_operators_make_stay_as_they_were(spark):
+    made = ["'s' AS failed", "2.5 AS n_words", "array('x') AS spans", "'y' AS n_lines", "'z' AS simhash", "3 AS rest", "'q' AS items"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("*", *made)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.dtypes == docs.dtypes
+        rows = out.select("failed", "n_words", "spans", "n_lines", "simhash", "rest", "items").distinct().collect()
+        assert [tuple(map(str, r)) for r in rows] == [("s", "2.5", "['x']", "y", "z", "3", "q")]
+
+
+def test_stages_of_id_and_text_alone(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        whole = sorted((r.doc_id, r.text) for r in stage(spark, docs, FOLDER).collect())
+        assert sorted(map(tuple, stage(spark, docs.select("doc_id", "text"), FOLDER).collect())) == whole
+
+
 def test_no_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
