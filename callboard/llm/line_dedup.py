@@ -11,6 +11,10 @@ extended both ways by comparing the whole windows around the fingerprint: of all
 lines the earliest stays, and the lines of every other are deleted. Longer runs are unions of
 windows. A long line is a window of its own.
 
+With ``passages``, fewer than LINES neighbouring lines that have LONG_LINE words together are a
+window too: every line starts one of as many lines as that takes. The pipeline asks for them; the
+query does not, as its SQL has only runs of LINES lines and single long lines.
+
 Windows are compared by 128-bit hashes. No group of equal windows is ever gathered: only counted,
 and its least position taken.
 
@@ -39,29 +43,41 @@ BLANKS = r"[\x20\x09-\x0D]+"
 _JOINED = ["__doc", "__print_of", "__later"]
 
 
-def windows(text: bytes, size: int = LINES, long_line: int = LONG_LINE) -> Iterator[tuple[int, int, list[int], bytes]]:
+def windows(
+    text: bytes, size: int = LINES, long_line: int = LONG_LINE, passages: bool = False
+) -> Iterator[tuple[int, int, list[int], bytes]]:
     """(place of the fingerprint, fingerprint, lines covered, 128-bit hash of them all) of each window."""
     full = [(i, line, len(line.split())) for i, line in enumerate(text.split(b"\n"))]
     full = [row for row in full if row[2]]
     hashes = [xxhash.xxh64_intdigest(line) for _, line, _ in full]
-    for start in range(len(full) - size + 1):
-        own = hashes[start : start + size]
-        least = min(own)
-        part = full[start : start + size]
-        content = xxhash.xxh3_128_digest(b"\n".join([line for _, line, _ in part]), size)
-        yield part[own.index(least)][0], least, [i for i, _, _ in part], content
-    for (i, line, words), own in zip(full, hashes, strict=True):
-        if words >= long_line:
-            yield i, own, [i], xxhash.xxh3_128_digest(line, 1)
 
+    def window(start: int, n: int) -> tuple[int, int, list[int], bytes]:
+        own = hashes[start : start + n]
+        least = min(own)
+        part = full[start : start + n]
+        content = xxhash.xxh3_128_digest(b"\n".join([line for _, line, _ in part]), n)
+        return part[own.index(least)][0], least, [i for i, _, _ in part], content
 
-def _window_rows(rows: DataFrame, size: int, long_line: int) -> DataFrame:
+    for start in range(len(full) - size + 1):
+        yield window(start, size)
+    # From ``size`` lines on, the windows above cover the passage.
+    longest = max(1, size - 1) if passages else 1
+    for start in range(len(full)):
+        words = 0
+        for n, (_, _, more) in enumerate(full[start : start + longest], 1):
+            words += more
+            if words >= long_line:
+                yield window(start, n)
+                break
+
+
+def _window_rows(rows: DataFrame, size: int, long_line: int, passages: bool) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in portions(batches, "text"):
             owners: list[int] = []
             found: list[tuple] = []
             for i, text in enumerate(texts):
-                own = list(windows(text, size, long_line))
+                own = list(windows(text, size, long_line, passages))
                 owners += [i] * len(own)
                 found += own
             hashes = np.frombuffer(b"".join([row[3] for row in found]), "<i8").reshape(-1, 2)
@@ -78,10 +94,10 @@ def _window_rows(rows: DataFrame, size: int, long_line: int) -> DataFrame:
     return rows.mapInArrow(work, schema(rows, ["doc", "print"], made))
 
 
-def later_windows(df: DataFrame, key: str, text: str, size: int, long_line: int) -> DataFrame:
+def later_windows(df: DataFrame, key: str, text: str, size: int, long_line: int, passages: bool = False) -> DataFrame:
     """(doc, print of the text, later): lines of windows that stand earlier too."""
     rows = df.select(F.col(key).alias("doc"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
-    found = written(_window_rows(rows, size, long_line), "line-windows")
+    found = written(_window_rows(rows, size, long_line, passages), "line-windows")
 
     # Of the windows that select one place, the first stands for it here.
     place = F.struct("doc", "print", "place")
@@ -98,11 +114,11 @@ def later_windows(df: DataFrame, key: str, text: str, size: int, long_line: int)
 
 
 def deduplicated(
-    df: DataFrame, key: str = "doc_id", text: str = "text", size: int = LINES, long_line: int = LONG_LINE
+    df: DataFrame, key: str = "doc_id", text: str = "text", size: int = LINES, long_line: int = LONG_LINE, passages: bool = False
 ) -> DataFrame:
     """``df`` with the later lines taken out of ``text``, and n_lines and n_removed added."""
     made = ["n_lines", "n_removed"]
-    found = later_windows(df, key, text, size, long_line).toDF(*_JOINED)
+    found = later_windows(df, key, text, size, long_line, passages).toDF(*_JOINED)
     rows = df.select(*others(df, made), F.xxhash64(text).alias("__print"))
     rows = rows.join(found, rows[key].eqNullSafe(found[_JOINED[0]]) & (rows["__print"] == found[_JOINED[1]]), "left")
     plain = others(df, [*made, text])
@@ -134,6 +150,6 @@ def digests(df: DataFrame) -> DataFrame:
 
 def without_repeats(df: DataFrame) -> DataFrame:
     """``df`` with later lines taken out; texts of which nothing but blanks is left go, if lines were taken out."""
-    left = deduplicated(df)
+    left = deduplicated(df, passages=True)
     emptied = (F.col("n_removed") > 0) & (F.length(F.regexp_replace("text", BLANKS, "")) == 0)
     return left.where(~emptied).select(*df.columns)

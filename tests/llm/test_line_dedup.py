@@ -69,3 +69,18 @@ def test_emptied_texts_go(spark):
 
 def test_empty_table(spark):
     assert line_dedup.digests(empty_documents(spark)).collect() == []
+
+
+def test_passages_on_two_lines_go(spark):
+    """Passages of 50 words or more on two lines; those of fewer words stay."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    a, b, c = words("a", 23), words("b", 46), words("c", 26)
+    texts = [
+        (1, f"{a}\n{b}"), (2, f"{a}\n\n{b}"), (3, f"own line\n{a}\n{b}\nanother"), (4, f"{a}\n{c}"), (5, f"{a}\nx\n{b}"), (6, f"{a}\n{c}"),
+        (7, f"short one\n{words('d', 60)}"), (8, f"short one\n{words('d', 60)}"),
+    ]
+    rows = [(doc, text, "en", "s", 1) for doc, text in texts]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.text for r in line_dedup.without_repeats(df).collect()}
+    stay = {doc: text for doc, text in texts if doc in (1, 4, 5, 6, 7)}
+    assert kept == stay | {3: "own line\nanother"}
