@@ -7,8 +7,10 @@ often the suffix (last part of the host) was to be blocked among the labelled ur
 
 The trees are fitted on at most SAMPLE different pairs of url and label, those with the least hash,
 each with the number of its rows as weight, so the choice does not depend on order or partitions and
-a url that has many of the rows is one pair; everything else covers all rows. Suffix statistics come
-from that sample, so there are at most SAMPLE suffixes.
+a url that has many of the rows is one pair. Of each label, one part in PARTS of the sample is kept,
+or all its pairs if there are fewer; weights are scaled to the label's share of all rows. Everything
+else covers all rows: the rates and counts of suffixes, the overall rate, and whether there are
+labels of both kinds.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and is
 judged by its features like any other; labels that are null are not used; without labels of both
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import others, written
 
 SAMPLE = 20_000
+# Each label has at least one part in so many of the sample.
+PARTS = 20
 TREES, DEPTH = 20, 3
 # Labelled urls of its own that a suffix needs to outweigh the overall rate.
 PRIOR = 20
@@ -131,8 +135,8 @@ class Judge:
 
 
 def with_suffixes(rows: DataFrame, suffixes: DataFrame, overall: float) -> DataFrame:
-    """Add the statistics of the suffix; ``suffixes`` has at most SAMPLE rows."""
-    found = rows.join(F.broadcast(suffixes), "_suffix", "left")
+    """Add the statistics of the suffix; ``suffixes`` has no bound."""
+    found = rows.join(suffixes, "_suffix", "left")
     return found.withColumns(
         {
             "_suffix_rate": F.coalesce("_suffix_rate", F.lit(overall)),
@@ -141,31 +145,57 @@ def with_suffixes(rows: DataFrame, suffixes: DataFrame, overall: float) -> DataF
     )
 
 
+def _labelled(df: DataFrame, label: str, url: str) -> DataFrame:
+    return df.where(F.col(label).isNotNull()).select(url, F.col(label).cast("double").alias("_label"))
+
+
 def sampled(labelled: DataFrame, label: str = "block", url: str = "url", sample: int = SAMPLE) -> DataFrame:
     """(url, _label, _weight): the ``sample`` pairs of least hash, or all if there are fewer, and how many rows each has.
 
-    Pairs are about counted first. Only those whose hash is in a range that has some twice as many
-    as asked for are grouped and sorted, so little of the rows is moved, however many there are.
+    The pairs of least hash of each label come first, as many as its part. Pairs are about counted
+    first. Only those whose hash is in a range that has some twice as many as asked for are grouped
+    and sorted, so little of the rows is moved, however many there are.
     """
-    rows = labelled.where(F.col(label).isNotNull()).select(url, F.col(label).cast("double").alias("_label"))
-    rows = rows.withColumn("_hash", F.xxhash64(url, "_label"))
-    about = rows.agg(F.approx_count_distinct("_hash")).first()[0]
-    range_end = LEAST_HASH + min(HASHES - 1, HASHES * (2 * sample + 1000) // max(1, about))
-    pairs = rows.where(F.col("_hash") <= range_end).groupBy(url, "_label", "_hash").agg(F.count(F.lit(1)).cast("double").alias("_weight"))
-    return pairs.orderBy("_hash", url, "_label").limit(sample).drop("_hash")
+    rows = _labelled(labelled, label, url).withColumn("_hash", F.xxhash64(url, "_label"))
+    about = dict(rows.groupBy("_label").agg(F.approx_count_distinct("_hash")).collect())
+    part = max(1, sample // PARTS)
+
+    def range_end(asked: int, pairs: int) -> int:
+        return LEAST_HASH + min(HASHES - 1, HASHES * (2 * asked + 1000) // max(1, pairs))
+
+    near = F.col("_hash") <= range_end(sample, sum(about.values()))
+    for kind, pairs in about.items():
+        near = near | ((F.col("_label") == kind) & (F.col("_hash") <= range_end(part, pairs)))
+    pairs = rows.where(near).groupBy(url, "_label", "_hash").agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    pairs = written(pairs, "labelled-pairs")
+    first = F.lit(False)
+    for kind in about:
+        least = pairs.where(F.col("_label") == kind).orderBy("_hash").limit(part).agg(F.max("_hash")).first()[0]
+        first = first | ((F.col("_label") == kind) & (F.col("_hash") <= least))
+    return pairs.orderBy(first.desc(), "_hash", url, "_label").limit(sample).drop("_hash")
+
+
+def suffix_counts(labelled: DataFrame, label: str = "block", url: str = "url") -> DataFrame:
+    """(_suffix, _suffix_count, _blocked): labelled rows of each suffix, and those to be blocked."""
+    rows = split_url(_labelled(labelled, label, url), url)
+    suffix = F.element_at(F.split("host", r"\."), -1).alias("_suffix")
+    return rows.groupBy(suffix).agg(F.count(F.lit(1)).alias("_suffix_count"), F.sum("_label").alias("_blocked"))
 
 
 def fit(labelled: DataFrame, label: str = "block", url: str = "url", sample: int = SAMPLE) -> Judge:
     """Fit on rows with a url and ``label`` (1: block, 0: allow)."""
-    rows = written(lexical(split_url(sampled(labelled, label, url, sample), url), url), "labelled-urls")
-    weighted = F.sum(F.col("_label") * F.col("_weight"))
-    n, blocked = rows.agg(F.sum("_weight"), weighted).first()
+    counts = written(suffix_counts(labelled, label, url), "suffixes")
+    n, blocked = counts.agg(F.sum("_suffix_count"), F.sum("_blocked")).first()
     overall = blocked / n if n else 0.0
     if overall in (0.0, 1.0):
         return Judge(None, None, overall)
-    statistics = rows.groupBy("_suffix").agg(F.sum("_weight").alias("_suffix_count"), weighted.alias("sum"))
-    rate = (F.col("sum") + F.lit(PRIOR * overall)) / (F.col("_suffix_count") + PRIOR)
-    suffixes = written(statistics.select("_suffix", "_suffix_count", rate.alias("_suffix_rate")), "suffixes")
+    rate = (F.col("_blocked") + F.lit(PRIOR * overall)) / (F.col("_suffix_count") + PRIOR)
+    suffixes = counts.select("_suffix", "_suffix_count", rate.alias("_suffix_rate"))
+    rows = written(lexical(split_url(sampled(labelled, label, url, sample), url), url), "labelled-urls")
+    own_n, own_blocked = rows.agg(F.sum("_weight"), F.sum(F.col("_label") * F.col("_weight"))).first()
+    share = own_blocked / own_n
+    scale = F.when(F.col("_label") == 1, overall / share).otherwise((1 - overall) / (1 - share))
+    rows = rows.withColumn("_weight", F.col("_weight") * scale)
     trees = GBTClassifier(
         labelCol="_label", featuresCol="_features", predictionCol="_prediction", maxIter=TREES, maxDepth=DEPTH, seed=7,
         weightCol="_weight", checkpointInterval=-1,

@@ -106,3 +106,30 @@ def test_features(spark):
     assert (first._depth, first._labels, first._parameters, first._hyphens, first._suffix) == (2, 3, 2, 1, "net")
     assert abs(first._digits - 4 / 32) < 1e-9 and 3 < first._entropy < 5
     assert rows[1]._entropy == rows[2]._entropy == rows[3]._entropy == 0
+
+
+def test_statistics_cover_rows_outside_the_sample(spark):
+    tails = ["net", "com", "info"]
+    rows = [(f"http://h{i}.{tails[i % 3]}/", int(i % 5 == 0)) for i in range(3000)] + [("http://x.biz/1", 1)] * 7 + [("http://y.biz/", 0)]
+    df = spark.createDataFrame(rows, "url string, block int")
+    judge = url_filter.fit(df, sample=40)
+    assert judge.overall == 607 / 3008
+    found = {r._suffix: (r._suffix_count, r._suffix_rate) for r in judge.suffixes.collect()}
+    for tail in [*tails, "biz"]:
+        own = [block for url, block in rows if f".{tail}/" in url]
+        count, rate = found.pop(tail)
+        assert count == len(own) and abs(rate - (sum(own) + 20 * 607 / 3008) / (len(own) + 20)) < 1e-12
+    assert not found
+
+
+def test_rare_labels_are_in_the_sample(spark):
+    allowed = [(f"http://h{i}.net/", 0) for i in range(5000)]
+    df = spark.createDataFrame([*allowed, *[(f"http://h{i}.biz/", 1) for i in range(8)]], "url string, block int")
+    chosen = url_filter.sampled(df, sample=100).collect()
+    assert len(chosen) == 100 and sum(r._label == 1 for r in chosen) == 5
+    new = pages(spark, ["http://new.biz/", "http://new.net/"])
+    assert [r.verdict for r in url_filter.verdicts(new, df).orderBy("page_id").collect()] == ["block", "allow"]
+    judge = url_filter.fit(df, sample=100)
+    assert judge.model is not None and judge.overall == 8 / 5008
+    judged = {r.page_id: r.judged for r in judge(url_filter.split_url(new)).collect()}
+    assert judged == {0: "block", 1: "allow"}
