@@ -1,10 +1,13 @@
-"""Exact removal of long repeated byte strings, by sorting suffixes bucket by bucket.
+"""Exact removal of long repeated byte strings, by grouping suffixes bucket by bucket.
 
 A byte goes if a string of MATCH bytes that covers it also starts anywhere else in the corpus. That
 is a question about neighbours in the suffix array: does the suffix that starts here share its
 first MATCH bytes with another? Sorting all suffixes would move many times the corpus, so they are
 dealt into buckets by content, most buckets are settled without looking at single suffixes, and
-long ties are settled by ranks of a sample instead of by their bytes:
+long ties are settled by ranks of a sample instead of by their bytes. Within a bucket nothing is
+sorted: equal suffixes are all that is looked for, so grouping by 128-bit hashes of their bytes takes
+the place of the sort and of ranks with an order. Equal rows then combine inside tasks, and no bucket
+has to be gathered and put in order:
 
 1. *Buckets.* A suffix belongs to the bucket of the least hash among the GRAM-byte strings in its
    first MATCH bytes (the first of equals), its anchor. Suffixes that agree on MATCH bytes have the
