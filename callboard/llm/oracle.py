@@ -109,10 +109,48 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+# CRC-32 of the decimal doc_id: eight shifts after each character.
+_CRC32 = """xor(list_reduce(
+        [4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+            lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+        lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END),
+    4294967295::BIGINT)"""
+
+RUN_DETECTION = rf"""
+WITH texts AS (
+    SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, {_CRC32} AS h
+    FROM documents),
+shapes AS (
+    SELECT *, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS chosen, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a
+    FROM texts),
+words AS MATERIALIZED (
+    SELECT doc, i, w[1 + CASE WHEN chosen AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) ELSE i END] AS word
+    FROM shapes, unnest(range(n)) AS u(i)),
+equal AS (
+    SELECT x.doc, y.i - x.i AS p, x.i, x.i - row_number() OVER (PARTITION BY x.doc, y.i - x.i ORDER BY x.i) AS island
+    FROM words x JOIN words y ON x.doc = y.doc AND x.word = y.word AND x.i < y.i),
+stretches AS (
+    SELECT doc, p, min(i) AS s, max(i) + 1 + p AS e FROM equal GROUP BY doc, p, island
+    HAVING count(*) + p >= greatest(12, 2 * p)),
+runs AS MATERIALIZED (SELECT doc, s, e - s AS l, min(p) AS p FROM stretches GROUP BY doc, s, e),
+listed AS (
+    SELECT doc, count(*) AS n_runs, sha256(string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p)) AS digest,
+           first((s, l, p) ORDER BY l DESC, s, p) AS best
+    FROM runs GROUP BY doc),
+gone AS (SELECT DISTINCT doc, unnest(range(s + p, s + l)) AS i FROM runs),
+kept AS (
+    SELECT doc, sha256(string_agg(word, ' ' ORDER BY i)) AS digest FROM words ANTI JOIN gone USING (doc, i) GROUP BY doc)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period,
+       1000 * best[2] // best[3] AS exponent_milli, coalesce(r.digest, sha256('')) AS runs_sha256,
+       coalesce(k.digest, sha256('')) AS collapsed_sha256
+FROM texts t LEFT JOIN listed r USING (doc) LEFT JOIN kept k USING (doc)
+"""
+
 ORACLE = {
     "op4_line_dedup": LINE_RUNS,
     "op5_quality_ledger": QUALITY,
     "op7_decontamination": BENCHMARK,
     "op9_warc": WARC,
     "op10_chat_format": CHAT,
+    "op11_run_detection": RUN_DETECTION,
 }

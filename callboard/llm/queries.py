@@ -12,6 +12,7 @@ from . import (
     language_id,
     line_dedup,
     quality_ledger,
+    run_detection,
     simhash,
     suffix_dedup,
     url_filter,
@@ -71,6 +72,21 @@ def chat_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.digests(chat_format.formatted(turns))
 
 
+def planted(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): the documents, a tenth of them made periodic from some word on, as the contract of op11 has it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = documents.select("doc_id", "text", F.floor(h / 10).alias("g"), (h % 10 == 0).alias("chosen"))
+    words = F.when(F.col("chosen"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = rows.withColumn("words", words).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.expr("IF(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    periodic = F.expr("array_join(transform(sequence(0L, n - 1L), i -> words[IF(i < a, i, a + (i - a) % p)]), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, periodic).otherwise(F.col("text")).alias("text"))
+
+
+def word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_detection.digests(planted(table(spark, folder, "documents")))
+
+
 QUERIES = {
     "op1_suffix_dedup": repeated_bytes,
     "op2_byte_bpe": byte_bpe_coding,
@@ -82,4 +98,5 @@ QUERIES = {
     "op8_language_id": languages,
     "op9_warc": warc_round_trip,
     "op10_chat_format": chat_round_trip,
+    "op11_run_detection": word_runs,
 }
