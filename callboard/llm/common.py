@@ -125,3 +125,21 @@ class Hasher:
 
     def slices(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((sums[ends] - sums[starts]) * self.powers.down[starts])
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
+
+
+def hashed_words(texts: list[bytes], hasher: Hasher, table: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, words of each text).
+
+    Words stand between ASCII blanks; ``table`` replaces bytes by others before.
+    """
+    joined = b"\n".join([*texts, b""])
+    data = np.frombuffer(joined.translate(table) if table else joined, np.uint8)
+    change = np.diff(_BLANK[data].astype(np.int8), prepend=1)
+    starts, stops = np.flatnonzero(change == -1), np.flatnonzero(change == 1)
+    ends = np.cumsum([len(text) + 1 for text in texts])
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    return hasher.slices(hasher.prepare(data), starts, stops), counts

@@ -146,6 +146,29 @@ SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS len
 FROM texts t LEFT JOIN listed r USING (doc) LEFT JOIN kept k USING (doc)
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+LEXICAL_SEARCH = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') AS w FROM documents),
+corpus AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM docs),
+postings AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS term FROM docs) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+    FROM postings, corpus GROUP BY term, n),
+asked AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term
+          FROM benchmark) GROUP BY ALL),
+scored AS (
+    SELECT item_id, doc, doc_id,
+           sum(times * weight * (1000000000 * tf // (1000 * tf + 8 * (100 - 75 + 75 * len(w) * n // l))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN docs USING (doc), corpus GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, doc)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLE = {
     "op4_line_dedup": LINE_RUNS,
     "op5_quality_ledger": QUALITY,
@@ -153,4 +176,5 @@ ORACLE = {
     "op9_warc": WARC,
     "op10_chat_format": CHAT,
     "op11_run_detection": RUN_DETECTION,
+    "op13_lexical_search": LEXICAL_SEARCH,
 }

@@ -10,6 +10,7 @@ from . import (
     chat_format,
     decontamination,
     language_id,
+    lexical_search,
     line_dedup,
     quality_ledger,
     run_detection,
@@ -87,6 +88,10 @@ def word_runs(spark: SparkSession, folder: str) -> DataFrame:
     return run_detection.digests(planted(table(spark, folder, "documents")))
 
 
+def benchmark_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_suffix_dedup": repeated_bytes,
     "op2_byte_bpe": byte_bpe_coding,
@@ -99,4 +104,5 @@ QUERIES = {
     "op9_warc": warc_round_trip,
     "op10_chat_format": chat_round_trip,
     "op11_run_detection": word_runs,
+    "op13_lexical_search": benchmark_search,
 }
