@@ -131,8 +131,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\r\x0b\x0c")] = True
 
 
-def hashed_words(texts: list[bytes], hasher: Hasher, table: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, words of each text).
+def word_bounds(texts: list[bytes], table: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, where words start and stop in them, words of each text).
 
     Words stand between ASCII blanks; ``table`` replaces bytes by others before.
     """
@@ -141,5 +141,10 @@ def hashed_words(texts: list[bytes], hasher: Hasher, table: bytes | None = None)
     change = np.diff(_BLANK[data].astype(np.int8), prepend=1)
     starts, stops = np.flatnonzero(change == -1), np.flatnonzero(change == 1)
     ends = np.cumsum([len(text) + 1 for text in texts])
-    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    return data, starts, stops, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def hashed_words(texts: list[bytes], hasher: Hasher, table: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, words of each text)."""
+    data, starts, stops, counts = word_bounds(texts, table)
     return hasher.slices(hasher.prepare(data), starts, stops), counts

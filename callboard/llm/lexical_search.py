@@ -69,12 +69,12 @@ INDEX = (
 _HASHER = Hasher(13)
 # Terms are runs of digits, of a-z (A-Z become those) and of whatever is not ASCII.
 _KEEP = {*b"0123456789", *b"abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)}
-_TERMS = bytes(b if b in _KEEP else ord(" ") for b in bytes(range(256)).lower())
+TERMS = bytes(b if b in _KEEP else ord(" ") for b in bytes(range(256)).lower())
 
 
 def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every term in order, terms of each text)."""
-    return hashed_words(texts, _HASHER, _TERMS)
+    return hashed_words(texts, _HASHER, TERMS)
 
 
 def _shard(ids: pa.Array, hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:

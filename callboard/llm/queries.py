@@ -16,6 +16,7 @@ from . import (
     run_detection,
     simhash,
     suffix_dedup,
+    toxicity,
     url_filter,
     warc,
 )
@@ -88,6 +89,10 @@ def word_runs(spark: SparkSession, folder: str) -> DataFrame:
     return run_detection.digests(planted(table(spark, folder, "documents")))
 
 
+def toxic_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def benchmark_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -104,5 +109,6 @@ QUERIES = {
     "op9_warc": warc_round_trip,
     "op10_chat_format": chat_round_trip,
     "op11_run_detection": word_runs,
+    "op12_toxicity": toxic_texts,
     "op13_lexical_search": benchmark_search,
 }

@@ -1,0 +1,170 @@
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from callboard.llm import toxicity
+
+from frames import empty_documents, multiset, odd_documents
+
+INSULTS = ["zorgle", "plimfen", "Blattering", "quornish"]
+LABELS = "doc_id long, toxic int"
+
+
+def held(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def made_documents(n, seed=0, length=60):
+    """Texts of random words; a tenth has an insult or two and label 1, and a tenth of all carry no label."""
+    rng = random.Random(seed)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    rows, labels = [], []
+    for i in range(n):
+        text = rng.choices(words, k=rng.randint(1, length))
+        toxic = i % 10 == 3
+        if toxic:
+            for _ in range(rng.randint(1, 2)):
+                text.insert(rng.randrange(len(text) + 1), rng.choice(INSULTS))
+        rows.append((i, " ".join(text), "en", "a", 1))
+        if i % 10 != 5:
+            labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def stems(word):
+    return {(word, False)} | {(word[:n], True) for n in toxicity.STEMS if len(word) > n}
+
+
+def unit(values):
+    return values / math.sqrt(float(values @ values))
+
+
+@pytest.mark.parametrize("n, n_terms, block, k", [(1, 3, 4, 5), (200, 6, 8, 5), (500, 60, 64, 15), (900, 400, 16, 7)])
+def test_nearest_against_all_cosines(n, n_terms, block, k):
+    rng = np.random.default_rng(n)
+    rows = []
+    for _ in range(n):
+        terms = np.unique(rng.integers(0, n_terms, rng.integers(1, 9)))
+        rows.append((terms, unit(rng.choice([1.0, 2.0, 3.5], len(terms)))))
+    dense = np.zeros((n, n_terms))
+    for i, (terms, values) in enumerate(rows):
+        dense[i, terms] = values
+    vectors = toxicity.Vectors.of(rows, n_terms, block)
+    for _ in range(60):
+        terms = np.unique(rng.integers(0, n_terms, rng.integers(1, 9)))
+        values = unit(rng.random(len(terms)) + 0.1)
+        near, cosines = vectors.nearest(terms, values, k, block)
+        every = dense[:, terms] @ values
+        want = np.argsort(-every, kind="stable")[: min(k, int((every > 0).sum()))]
+        assert np.allclose(cosines, every[near], atol=1e-12)
+        assert np.allclose(cosines, every[want], atol=1e-9)
+
+
+def test_blocks_are_passed_over(monkeypatch):
+    rows = [(np.array([0]), np.array([1.0]))] * 10 + [(np.array([0, 1]), unit(np.array([0.1, 1.0])))] * 500
+    vectors = toxicity.Vectors.of(rows, 2, 8)
+    asked = []
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: asked.append(a[1]) or search(*a, **k))
+    near, _ = vectors.nearest(np.array([0]), np.array([1.0]), 10, 8)
+    assert near.tolist() == list(range(10)) and asked == [0, 1]
+
+
+def test_rising():
+    assert toxicity.rising(np.array([0.1, 0.3, 0.2, 0.9]), np.array([1.0, 1.0, 3.0, 1.0])).round(9).tolist() == [0.1, 0.225, 0.225, 0.9]
+
+
+def test_held_out_rows_are_told_apart(spark):
+    rows, labels = made_documents(4_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in toxicity.scored(docs, spark.createDataFrame(labels, LABELS)).collect()}
+    assert len(got) == len(rows)
+    truth = {i: i % 10 == 3 for i, *_ in rows}
+    for doc_id, row in got.items():
+        assert row.held_out == held(doc_id) and 0 <= row.score <= 1 and row.predicted == (row.score >= 0.7)
+        assert all(not held(e.doc_id) and 0 < e.similarity <= 1 and 0 <= e.rate <= 1 for e in row.evidence)
+    own = [row for row in got.values() if row.held_out]
+    assert sum(row.predicted == truth[row.doc_id] for row in own) / len(own) > 0.99
+    # Scores are rates: their mean is that of the labels.
+    assert abs(sum(r.score for r in own) / len(own) - sum(truth[r.doc_id] for r in own) / len(own)) < 0.02
+
+
+def test_held_out_labels_and_other_columns_change_nothing(spark):
+    rows, labels = made_documents(900)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    first = multiset(toxicity.scored(docs, spark.createDataFrame(labels, LABELS)).collect())
+    turned = [(i, 1 - y if held(i) else y) for i, y in labels]
+    others = spark.createDataFrame([(i, text, "xx", f"s{i % 3}", i) for i, text, *_ in rows], schema).repartition(5)
+    assert multiset(toxicity.scored(others, spark.createDataFrame(turned, LABELS)).collect()) == first
+
+
+def test_copies_of_a_text_get_one_score(spark):
+    rows, labels = made_documents(600)
+    more = [(10_000 + i, rows[3][1], None, None, None) for i in range(50)] + [(20_000, rows[4][1].upper().replace(" ", " ~ "), None, None, None)]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, spark.createDataFrame(labels, LABELS)).collect()}
+    assert len({got[3], *(got[10_000 + i] for i in range(50))}) == 1
+    assert got[20_000] == got[4]
+
+
+def test_examples_keep_the_share_of_labels(spark):
+    rows, labels = made_documents(1_000)
+    copies = [(5_000 + i, rows[0][1], None, None, None) for i in range(300)]
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame(labels + [(5_000 + i, 0) for i in range(300)], LABELS)
+    chosen = toxicity.examples(docs, known, sample=40)
+    by_label = {r.label: r for r in chosen.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    assert {y: r.n for y, r in by_label.items()} == {0: 40, 1: 40}
+    assert by_label[1].w == pytest.approx(sum(y for _, y in labels))
+    assert by_label[0].w == pytest.approx(sum(1 - y for _, y in labels) + 300)
+    few = {r.text: r.weight for r in toxicity.examples(docs, known).where("label = 0").collect()}
+    assert few[rows[0][1]] == pytest.approx(301)
+
+
+def test_telling_terms_against_counts(spark):
+    rows, labels = made_documents(2_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    chosen = toxicity.examples(docs, spark.createDataFrame(labels, LABELS))
+    texts = [(r.label, set().union(*map(stems, r.text.lower().split()))) for r in chosen.collect()]
+    share = sum(y for y, _ in texts) / len(texts)
+    want = set()
+    for term in set().union(*(words for _, words in texts)):
+        own = [y for y, words in texts if term in words]
+        if len(own) >= 5 and abs(sum(own) - len(own) * share) >= 6 * math.sqrt(len(own) * share * (1 - share)):
+            want.add(term)
+    assert {(w.lower(), False) for w in INSULTS} <= want
+    own = set()
+    for word, stem in want:
+        # The first hash of a word is its own, those of its stems follow in order of length.
+        hashes = toxicity.terms_of([word.encode() + b"xx"])[0] if stem else toxicity.terms_of([word.encode()])[0]
+        own.add(int(hashes[1 + toxicity.STEMS.index(len(word))] if stem else hashes[0]))
+    assert toxicity.telling_terms(chosen).tolist() == sorted(own)
+
+
+def test_odd_rows_and_labels(spark):
+    docs = odd_documents(spark)
+    for labels in ([], [(1, 1)], [(1, 0), (3, 0)], [(1, None), (5, 7), (None, 1)], [(1, 0), (7, 1), (7, 1), (7, 0), (999, 1)]):
+        known = spark.createDataFrame(labels, LABELS)
+        got = toxicity.scored(docs, known).collect()
+        assert multiset((r.doc_id, r.held_out) for r in got) == multiset(
+            (r.doc_id, r.doc_id is not None and held(r.doc_id)) for r in docs.collect()
+        )
+        assert all(r.score is not None and 0 <= r.score <= 1 for r in got)
+        usable = [y for i, y in labels if y in (0, 1) and i is not None and not held(i)]
+        if not usable:
+            assert {r.score for r in got} == {0.0}
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    assert toxicity.scored(empty_documents(spark), spark.createDataFrame([(1, 1)], LABELS)).collect() == []
+    rows, labels = made_documents(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame(labels, LABELS)
+    clashing = docs.selectExpr("*", "1 AS toxic", "'x' AS label", "2 AS score", "3 AS print", "4 AS terms", "5 AS weight")
+    also = known.selectExpr("*", "'t' AS text", "1 AS print", "2 AS label", "3 AS weight")
+    assert multiset(toxicity.scored(clashing, also).collect()) == multiset(toxicity.scored(docs, known).collect())
