@@ -193,28 +193,41 @@ class Vectors:
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
         """(vectors, cosines) of the ``k`` nearest that share a term, greatest cosine first, then first in order."""
-        bounds = np.zeros(-(-self.n // block))
-        for t, value in zip(terms.tolist(), values.tolist(), strict=True):
-            own = slice(self.first[t], self.first[t + 1])
-            bounds[self.blocks[own]] += value * self.most[own]
+        begin = self.first[terms]
+        places, counts = spread(begin, self.first[terms + 1] - begin)
+        forces = np.repeat(values, counts)
+        bounds = np.bincount(self.blocks[places], forces * self.most[places], -(-self.n // block))
         found, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            # Sums in another order may differ in their last digits.
-            if bounds[b] <= 0 or (len(found) == k and bounds[b] < cosines[-1] - 1e-9):
-                break
-            sums = np.zeros(block)
-            for t, value in zip(terms.tolist(), values.tolist(), strict=True):
-                i = self.first[t] + int(np.searchsorted(self.blocks[self.first[t] : self.first[t + 1]], b))
-                if i < self.first[t + 1] and self.blocks[i] == b:
-                    own = slice(self.starts[i], self.stops[i])
-                    sums[self.owners[own] - b * block] += value * self.values[own]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        # The most promising blocks give a least cosine; after that all that can reach it are looked at together.
+        first = -(-2 * k // block)
+        while len(order):
+            chosen, order = order[:first], order[first:]
+            rank = np.full(len(bounds), -1)
+            rank[chosen] = np.arange(len(chosen))
+            own = np.flatnonzero(rank[self.blocks[places]] >= 0)
+            entries, sizes = spread(self.starts[places[own]], self.stops[places[own]] - self.starts[places[own]])
+            owners = self.owners[entries]
+            at = rank[owners // block] * block + owners % block
+            sums = np.bincount(at, np.repeat(forces[own], sizes) * self.values[entries], len(chosen) * block)
             near = np.flatnonzero(sums > 0)
-            found, cosines = np.append(found, near + b * block), np.append(cosines, sums[near])
-            order = np.lexsort((found, -cosines))[:k]
-            found, cosines = found[order], cosines[order]
+            found, cosines = np.append(found, chosen[near // block] * block + near % block), np.append(cosines, sums[near])
+            best = np.lexsort((found, -cosines))[:k]
+            found, cosines = found[best], cosines[best]
+            if len(found) == k:
+                # Sums in another order may differ in their last digits.
+                order = order[bounds[order] >= cosines[-1] - 1e-9]
+            first = max(2 * first, 16)
         return found, cosines
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all places from each start on, as many as its size; the sizes)."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
+
+
 @dataclass
 class Judge:
     """What is learned: terms with their rarity, the examples' vectors with rows of label 1 and of both, and calibration."""

@@ -65,13 +65,14 @@ def test_nearest_against_all_cosines(n, n_terms, block, k):
 
 
 def test_blocks_are_passed_over(monkeypatch):
-    rows = [(np.array([0]), np.array([1.0]))] * 10 + [(np.array([0, 1]), unit(np.array([0.1, 1.0])))] * 500
+    rows = [(np.array([0]), np.array([1.0]))] * 24 + [(np.array([0, 1]), unit(np.array([0.1, 1.0])))] * 500
     vectors = toxicity.Vectors.of(rows, 2, 8)
-    asked = []
-    search = np.searchsorted
-    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: asked.append(a[1]) or search(*a, **k))
+    read = []
+    spread = toxicity.spread
+    monkeypatch.setattr(toxicity, "spread", lambda *a: read.append(spread(*a)) or read[-1])
     near, _ = vectors.nearest(np.array([0]), np.array([1.0]), 10, 8)
-    assert near.tolist() == list(range(10)) and asked == [0, 1]
+    # The blocks of the list, then the entries of the first three.
+    assert near.tolist() == list(range(10)) and len(read) == 2 and read[1][0].tolist() == list(range(24))
 
 
 def test_rising():
