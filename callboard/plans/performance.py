@@ -112,10 +112,9 @@ class Result:
 def _run(rows: DataFrame, numeric: list[str], categorical: list[str], label: str, iterations: int) -> Result:
     features = [*numeric, *categorical]
     frame = materialize(rows.select("case_key", *features, label), "model-frame")
-    train, _ = scorecard.split(frame, "case_key")
-    model = scorecard.fit(train, numeric, categorical, label, iterations=iterations)
+    model = scorecard.fit(frame, numeric, categorical, label, iterations=iterations, where=~scorecard.is_test("case_key"))
     # All rows get a score, those of the training part too; the curve uses the test part.
-    scored = model.score(frame)
+    scored = model.score(model.coded)
     return Result(
         model=model,
         scored=scored,

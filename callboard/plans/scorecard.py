@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import math
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import real
+from ..operators import newton
 from ..session import materialize
-from .binning import MISSING, Binning, evidence, fit_binning, informative, information_values
+from .binning import CODE, MISSING, Binning, evidence, fit_binning, informative, information_values
 
 # Fixed values of the model.
 INVERSE_REGULARISATION = 5.0
@@ -25,7 +22,8 @@ TEST_PARTS, ALL_PARTS = 1, 5
 
 MODEL_SCHEMA = (
     "numeric ARRAY<STRING>, categorical ARRAY<STRING>, others MAP<STRING, DOUBLE>, variables ARRAY<STRING>, "
-    "intercept DOUBLE, coefficients MAP<STRING, DOUBLE>, lowest DOUBLE, highest DOUBLE, passes INT"
+    "intercept DOUBLE, coefficients MAP<STRING, DOUBLE>, lowest DOUBLE, highest DOUBLE, passes INT, "
+    "cuts MAP<STRING, ARRAY<DOUBLE>>"
 )
 
 
@@ -57,7 +55,11 @@ def _by_bin(value: Column, bins: list, what: str, otherwise: float) -> Column:
 
 @dataclass
 class Scorecard:
-    """``table`` is the detailed table, a few rows per variable; ``passes`` is what the fit took."""
+    """``table`` is the detailed table, a few rows per variable; ``passes`` is what the fit took.
+
+    ``coded`` has all rows that were given to the fit, with the codes of their categories, in the shared
+    folder: scoring them looks no category up again.
+    """
 
     binning: Binning
     variables: list[str]
@@ -67,6 +69,7 @@ class Scorecard:
     lowest: float
     highest: float
     passes: int = 0
+    coded: DataFrame | None = None
 
     def with_bins(self, df: DataFrame, what: str, suffix: str) -> DataFrame:
         """Add ``<variable><suffix>`` with the ``what`` of the row's bin.
@@ -102,7 +105,7 @@ class Scorecard:
             self.binning.rates.write.mode("overwrite").parquet(f"{path}/rates")
         one = (
             self.binning.numeric, self.binning.categorical, self.binning.others, self.variables, self.intercept,
-            self.coefficients, self.lowest, self.highest, self.passes,
+            self.coefficients, self.lowest, self.highest, self.passes, self.binning.cuts,
         )
         spark.createDataFrame([one], MODEL_SCHEMA).write.mode("overwrite").parquet(f"{path}/model")
 
@@ -113,47 +116,39 @@ class Scorecard:
         table = spark.read.parquet(f"{path}/table")
         rates = spark.read.parquet(f"{path}/rates") if one["categorical"] else None
         bins = table.select("variable", "bin", "lower", "upper", "n", "events")
-        binning = Binning(list(one["numeric"]), list(one["categorical"]), bins, rates, one["others"])
+        cuts = {v: list(found) for v, found in one["cuts"].items()}
+        binning = Binning(list(one["numeric"]), list(one["categorical"]), bins, rates, one["others"], cuts)
         return Scorecard(
             binning, list(one["variables"]), one["intercept"], one["coefficients"], table,
             one["lowest"], one["highest"], one["passes"],
         )
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
-        """Add the score: the sum of the points of the row's bins."""
+        """Add the score: the sum of the points of the row's bins. Codes that are there already are used and left out."""
         points = self.with_bins(df, "points", "_points")
         total = sum((F.col(f"{v}_points") for v in self.variables), F.lit(0.0))
-        return points.withColumn(name, total).select(*df.columns, name)
+        codes = {v + CODE for v in self.binning.categorical}
+        return points.withColumn(name, total).select(*(c for c in df.columns if c not in codes), name)
 
 
 def _with_bins(
-    df: DataFrame, binning: Binning, rows: list, variables: Sequence[str], what: str, suffix: str
+    df: DataFrame, binning: Binning, rows: list, variables: Sequence[str], what: str, suffix: str, fitted: bool = False
 ) -> DataFrame:
-    of = {v: sorted((r for r in rows if r["variable"] == v and r["bin"] >= 0), key=lambda r: r["bin"]) for v in variables}
-    absent = {r["variable"]: r[what] for r in rows if r["bin"] == MISSING}
-    numbers = {
-        v + suffix: _by_bin(real(v), of[v], what, absent.get(v, 0.0)) if of[v] else F.lit(absent.get(v, 0.0))
-        for v in variables
-        if v in binning.numeric
-    }
-    out = df.withColumns(numbers) if numbers else df
+    """Add what the bins of each row say: ranges of numbers, and of codes, which are added where they are not there yet."""
+    df = df if binning.is_coded(df) and not fitted else binning.coded(df, fitted)
+    added = {}
     for v in variables:
-        if v not in binning.categorical:
-            continue
-        if not of[v]:
-            out = out.withColumn(v + suffix, F.lit(absent.get(v, 0.0)))
-            continue
-        mapping = binning.rates.where(F.col("variable") == v).select(
-            F.col("category").alias(f"_{v}"), _by_bin(F.col("rate"), of[v], what, 0.0).alias(v + suffix)
-        )
-        # A plain join with a stored table: Spark broadcasts it if it is small, else it splits hot categories.
-        joined = out.withColumn(f"_{v}", F.col(v).cast("string")).join(mapping, f"_{v}", "left")
-        found = [F.col(v + suffix)]
-        if v in binning.others:
-            unseen = next(b[what] for b in of[v] if binning.others[v] < b["upper"])
-            found.append(F.when(F.col(f"_{v}").isNotNull(), F.lit(unseen)))
-        out = joined.withColumn(v + suffix, F.coalesce(*found, F.lit(absent.get(v, 0.0)))).drop(f"_{v}")
-    return out
+        bins = sorted((r for r in rows if r["variable"] == v and r["bin"] >= 0), key=lambda r: r["bin"])
+        absent = next((r[what] for r in rows if r["variable"] == v and r["bin"] == MISSING), 0.0)
+        if not bins:
+            added[v + suffix] = F.lit(absent)
+        elif v in binning.numeric:
+            added[v + suffix] = _by_bin(real(v), bins, what, absent)
+        else:
+            cuts = binning.cuts[v]
+            ranges = [{what: b[what], "upper": bisect_right(cuts, b["upper"])} for b in bins]
+            added[v + suffix] = _by_bin(F.col(v + CODE), ranges, what, absent)
+    return df.withColumns(added) if added else df
 
 
 def fit(
@@ -168,16 +163,18 @@ def fit(
     reverse: bool = True,
     select: tuple[float, float] | None = None,
     missing: str = "zero",
+    where: Column | None = None,
     **binning_options,
 ) -> Scorecard:
-    """Fit a scorecard on training rows with a 0/1 label.
+    """Fit a scorecard on rows with a 0/1 label, or on those of them that meet ``where``.
 
     ``select`` keeps only variables whose information value lies between the two bounds.
     ``missing`` is ``zero`` (a missing value speaks neither way) or ``empirical`` (it has
     the weight of evidence of the missing rows seen in training). With ``reverse`` a
     better chance of label 1 gives a higher score.
     """
-    binning = fit_binning(df, numeric, categorical, label, **binning_options)
+    train = df if where is None else df.where(where)
+    binning = fit_binning(train, numeric, categorical, label, **binning_options)
     variables = [*binning.numeric, *binning.categorical]
     if select:
         kept = informative(information_values(binning.table), *select)
@@ -189,7 +186,10 @@ def fit(
     rows = [r.asDict() for r in table.where(F.col("variable").isin(variables)).collect()]
     for r in rows:
         r["used"] = 0.0 if r["bin"] == MISSING and missing == "zero" else r["woe"]
-    intercept, weights, passes = _logistic(df, binning, rows, variables, label, inverse_regularisation, iterations)
+    coded = materialize(binning.coded(df), "coded") if categorical else df
+    if binning.folded is None:
+        train = coded if where is None else coded.where(where)
+    intercept, weights, passes = _logistic(train, binning, rows, variables, label, inverse_regularisation, iterations)
     _add_points(rows, variables, intercept, weights, lowest, highest, reverse)
     for r in rows:
         r["coefficient"] = weights[r["variable"]]
@@ -202,7 +202,7 @@ def fit(
         for c in names
     )
     detailed = df.sparkSession.createDataFrame([tuple(r[c] for c in names) for r in rows], schema)
-    return Scorecard(binning, variables, intercept, weights, detailed, lowest, highest, passes)
+    return Scorecard(binning, variables, intercept, weights, detailed, lowest, highest, passes, coded)
 
 
 def _logistic(
@@ -210,44 +210,13 @@ def _logistic(
 ) -> tuple[float, dict[str, float], int]:
     """Intercept and coefficients over the weights of evidence, and the passes that took.
 
-    The weights of every row are written to the shared folder, which each pass reads. The
-    solver stops at a fixed gradient, some 1e-6 from the optimum; one step of reweighted least
-    squares, which is a Newton step, ends there to nearly all digits.
+    The weights of every row are written to the shared folder, which each pass reads.
     """
-    binned = _with_bins(df.where(F.col(label).isNotNull()), binning, rows, variables, "used", "_woe")
+    binned = _with_bins(df.where(F.col(label).isNotNull()), binning, rows, variables, "used", "_woe", fitted=binning.folded is not None)
     names = [f"{v}_woe" for v in variables]
     data = materialize(binned.select(F.col(label).cast("double").alias("_label"), *names), "weights-of-evidence")
-    data = VectorAssembler(inputCols=names, outputCol="_features").transform(data).select("_label", "_features")
-    model = LogisticRegression(
-        featuresCol="_features",
-        labelCol="_label",
-        regParam=1.0 / (c * data.count()),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=iterations,
-        tol=1e-10,
-        family="binomial",
-        aggregationDepth=3,
-    ).fit(data)
-    margin, p = (F.element_at(vector_to_array(c), 2) for c in ("rawPrediction", "probability"))
-    near = model.transform(data).select("_label", "_features", margin.alias("_margin"), p.alias("_p"))
-    near = near.withColumn("_weight", F.col("_p") * (1 - F.col("_p"))).where("_weight > 0")
-    near = near.withColumn("_target", F.col("_margin") + (F.col("_label") - F.col("_p")) / F.col("_weight"))
-    weight, target = F.col("_weight"), F.col("_target")
-    total, first, second = near.agg(F.sum(weight), F.sum(weight * target), F.sum(weight * target * target)).first()
-    # The solver divides its penalty by the deviation of the target, so it is put in here.
-    deviation = math.sqrt(second / total - (first / total) ** 2)
-    last = LinearRegression(
-        featuresCol="_features",
-        labelCol="_target",
-        weightCol="_weight",
-        regParam=deviation / (c * total),
-        standardization=False,
-        solver="normal",
-        aggregationDepth=3,
-    ).fit(near)
-    coefficients = dict(zip(variables, last.coefficients.toArray().tolist()))
-    return last.intercept, coefficients, model.summary.totalIterations + 1
+    found, passes = newton.fit(data, "_label", names, 1 / c, iterations)
+    return float(found[0]), dict(zip(variables, found[1:].tolist())), passes
 
 
 def _add_points(

@@ -6,6 +6,8 @@ small tables only. Every statement reads the whole tables.
 
 from __future__ import annotations
 
+import re
+
 ORACLE: dict[str, str] = {}
 
 # The stand-ins of registry/standins.py.
@@ -309,9 +311,97 @@ _IS_TEST = "(('0x' || substr(md5(case_key), 1, 4))::BIGINT % 5 < 1)"
 ORACLE["hash_split"] = sql(f"SELECT case_key, {_IS_TEST} AS test, count(*) AS n FROM call_chat GROUP BY ALL")
 
 
+def _folded(c: str, source: str, folds: int, shrink: float = 20.0) -> str:
+    """(v, x, category, y): the rate of the category in the other folds, mixed with that of all their rows."""
+    return f"""
+      SELECT '{c}' AS v, CASE WHEN category IS NOT NULL THEN
+          (sum(y) OVER cat - sum(y) OVER catf + {shrink}::DOUBLE * ((sum(y) OVER whole - sum(y) OVER wholef)
+             / (count(*) OVER whole - count(*) OVER wholef))) / (count(*) OVER cat - count(*) OVER catf + {shrink}::DOUBLE)
+        END AS x, category, y, f
+      FROM (SELECT {c} AS category, pred_score AS y, {_fold(folds)} AS f FROM {source})
+      WINDOW cat AS (PARTITION BY category), catf AS (PARTITION BY category, f),
+        whole AS (PARTITION BY category IS NULL), wholef AS (PARTITION BY category IS NULL, f)"""
+
+
+def _fold(folds: int) -> str:
+    return f"(('0x' || substr(md5(case_key), 5, 4))::BIGINT % {folds})"
+
+
+def optimal_steps(legs: int, smallest: float = 0.05) -> dict[str, str]:
+    """Steps from ``known`` to ``joined``: of all ways to join neighbours the one with the greatest information value.
+
+    With one leg the event rate rises or falls, with two it may turn once.
+    """
+    return {
+        "upto": """
+          SELECT v, i, lower, n, events, total, sum(n) OVER w AS cn, sum(events) OVER w AS ce, sum(events) OVER (PARTITION BY v) AS te
+          FROM known WINDOW w AS (PARTITION BY v ORDER BY i)""",
+        "runs": f"""
+          SELECT *, ((n - e) / (total - te) - e / te) * ln(((n - e) / (total - te)) / (e / te)) AS iv
+          FROM (SELECT a.v, a.i, b.i AS j, (b.cn - a.cn + a.n)::BIGINT AS n, (b.ce - a.ce + a.events)::BIGINT AS e, a.total, a.te
+                FROM upto a JOIN upto b ON a.v = b.v AND a.i <= b.i)
+          WHERE n >= {smallest}::DOUBLE * total AND e > 0 AND e < n""",
+        "ways": f"""
+          SELECT v, way, 0 AS leg, j, n, e, iv, [i] AS starts FROM runs, (VALUES (1), (-1)) AS ways_(way) WHERE i = 1
+          UNION ALL
+          SELECT w.v, w.way, l.leg, r.j, r.n, r.e, w.iv + r.iv, list_append(w.starts, r.i)
+          FROM ways w JOIN runs r ON r.v = w.v AND r.i = w.j + 1, range({legs}) AS l(leg)
+          WHERE l.leg >= w.leg AND CASE WHEN l.leg = 0 THEN w.way ELSE -w.way END * (r.e * w.n - w.e * r.n) > 0""",
+        "best": """
+          SELECT v, arg_max(starts, iv) AS starts
+          FROM ways JOIN (SELECT v, max(i) AS j FROM known GROUP BY v) USING (v, j) GROUP BY v""",
+        "joined": """
+          SELECT v, min(lower) AS lower, sum(n)::BIGINT AS n, sum(events)::BIGINT AS events
+          FROM (SELECT known.*, len(list_filter(coalesce(starts, [1]), lambda s: s <= i)) AS b FROM known LEFT JOIN best USING (v))
+          GROUP BY v, b""",
+    }
+
+
+def tree_steps(depth: int = 4, smallest: float = 0.05) -> dict[str, str]:
+    """Steps from the histogram ``known`` to ``leaves``: the leaves of a tree of that depth, as ``known`` has its rows."""
+    steps = {
+        "places": """
+          SELECT v, i, sum(n) OVER w AS cn, sum(events) OVER w AS ce, total
+          FROM known WINDOW w AS (PARTITION BY v ORDER BY i)""",
+        "tree0": """
+          SELECT v, 1 AS lo, max(i) AS hi, 0 AS n0, 0 AS e0, max(cn)::BIGINT AS n, max(ce)::BIGINT AS e FROM places GROUP BY v""",
+    }
+    for d in range(depth):
+        steps[f"falls{d}"] = f"""
+          SELECT v, lo, arg_max((k, ln_, le), (fall, -k)) AS cut FROM (
+            SELECT *, e * (n - e) / n - (le * (ln_ - le) / ln_ + (e - le) * (n - ln_ - (e - le)) / (n - ln_)) AS fall
+            FROM (SELECT t.*, p.i AS k, (p.cn - t.n0)::BIGINT AS ln_, (p.ce - t.e0)::BIGINT AS le, p.total
+                  FROM tree{d} t JOIN places p ON p.v = t.v AND p.i >= t.lo AND p.i < t.hi)
+            WHERE least(ln_, n - ln_) >= {smallest}::DOUBLE * total) WHERE fall > 0 GROUP BY v, lo"""
+        steps[f"tree{d + 1}"] = f"""
+          SELECT v, lo, coalesce(cut[1], hi) AS hi, n0, e0, coalesce(cut[2], n) AS n, coalesce(cut[3], e) AS e
+          FROM tree{d} LEFT JOIN falls{d} USING (v, lo)
+          UNION ALL
+          SELECT v, cut[1] + 1, hi, n0 + cut[2], e0 + cut[3], n - cut[2], e - cut[3] FROM tree{d} JOIN falls{d} USING (v, lo)"""
+    steps["leaves"] = f"""
+      SELECT t.v, t.n::BIGINT AS n, t.e::BIGINT AS events, row_number() OVER (PARTITION BY t.v ORDER BY lo) AS i, total, lower
+      FROM tree{depth} t JOIN known ON known.v = t.v AND known.i = lo"""
+    return steps
+
+
+def with_steps(steps: dict[str, str], after: str, more: dict[str, str], renamed: dict[str, str] | None = None) -> dict[str, str]:
+    """``steps`` with ``more`` put in after one of them in place of those of the same name; later ones read ``renamed``."""
+    out: dict[str, str] = {}
+    late = False
+    for name, text in steps.items():
+        if name not in more:
+            for old, new in (renamed or {}).items():
+                text = re.sub(rf"\b{old}\b", new, text) if late else text
+            out[name] = text
+        if name == after:
+            out |= more
+            late = True
+    return out
+
+
 def binning_steps(
     numeric: tuple[str, ...], categorical: tuple[str, ...], source: str, smallest: float = 0.05, trend: bool = True,
-    rare: float = 0,
+    rare: float = 0, parts: int = 20, folds: int = 0,
 ) -> dict[str, str]:
     """Steps ending in ``bins``: variable, bin, lower, upper, n, events."""
     rows = [f"SELECT '{c}' AS v, {c}::DOUBLE AS x, NULL::VARCHAR AS category, pred_score AS y FROM {source}" for c in numeric]
@@ -323,13 +413,15 @@ def binning_steps(
                   UNION ALL SELECT pred_score, NULL FROM {source} WHERE {c} IS NULL)"""
         for c in categorical
     ]
+    if folds:
+        rows = [_folded(c, source, folds) for c in categorical]
     steps = {
         "long_rows": " UNION ALL ".join(rows),
-        "cuts": """
+        "cuts": f"""
           SELECT v, list(DISTINCT x) AS cuts FROM (
             SELECT v, x, row_number() OVER (PARTITION BY v ORDER BY x) AS place, count(*) OVER (PARTITION BY v) AS n
             FROM long_rows WHERE x IS NOT NULL)
-          WHERE place IN (SELECT k * n // 20 + 1 FROM generate_series(1, 19) AS g(k)) GROUP BY v""",
+          WHERE place IN (SELECT k * n // {parts} + 1 FROM generate_series(1, {parts - 1}) AS g(k)) GROUP BY v""",
         "prebins": """
           SELECT v, CASE WHEN x IS NULL THEN -1 ELSE len(list_filter(cuts, lambda c: c <= x)) END AS prebin, count(*) AS n,
             sum(y)::BIGINT AS events
@@ -413,6 +505,33 @@ ORACLE["woe_iv_categorical_rare"] = sql(
     f"SELECT {_EVIDENCE_COLUMNS} FROM evidence",
     **binning_steps((), ("skill_category", "employee_name"), "with_health", rare=0.012),
 )
+ORACLE["woe_iv_categorical_crossfit"] = sql(
+    f"SELECT {_EVIDENCE_COLUMNS} FROM evidence", **binning_steps((), CATEGORICAL, "with_health", folds=5)
+)
+ORACLE["category_rates_crossfit"] = sql(
+    """SELECT v AS variable, category, f::INT AS fold, count(*) AS n, sum(y)::BIGINT AS events, round(any_value(x), 9) AS rate
+       FROM folded WHERE category IS NOT NULL GROUP BY v, category, f
+       UNION ALL
+       SELECT v, category, NULL, count(*), sum(y)::BIGINT, round((sum(y) + 20 * any_value(m)) / (count(*) + 20), 9)
+       FROM (SELECT *, avg(y) OVER (PARTITION BY v) AS m FROM folded WHERE category IS NOT NULL) GROUP BY v, category""",
+    folded=" UNION ALL ".join(_folded(c, "with_health", 5) for c in CATEGORICAL),
+)
+ORACLE["woe_iv_optimal"] = sql(
+    f"SELECT {_EVIDENCE_COLUMNS} FROM evidence",
+    **with_steps(binning_steps(NUMERIC, CATEGORICAL, "with_health"), "known", optimal_steps(1)),
+)
+ORACLE["woe_iv_optimal_turning"] = sql(
+    f"SELECT {_EVIDENCE_COLUMNS} FROM evidence",
+    **with_steps(binning_steps(NUMERIC, (), "with_health"), "known", optimal_steps(2)),
+)
+_TREE = with_steps(
+    binning_steps(NUMERIC, (), "with_health", trend=False, parts=200), "known", tree_steps(), {"known": "leaves"}
+)
+ORACLE["woe_iv_tree_prebins"] = sql(f"SELECT {_EVIDENCE_COLUMNS} FROM evidence", **_TREE)
+ORACLE["woe_iv_tree_optimal"] = sql(
+    f"SELECT {_EVIDENCE_COLUMNS} FROM evidence",
+    **with_steps(_TREE, "leaves", {k: re.sub(r"\bknown\b", "leaves", v) for k, v in optimal_steps(1).items()}),
+)
 ORACLE["iv_selection"] = sql(
     """SELECT variable, round(sum(iv), 6) AS iv FROM evidence GROUP BY variable
        HAVING sum(iv) BETWEEN 0.005 AND 0.5""",

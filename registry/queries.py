@@ -263,6 +263,47 @@ def woe_iv_categorical(spark, sf):
     return _evidence(binning.fit_binning(_labelled(spark, sf), [], CATEGORICAL, "pred_score"))
 
 
+@query
+def woe_iv_categorical_crossfit(spark, sf):
+    """Categories take their event rates from the other folds of the cases."""
+    found = binning.fit_binning(_labelled(spark, sf), [], CATEGORICAL, "pred_score", folds=5, key="case_key")
+    return _evidence(found)
+
+
+@query
+def category_rates_crossfit(spark, sf):
+    """What a row of each category and fold is fitted with, and what one is scored with (no fold)."""
+    counted = binning.category_counts(
+        _labelled(spark, sf), CATEGORICAL, "pred_score", binning.fold_of("case_key", 5).alias("fold")
+    )
+    fitting, scoring, _ = binning.cross_fitted(materialize(counted, "category-folds"))
+    rows = fitting.unionByName(scoring.withColumn("fold", F.lit(None).cast("int")))
+    return rounded(rows, "rate", digits=9)
+
+
+@query
+def woe_iv_optimal(spark, sf):
+    return _evidence(binning.fit_binning(_labelled(spark, sf), NUMERIC, CATEGORICAL, "pred_score", method="optimal"))
+
+
+@query
+def woe_iv_optimal_turning(spark, sf):
+    """Event rates may turn once."""
+    return _evidence(binning.fit_binning(_labelled(spark, sf), NUMERIC, [], "pred_score", method="optimal", trend="turning"))
+
+
+@query
+def woe_iv_tree_prebins(spark, sf):
+    found = binning.fit_binning(_labelled(spark, sf), NUMERIC, [], "pred_score", prebins="tree", trend=None)
+    return _evidence(found)
+
+
+@query
+def woe_iv_tree_optimal(spark, sf):
+    found = binning.fit_binning(_labelled(spark, sf), NUMERIC, [], "pred_score", prebins="tree", method="optimal")
+    return _evidence(found)
+
+
 @query
 def iv_selection(spark, sf):
     found = binning.fit_binning(_labelled(spark, sf), NUMERIC, CATEGORICAL, "pred_score")
