@@ -724,6 +724,7 @@ ORACLE["scorecard_upsert"] = sql(
                     arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_extendedprice)) AS score
                   FROM lines GROUP BY ALL) w USING (issue_code, ldap)"""
 )
+ORACLE["scorecard_upsert_stream"] = ORACLE["scorecard_upsert"]
 ORACLE["scorecard_save"] = sql(
     """SELECT issue_code, ldap,
          CASE WHEN issue_code = 'PROMO' AND ldap IN (SELECT ldap FROM available) THEN 1.5 ELSE score END::DOUBLE AS score

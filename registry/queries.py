@@ -14,7 +14,7 @@ from callboard.operators import describe, hypothesis
 from callboard.operators.upsert import upsert
 from callboard.plans import binning, cases, final_scores, health, performance, productivity, roc, routing, scorecard
 from callboard.session import materialize, new_folder
-from callboard.sources import scorecards, snapshots, tables
+from callboard.sources import scorecards, snapshots, tables, versions
 from callboard.streaming import availability
 
 from . import standins as s
@@ -498,15 +498,32 @@ def _writes(spark, sf):
     )
 
 
-@query
-def scorecard_upsert(spark, sf):
-    """Suppliers have a row for some brand and one that nobody writes to; every line item writes."""
-    current = s.table(spark, sf, "supplier").selectExpr(
+def _suppliers_scorecard(spark, sf):
+    """Suppliers have a row for some brand and one that nobody writes to."""
+    return s.table(spark, sf, "supplier").selectExpr(
         "explode(array(concat('Brand#', s_suppkey % 30), 'none')) AS issue_code", "s_name AS ldap", "s_acctbal AS score"
     )
+
+
+@query
+def scorecard_upsert(spark, sf):
+    """Every line item writes."""
+    current = _suppliers_scorecard(spark, sf)
     return upsert(current, _writes(spark, sf), ["issue_code", "ldap"], ["l_shipdate", "l_orderkey"])
 
 
+@query
+def scorecard_upsert_stream(spark, sf):
+    """The same writes as a stream of files, a year of ship dates each, into a scorecard kept in versions."""
+    path, feed = new_folder(spark, "scorecard-versions"), new_folder(spark, "scorecard-feed")
+    versions.save(spark, path, _suppliers_scorecard(spark, sf), [])
+    s.write_by_year(_writes(spark, sf), "l_shipdate", feed)
+    changes = spark.readStream.schema(s.WRITES).option("maxFilesPerTrigger", 1).parquet(feed)
+    order = ["l_shipdate", "l_orderkey"]
+    versions.keep_up(changes, path, new_folder(spark, "scorecard-progress"), order, "feed").awaitTermination()
+    return versions.read(spark, path)
+
+
 @query
 def scorecard_save(spark, sf):
     path = new_folder(spark, "scorecard")

@@ -193,3 +193,15 @@ def write_snapshots(spark: SparkSession, sf: str, root: str) -> None:
         files.mkdirs(target.getParent())
         files.rename(path(row["path"]), target)
         files.setTimes(target, int(hour.timestamp() + 1800 * (row["half"] + 1)) * 1000, -1)
+
+
+WRITES = "issue_code STRING, ldap STRING, score DOUBLE, l_shipdate TIMESTAMP_NTZ, l_orderkey LONG"
+
+
+def write_by_year(rows: DataFrame, time: str, folder: str) -> None:
+    """Rows as parquet files, one for each year of ``time``, written one after the other."""
+    spark = rows.sparkSession
+    by_year = rows.withColumn("year", F.year(time))
+    by_year.repartition("year").write.partitionBy("year").parquet(f"{folder}-years")
+    for found in by_year.select("year").distinct().orderBy("year").collect():
+        spark.read.schema(WRITES).parquet(f"{folder}-years/year={found['year']}").coalesce(1).write.mode("append").parquet(folder)
