@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.snapshots import SEAM, can_take_a_case, parsed_piece, user
+from ..session import file_system
 
 # The folder below the root and the four levels below it.
 PREFIX = "connect/AEs"
@@ -50,6 +51,16 @@ def files_of_hour(spark: SparkSession, root: str, as_of: datetime, named: bool =
     return files.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("file_time"))
 
 
+def listed_files(spark: SparkSession, root: str, as_of: datetime, named: bool = False) -> list[tuple[str, datetime]]:
+    """(path, time it was written) of each file of one hour, by one listing of its folder."""
+    files, folder = file_system(spark, f"{root.rstrip('/')}/{hour_folder(as_of, named)}")
+    if not files.exists(folder):
+        return []
+    found = [status for status in files.listStatus(folder) if status.isFile()]
+    times = (datetime.fromtimestamp(status.getModificationTime() / 1000, timezone.utc) for status in found)
+    return [(status.getPath().toString(), time) for status, time in zip(found, times)]
+
+
 def newest_file(files: DataFrame) -> str | None:
     """Path of the file written last; of equally old files the last by path."""
     return files.agg(F.max(F.struct("file_time", "file_path")).alias("last")).select("last.file_path").first()[0]

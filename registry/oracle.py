@@ -702,8 +702,41 @@ ORACLE["availability_stream"] = sql(
        FROM files GROUP BY ldap"""
 )
 
+# Files are written at the end of their half hour. Timers are due up to the time of the last file.
+ORACLE["availability_expiring"] = sql(
+    """SELECT ldap, strftime(t, '%Y-%m-%d %H:%M') AS "at", available, expired FROM (
+         SELECT ldap, t, available, false AS expired FROM seen
+         WHERE available <> CASE WHEN last_t IS NULL OR t - last_t > INTERVAL 2 HOUR THEN false ELSE last_available END
+         UNION ALL
+         SELECT ldap, t + INTERVAL 2 HOUR, false, true FROM seen
+         WHERE available AND (next_t - t > INTERVAL 2 HOUR
+                              OR next_t IS NULL AND t + INTERVAL 2 HOUR <= (SELECT max(t) FROM seen)))""",
+    seen="""
+      SELECT ldap, t, available, lag(available) OVER w AS last_available, lag(t) OVER w AS last_t, lead(t) OVER w AS next_t
+      FROM (SELECT ldap, h + INTERVAL 30 MINUTE * (half + 1) AS t, available FROM files)
+      WINDOW w AS (PARTITION BY ldap ORDER BY t)""",
+)
+
+ORACLE["availability_by_hour"] = ORACLE["availability_stream"]
+
 # Routing.
 
+# Files are written at the end of their half hour; a request may be answered from its hour or the one before.
+ORACLE["routed_as_of"] = sql(
+    """SELECT event_id, issue_code, coalesce((SELECT arg_min(c.ldap, (-c.score, c.ldap)) FROM card c JOIN files f USING (ldap)
+         WHERE c.issue_code = a.issue_code AND f.h = a.file[1] AND f.half = a.file[2] AND f.available), 'Not Found') AS ldap
+       FROM asked a""",
+    card="""
+      SELECT p_type AS issue_code, 'agent' || (l_suppkey % 40) AS ldap, round(avg(l_discount), 6) AS score
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""",
+    asked="""
+      SELECT event_id, any_value(p_type) AS issue_code, max((h, half)) AS file
+      FROM events LEFT JOIN part ON event_id % 2500 = p_partkey
+      LEFT JOIN (SELECT DISTINCT h, half FROM files) m
+        ON h + INTERVAL 30 MINUTE * (half + 1) <= ts AND h >= date_trunc('hour', ts) - INTERVAL 1 HOUR
+      GROUP BY event_id""",
+)
+
 ORACLE["best_available_agent"] = sql(
     """SELECT issue_code, coalesce(best, 'Not Found') AS ldap
        FROM (SELECT p_type AS issue_code FROM part UNION SELECT o_orderpriority FROM orders)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from callboard.operators.upsert import upsert
 from callboard.plans import binning, cases, final_scores, health, performance, productivity, roc, routing, scorecard
 from callboard.session import materialize, new_folder
 from callboard.sources import scorecards, snapshots, tables, versions
-from callboard.streaming import availability
+from callboard.streaming import availability, expiring
 
 from . import standins as s
 
@@ -26,6 +27,7 @@ NUMERIC = ["wait_time", "complete_duration", "avg_response_cust", "no_of_agents"
 CATEGORICAL = ["skill_category", "employee_name", "last_queue"]
 # Means of whole seconds in hours often end in a 5 within eight digits; at nine few are halfway between two.
 HOUR_DIGITS = 9
+EXPIRY_HOURS = 2
 RARE_CATEGORICAL, RARE_SHARE = ["skill_category", "employee_name"], 0.012
 
 
@@ -469,9 +471,40 @@ def availability_stream(spark, sf):
     return availability.read_state(spark, state).select("ldap", "hour", "available")
 
 
+@query
+def availability_expiring(spark, sf):
+    """Every change of availability; an agent not heard of for two hours is no longer available."""
+    root, log = _written_snapshots(spark, sf), new_folder(spark, "availability-log")
+    stream = availability.arriving(spark, f"{root}/{snapshots.PREFIX}", files_per_trigger=400)
+    changed = expiring.changes(stream, hours=EXPIRY_HOURS)
+    expiring.keep_log(changed, log, new_folder(spark, "availability-log-progress")).awaitTermination()
+    rows = spark.read.schema(expiring.CHANGE_SCHEMA).parquet(log)
+    return rows.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm"))
+
+
+@query
+def availability_by_hour(spark, sf):
+    """The state brought up to date ten times over the events' time, by hour folders."""
+    root, state = _written_snapshots(spark, sf), new_folder(spark, "availability-by-hour")
+    first, last = s.table(spark, sf, "events").agg(F.min("ts"), F.max("ts")).first()
+    first, last = (t.replace(tzinfo=timezone.utc) for t in (first, last))
+    for i in range(1, 11):
+        availability.advance(spark, root, state, first + (last - first) * i / 10, since=first)
+    return availability.read_state(spark, state).select("ldap", "hour", "available")
+
+
 # Routing
 
 
+@query
+def routed_as_of(spark, sf):
+    """Every event is a request at its time, about the type of some part, answered from two hours' files."""
+    root = _written_snapshots(spark, sf)
+    seen = snapshots.agents(snapshots.read_pieces(spark, f"{root}/{snapshots.PREFIX}"))
+    seen = materialize(seen, "snapshots")
+    return routing.route_as_of(s.requests(spark, sf), s.agents_scorecard(spark, sf), seen, hours_back=1).drop("at")
+
+
 @query
 def best_available_agent(spark, sf):
     parts = s.table(spark, sf, "part").select(F.col("p_type").alias("issue_code"))

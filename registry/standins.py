@@ -140,6 +140,21 @@ def routing_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def agents_scorecard(spark: SparkSession, sf: str) -> DataFrame:
+    """(issue_code, ldap, score) of the agents in the snapshots, from all line items and parts."""
+    line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    rows = line.join(part, F.expr("l_partkey = p_partkey"))
+    agent = F.expr("concat('agent', l_suppkey % 40)").alias("ldap")
+    return rows.groupBy(F.col("p_type").alias("issue_code"), agent).agg(F.round(F.avg("l_discount"), 6).alias("score"))
+
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """(event_id, issue_code, at): every event asks about the type of the part it has the number of; some ask about none."""
+    events = table(spark, sf, "events").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS at")
+    part = table(spark, sf, "part").selectExpr("p_partkey", "p_type AS issue_code")
+    return events.join(part, F.expr("event_id % 2500 = p_partkey"), "left").select("event_id", "issue_code", "at")
+
+
 def available_suppliers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").where("s_acctbal > 5000").selectExpr("s_name AS ldap")
 
