@@ -15,6 +15,7 @@ from ..session import materialize
 
 # Python workers look at this many bytes of text at a time (at least one row).
 PORTION_BYTES = 1 << 20
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -33,6 +34,21 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 200) -> Iterator[None]:
+    """Within this, Python workers of passes that run get texts in batches of this many rows.
+
+    Arrow keeps a batch outside the heap, twice while it grows, so with whole texts in them a thousand times
+    as many rows take hundreds of megabytes of an executor.
+    """
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the table outlives lost executors."""
     with tidy(df.sparkSession):

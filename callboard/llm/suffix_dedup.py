@@ -42,10 +42,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, discard, mixed, others, portions, schema, with_columns, written
+from .common import Hasher, discard, mixed, others, portions, schema, small_batches, with_columns, written
 
 # Suffixes looked at together; positions below this many bits share a number with their hash.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 _PLACE_BITS = np.uint64(21)
 _PLACE = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
 _HASHER = Hasher(1)
@@ -81,7 +81,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 def find_blocks(data: np.ndarray, ends: np.ndarray, sizes: Sizes) -> Iterator[tuple[np.ndarray, ...]]:
     """(first suffix, last suffix, anchor, bucket) of the blocks in texts put end to end; ``ends`` has their ends."""
-    total, room = len(data), np.repeat(ends, np.diff(ends, prepend=0))
+    total = len(data)
     for begin in range(0, total - sizes.match + 1, STRETCH):
         part = data[begin : begin + STRETCH + sizes.match - 1]
         n = len(part)
@@ -91,8 +91,9 @@ def find_blocks(data: np.ndarray, ends: np.ndarray, sizes: Sizes) -> Iterator[tu
         packed = (hashes & ~_PLACE) | np.arange(grams, dtype=np.uint64)
         anchors = (sliding_least(packed, sizes.match - sizes.gram + 1) & _PLACE).astype(np.int64)
         count = len(anchors)
-        inside = room[begin : begin + count] - np.arange(begin, begin + count) >= sizes.match
-        anchors[~inside] = -1
+        # The suffixes of a text end before its last bytes; no array as long as the text is needed for that.
+        for end in ends[np.searchsorted(ends, begin, "right") : np.searchsorted(ends, begin + count + sizes.match, "left") + 1].tolist():
+            anchors[max(0, end - sizes.match + 1 - begin) : max(0, end - begin)] = -1
         edges = np.flatnonzero(np.diff(anchors)) + 1
         first = np.append(0, edges)
         last = np.append(edges, count) - 1
@@ -197,6 +198,11 @@ def repeats(rows: DataFrame, sizes: Sizes = DEFAULT) -> DataFrame:
 
     They are written before the texts are moved again, and what led to them is removed.
     """
+    with small_batches(rows.sparkSession):
+        return _repeats(rows, sizes)
+
+
+def _repeats(rows: DataFrame, sizes: Sizes) -> DataFrame:
     key = ["doc", "print"]
     whole = written(blocks(rows, sizes), "blocks")
     contents = settled(whole, ["bucket"], ["c1", "c2"], [*key, "first", "last", "anchor"])
@@ -281,8 +287,16 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", sizes: Sizes
 
 
 def digests(df: DataFrame, sizes: Sizes = DEFAULT) -> DataFrame:
-    """doc_id, length, bytes and runs removed, and the digest of what is left of every text."""
+    """doc_id, length, bytes and runs removed, and the digest of what is left of every text.
+
+    The digests are written, so that the pass over the texts runs with small batches.
+    """
     found = removed(df, sizes=sizes, keep=["doc_id"])
+    with small_batches(df.sparkSession):
+        return written(_digested(found), "digests")
+
+
+def _digested(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
         "n_bytes",
