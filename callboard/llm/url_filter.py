@@ -5,6 +5,10 @@ longest rule that fits decides. Urls without a rule are judged by gradient-boost
 features: lengths, depth, share of digits, entropy of the characters, number of parameters, and how
 often the suffix (last part of the host) was to be blocked among the labelled urls.
 
+A labelled url that is fitted takes the statistics of its suffix from the urls of other folds (FOLDS, by
+a hash of the url): with its own label in them, trees would only learn to read that back, and a suffix
+nobody else has would look like proof. Urls that are judged get the statistics of all labelled rows.
+
 The trees are fitted on at most SAMPLE different pairs of url and label, those with the least hash,
 each with the number of its rows as weight, so the choice does not depend on order or partitions and
 a url that has many of the rows is one pair. Of each label, one part in PARTS of the sample is kept,
@@ -14,7 +18,9 @@ labels of both kinds.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and is
 judged by its features like any other; labels that are null are not used; without labels of both
-kinds every url gets the only label there is, or ``allow``.
+kinds every url gets the only label there is, or ``allow``. Of rules of equal length that fit one url, the first
+by name, then action, decides. A url of any length is one row of features; empty tables give empty results.
+Columns of the input are kept whatever their names, but for host, path and ``judged``, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import others, written
@@ -35,6 +41,7 @@ SAMPLE = 20_000
 # Each label has at least one part in so many of the sample.
 PARTS = 20
 TREES, DEPTH = 20, 3
+FOLDS = 5
 # Labelled urls of its own that a suffix needs to outweigh the overall rate.
 PRIOR = 20
 ALLOW, BLOCK = "allow", "block"
@@ -65,7 +72,6 @@ FEATURES = [
 ]
 # Hashes are even over these numbers.
 LEAST_HASH, HASHES = -(1 << 63), 1 << 64
-_OWN = {*FEATURES, "_suffix", "_label", "_features", "_raw", "_probability", "_prediction"}
 
 
 def split_url(df: DataFrame, url: str = "url") -> DataFrame:
@@ -128,15 +134,17 @@ class Judge:
         """Add ``judged`` (allow or block). The frame must have host and path."""
         if self.model is None:
             return df.withColumn("judged", F.lit(BLOCK if self.overall > 0.5 else ALLOW))
-        rows = with_suffixes(lexical(df, url), self.suffixes, self.overall)
-        answered = self.model.transform(rows)
+        # Columns of the input travel as one, where none of the features' names can meet theirs.
+        kept = F.struct(*others(df, ["judged"])).alias("_kept")
+        rows = lexical(df.select(kept, F.col(url).alias("_url"), "host", "path"), "_url")
+        answered = self.model.transform(with_suffixes(rows, self.suffixes, self.overall))
         judged = F.when(F.col("_prediction") > 0.5, BLOCK).otherwise(ALLOW)
-        return answered.withColumn("judged", judged).drop(*_OWN)
+        return answered.select("_kept.*", judged.alias("judged"))
 
 
-def with_suffixes(rows: DataFrame, suffixes: DataFrame, overall: float) -> DataFrame:
+def with_suffixes(rows: DataFrame, suffixes: DataFrame, overall: float, on: Sequence[str] = ("_suffix",)) -> DataFrame:
     """Add the statistics of the suffix; ``suffixes`` has no bound."""
-    found = rows.join(suffixes, "_suffix", "left")
+    found = rows.join(suffixes, list(on), "left")
     return found.withColumns(
         {
             "_suffix_rate": F.coalesce("_suffix_rate", F.lit(overall)),
@@ -175,11 +183,28 @@ def sampled(labelled: DataFrame, label: str = "block", url: str = "url", sample:
     return pairs.orderBy(first.desc(), "_hash", url, "_label").limit(sample).drop("_hash")
 
 
+def fold_of(url: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(url), F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
 def suffix_counts(labelled: DataFrame, label: str = "block", url: str = "url") -> DataFrame:
-    """(_suffix, _suffix_count, _blocked): labelled rows of each suffix, and those to be blocked."""
+    """(_suffix, _fold, _suffix_count, _blocked): labelled rows of each suffix and fold, and those to be blocked."""
     rows = split_url(_labelled(labelled, label, url), url)
     suffix = F.element_at(F.split("host", r"\."), -1).alias("_suffix")
-    return rows.groupBy(suffix).agg(F.count(F.lit(1)).alias("_suffix_count"), F.sum("_label").alias("_blocked"))
+    rows = rows.groupBy(suffix, fold_of(url).alias("_fold"))
+    return rows.agg(F.count(F.lit(1)).alias("_suffix_count"), F.sum("_label").alias("_blocked"))
+
+
+def _rates(counts: DataFrame, overall: float) -> DataFrame:
+    rate = (F.col("_blocked") + F.lit(PRIOR * overall)) / (F.col("_suffix_count") + PRIOR)
+    return counts.withColumn("_suffix_rate", rate).drop("_blocked")
+
+
+def of_other_folds(counts: DataFrame, overall: float) -> DataFrame:
+    """(_suffix, _fold, _suffix_count, _suffix_rate) without the fold's own rows. A suffix has at most FOLDS rows."""
+    every = Window.partitionBy("_suffix")
+    rest = {c: F.sum(c).over(every) - F.col(c) for c in ("_suffix_count", "_blocked")}
+    return _rates(counts.select("_suffix", "_fold", *(value.alias(c) for c, value in rest.items())), overall)
 
 
 def fit(labelled: DataFrame, label: str = "block", url: str = "url", sample: int = SAMPLE) -> Judge:
@@ -189,13 +214,14 @@ def fit(labelled: DataFrame, label: str = "block", url: str = "url", sample: int
     overall = blocked / n if n else 0.0
     if overall in (0.0, 1.0):
         return Judge(None, None, overall)
-    rate = (F.col("_blocked") + F.lit(PRIOR * overall)) / (F.col("_suffix_count") + PRIOR)
-    suffixes = counts.select("_suffix", "_suffix_count", rate.alias("_suffix_rate"))
+    whole = counts.groupBy("_suffix").agg(F.sum("_suffix_count").alias("_suffix_count"), F.sum("_blocked").alias("_blocked"))
+    suffixes = _rates(whole, overall)
     rows = written(lexical(split_url(sampled(labelled, label, url, sample), url), url), "labelled-urls")
     own_n, own_blocked = rows.agg(F.sum("_weight"), F.sum(F.col("_label") * F.col("_weight"))).first()
     share = own_blocked / own_n
     scale = F.when(F.col("_label") == 1, overall / share).otherwise((1 - overall) / (1 - share))
     rows = rows.withColumn("_weight", F.col("_weight") * scale)
+    rows = with_suffixes(rows.withColumn("_fold", fold_of(url)), of_other_folds(counts, overall), overall, ["_suffix", "_fold"])
     trees = GBTClassifier(
         labelCol="_label", featuresCol="_features", predictionCol="_prediction", maxIter=TREES, maxDepth=DEPTH, seed=7,
         weightCol="_weight", checkpointInterval=-1,
@@ -203,7 +229,7 @@ def fit(labelled: DataFrame, label: str = "block", url: str = "url", sample: int
     trees.set(trees.rawPredictionCol, "_raw")
     trees.set(trees.probabilityCol, "_probability")
     stages = [VectorAssembler(inputCols=FEATURES, outputCol="_features"), trees]
-    return Judge(Pipeline(stages=stages).fit(with_suffixes(rows, suffixes, overall)), suffixes, overall)
+    return Judge(Pipeline(stages=stages).fit(rows), suffixes, overall)
 
 
 def verdicts(pages: DataFrame, labelled: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

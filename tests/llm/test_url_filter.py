@@ -133,3 +133,53 @@ def test_rare_labels_are_in_the_sample(spark):
     assert judge.model is not None and judge.overall == 8 / 5008
     judged = {r.page_id: r.judged for r in judge(url_filter.split_url(new)).collect()}
     assert judged == {0: "block", 1: "allow"}
+
+
+def own_suffixes(spark, first, n):
+    """Urls with a suffix of their own each; digits in the path say block in four of five."""
+    rng = random.Random(first)
+    rows = []
+    for i in range(first, first + n):
+        digits = rng.random() < 0.5
+        block = digits if rng.random() < 0.8 else not digits
+        path = "".join(rng.choices("0123456789" if digits else "abcdefgh", k=8))
+        rows.append((f"http://host.s{i:06}x/{path}", int(block)))
+    return spark.createDataFrame(rows, "url string, block int")
+
+
+def test_a_suffix_of_its_own_proves_nothing(spark):
+    judge = url_filter.fit(own_suffixes(spark, 0, 2000))
+    trees = judge.model.stages[-1]
+    importance = dict(zip(url_filter.FEATURES, trees.featureImportances.toArray()))
+    assert importance["_suffix_rate"] + importance["_suffix_count"] < 0.1
+    judged = judge(url_filter.split_url(own_suffixes(spark, 10_000, 500))).collect()
+    assert sum((r.judged == "block") == bool(r.block) for r in judged) / len(judged) >= 0.75
+
+
+def test_statistics_of_fitted_urls_leave_out_their_fold(spark):
+    rows = [(f"http://h{i}.{'net' if i % 3 else 'com'}/", int(i % 4 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "url string, block int")
+    folds = {r.url: r.f for r in df.select("url", url_filter.fold_of("url").alias("f")).collect()}
+    found = {(r._suffix, r._fold): r for r in url_filter.of_other_folds(url_filter.suffix_counts(df), 0.25).collect()}
+    for suffix in ("net", "com"):
+        for fold in range(url_filter.FOLDS):
+            others = [block for url, block in rows if f".{suffix}/" in url and folds[url] != fold]
+            row = found[suffix, fold]
+            assert row._suffix_count == len(others) and abs(row._suffix_rate - (sum(others) + 5) / (len(others) + 20)) < 1e-12
+
+
+def test_columns_named_like_features_stay(spark):
+    judge = url_filter.fit(labelled(spark))
+    names = ["_features", "_suffix_rate", "_prediction", "_kept", "_url", "_suffix", "judged"]
+    df = pages(spark, URLS).selectExpr("*", *(f"'{n}!' AS `{n}`" for n in names))
+    out = judge(url_filter.split_url(df))
+    rows = {r.page_id: r for r in out.collect()}
+    plain = {r.page_id: r.judged for r in judge(url_filter.split_url(pages(spark, URLS))).collect()}
+    assert {i: r.judged for i, r in rows.items()} == plain and len(rows) == len(URLS)
+    assert all(r[n] == f"{n}!" for r in rows.values() for n in names[:-1])
+
+
+def test_equal_rules_are_decided_by_name_and_action(spark):
+    rules = [url_filter.Rule("block", "net", "/a"), url_filter.Rule("allow", "net", "/a"), url_filter.Rule("block", "net", "/")]
+    rows = url_filter.verdicts(pages(spark, ["http://x.net/ab", "http://x.net/b"]), labelled(spark), rules).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in rows] == [("net/a", "allow"), ("net/", "block")]
