@@ -7,13 +7,18 @@ list of attachments. Turns are marked <|im_start|>role, line end, body, <|im_end
 
 Escaping puts one backslash more between "<" and "|" wherever only backslashes (or nothing) stand
 between them, so "<|" is left to the template alone; taking one away gives the text back exactly.
+Neighbouring texts are escaped as one, so a control string cut over several parts is no mark either, and
+only plain names (letters, digits, underscores) that are not the template's own become placeholders.
 
 Everything is DataFrame functions. Order and offsets come from a window over the turns of a
 conversation, so work grows in proportion to it; a conversation ends as one row and must fit one.
 
 Defined results: null texts and roles are empty; a null turn comes before all others, equal turns
 are ordered by role, then text; a null conv_id is a conversation of its own; a part of a kind that
-is not known is a placeholder with no tokens, a part without a kind is text.
+is not known is a placeholder with no tokens, a part without a kind is text. A kind that is no plain name, or
+a name of the template, has the placeholder <|other|>; its attachment keeps the kind. Repeated rows are turns of
+their own. Columns of the input beside those that are read take no part, whatever their names. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,6 +32,11 @@ LEARNED = "assistant"
 # Tokens per unit: image tiles, seconds of audio, pages.
 TOKENS = {"image": 256, "audio": 25, "document": 512}
 
+# The template's own names, and what takes their place as the name of a placeholder.
+RESERVED, OTHER = ("im_start", "im_end"), "other"
+# Stands before a placeholder's name, or "t" where a text has this character itself.
+_SIGN = "\x01"
+
 PART = "struct<kind: string, text: string, ref: string, units: bigint>"
 
 
@@ -57,11 +67,18 @@ def _is_text(part: Column) -> Column:
 
 
 def body(parts: Column) -> Column:
-    """What the parts come to in the formatted text."""
-    one = lambda p: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), p["kind"], F.lit("|>"))
-    )
-    return F.array_join(F.transform(parts, one), "")
+    """What the parts come to in the formatted text.
+
+    Texts and signs for placeholders are joined, escaped as one, and the signs replaced. A sign between "<" and
+    "|" keeps them apart, as its placeholder does.
+    """
+    plain = lambda kind: kind.rlike("^[A-Za-z0-9_]+$") & ~kind.isin(*RESERVED)
+    one = lambda p: F.when(
+        _is_text(p), F.replace(F.coalesce(p["text"], F.lit("")), F.lit(_SIGN), F.lit(f"{_SIGN}t"))
+    ).otherwise(F.concat(F.lit(f"{_SIGN}p"), F.when(plain(p["kind"]), p["kind"]).otherwise(OTHER), F.lit(";")))
+    joined = escape(F.array_join(F.transform(parts, one), ""))
+    marked = F.regexp_replace(joined, f"{_SIGN}p([A-Za-z0-9_]+);", "<|$1|>")
+    return F.replace(marked, F.lit(f"{_SIGN}t"), F.lit(_SIGN))
 
 
 def attachments(parts: Column) -> Column:
