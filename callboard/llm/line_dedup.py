@@ -1,26 +1,29 @@
 """Repeated runs of lines, found by winnowing over line hashes.
 
 A run of at least LINES consecutive lines that stands earlier in the corpus too is deleted where it
-stands later; so is a single line of LONG_LINE words or more. "Earlier" is by doc_id, then place.
-Blank lines are stepped over and stay. All is judged on the input, not on what is left.
+stands later; so are fewer neighbouring lines that have LONG_LINE words together, down to a single line.
+"Earlier" is by doc_id, then place. Blank lines are stepped over and stay. All is judged on the input,
+not on what is left.
 
-Every LINES neighbouring line hashes are a window, whose least hash (the first of equals) is its
-fingerprint, so equal runs of LINES lines have equal fingerprints in equal places. Only
-fingerprints that occur at two places or more go on; their positions are joined, and the match is
-extended both ways by comparing the whole windows around the fingerprint: of all windows with equal
-lines the earliest stays, and the lines of every other are deleted. Longer runs are unions of
-windows. A long line is a window of its own.
+Every LINES neighbouring line hashes are a window, and so are as many lines from any line on as it takes to
+LONG_LINE words, if they are fewer. A window selects its least hash (the first of equals) as fingerprint.
+A selected position is one row, whichever windows select it, so there is one for about every second line:
 
-With ``passages``, fewer than LINES neighbouring lines that have LONG_LINE words together are a
-window too: every line starts one of as many lines as that takes. The pipeline asks for them; the
-query does not, as its SQL has only runs of LINES lines and single long lines.
+1. Only fingerprints that stand at two positions or more go on. Equal windows have equal fingerprints at
+   equal places, so no repeated window is without one.
+2. Positions of equal fingerprints are matched by extending both ways, over the lines before and after
+   that the windows which selected them cover; windows agree if all their line hashes do.
+3. Of windows that agree the earliest stays, and the lines of every other are deleted. Longer runs are unions of
+   windows.
 
-Windows are compared by 128-bit hashes. No group of equal windows is ever gathered: only counted,
-and its least position taken.
+Lines and windows are compared by 128-bit hashes. No group of equal windows is ever gathered: only counted,
+and its least position taken. What is counted is written before it is joined, so either side of a join is
+a plain shuffle and a line that very many documents have is divided over tasks.
 
 Defined results: null and empty texts have no lines and stay as they are; rows that share a doc_id
 are ordered by the hash of their text, and equal rows keep the same lines; a null doc_id comes
-before all others.
+before all others. Of a very long text only one has to fit a task. Columns of the input stay, but for n_lines
+and n_removed, which are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import others, portions, schema, with_columns, written
+from .common import discard, others, portions, schema, with_columns, written
 
 LINES = 3
 LONG_LINE = 50
@@ -43,82 +46,92 @@ BLANKS = r"[\x20\x09-\x0D]+"
 _JOINED = ["__doc", "__print_of", "__later"]
 
 
-def windows(
-    text: bytes, size: int = LINES, long_line: int = LONG_LINE, passages: bool = False
-) -> Iterator[tuple[int, int, list[int], bytes]]:
-    """(place of the fingerprint, fingerprint, lines covered, 128-bit hash of them all) of each window."""
-    full = [(i, line, len(line.split())) for i, line in enumerate(text.split(b"\n"))]
-    full = [row for row in full if row[2]]
-    hashes = [xxhash.xxh64_intdigest(line) for _, line, _ in full]
-
-    def window(start: int, n: int) -> tuple[int, int, list[int], bytes]:
-        own = hashes[start : start + n]
-        least = min(own)
-        part = full[start : start + n]
-        content = xxhash.xxh3_128_digest(b"\n".join([line for _, line, _ in part]), n)
-        return part[own.index(least)][0], least, [i for i, _, _ in part], content
-
-    for start in range(len(full) - size + 1):
-        yield window(start, size)
-    # From ``size`` lines on, the windows above cover the passage.
-    longest = max(1, size - 1) if passages else 1
-    for start in range(len(full)):
-        words = 0
-        for n, (_, _, more) in enumerate(full[start : start + longest], 1):
-            words += more
-            if words >= long_line:
-                yield window(start, n)
+def full_lines(text: bytes) -> tuple[list[bytes], list[int]]:
+    """(lines, numbers of those with words)."""
+    lines = text.split(b"\n")
+    return lines, [i for i, line in enumerate(lines) if line.split(None, 1)]
+
+
+def positions(text: bytes, size: int = LINES, long_line: int = LONG_LINE) -> Iterator[tuple[int, int, list[tuple[int, int, bytes]]]]:
+    """(place, fingerprint, windows that select it) of each selected line; a window is (first, lines, hash of them all).
+
+    Places count lines with words.
+    """
+    lines, full = full_lines(text)
+    prints = [xxhash.xxh3_128_digest(lines[i]) for i in full]
+    words = [len(lines[i].split()) for i in full]
+    selected: dict[int, list[tuple[int, int, bytes]]] = {}
+
+    def select(first: int, n: int) -> None:
+        own = prints[first : first + n]
+        at = first + own.index(min(own))
+        selected.setdefault(at, []).append((first, n, xxhash.xxh3_128_digest(b"".join(own), n)))
+
+    for first in range(len(full)):
+        if first + size <= len(full):
+            select(first, size)
+        total = 0
+        # From ``size`` lines on, the window above covers the passage.
+        for n, more in enumerate(words[first : first + max(1, size - 1)], 1):
+            total += more
+            if total >= long_line:
+                select(first, n)
                 break
+    for at, found in selected.items():
+        yield at, int.from_bytes(prints[at][:8], "little", signed=True), found
 
 
-def _window_rows(rows: DataFrame, size: int, long_line: int, passages: bool) -> DataFrame:
+_WINDOW = pa.struct([("first", pa.int32()), ("lines", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
+
+
+def _position_rows(rows: DataFrame, size: int, long_line: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in portions(batches, "text"):
-            owners: list[int] = []
-            found: list[tuple] = []
-            for i, text in enumerate(texts):
-                own = list(windows(text, size, long_line, passages))
-                owners += [i] * len(own)
-                found += own
-            hashes = np.frombuffer(b"".join([row[3] for row in found]), "<i8").reshape(-1, 2)
+            found = [(i, *row) for i, text in enumerate(texts) for row in positions(text, size, long_line)]
+            own = [window for *_, chosen in found for window in chosen]
+            hashes = np.frombuffer(b"".join([window[2] for window in own]), "<i8").reshape(-1, 2)
+            columns = [pa.array([window[i] for window in own], pa.int32()) for i in range(2)]
+            columns += [pa.array(np.ascontiguousarray(hashes[:, i])) for i in range(2)]
+            offsets = pa.array(np.cumsum([0, *(len(chosen) for *_, chosen in found)]), pa.int32())
             made = {
-                "place": pa.array([row[0] for row in found], pa.int32()),
-                "fingerprint": pa.array(np.array([row[1] for row in found], np.uint64).view(np.int64)),
-                "covers": pa.array([row[2] for row in found], pa.list_(pa.int32())),
-                "h": pa.array(hashes[:, 0].copy()),
-                "g": pa.array(hashes[:, 1].copy()),
+                "place": pa.array([row[1] for row in found], pa.int32()),
+                "fingerprint": pa.array([row[2] for row in found], pa.int64()),
+                "windows": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(_WINDOW))),
             }
-            yield with_columns(batch.select(["doc", "print"]).take(pa.array(owners, pa.int64())), ["doc", "print"], made)
+            owners = pa.array([row[0] for row in found], pa.int64())
+            yield with_columns(batch.select(["doc", "print"]).take(owners), ["doc", "print"], made)
 
-    made = "place int, fingerprint long, covers array<int>, h long, g long"
+    made = "place int, fingerprint long, windows array<struct<first: int, lines: int, h: long, g: long>>"
     return rows.mapInArrow(work, schema(rows, ["doc", "print"], made))
 
 
-def later_windows(df: DataFrame, key: str, text: str, size: int, long_line: int, passages: bool = False) -> DataFrame:
-    """(doc, print of the text, later): lines of windows that stand earlier too."""
+def later_windows(df: DataFrame, key: str, text: str, size: int, long_line: int) -> DataFrame:
+    """(doc, print of the text, later): windows (first, lines) that stand earlier too."""
     rows = df.select(F.col(key).alias("doc"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
-    found = written(_window_rows(rows, size, long_line, passages), "line-windows")
+    found = written(_position_rows(rows, size, long_line), "line-positions")
 
-    # Of the windows that select one place, the first stands for it here.
     place = F.struct("doc", "print", "place")
     spread = found.groupBy("fingerprint").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = spread.where("first != last").select("fingerprint")
-    joined = found.join(repeated, "fingerprint", "left_semi")
+    repeated = written(spread.where("first != last").select("fingerprint"), "line-fingerprints")
+    matched = found.join(repeated, "fingerprint", "left_semi").select("doc", "print", F.inline("windows"))
 
-    extended = joined.withColumn("here", F.struct("doc", "print", F.element_at("covers", 1).alias("line")))
-    first = extended.groupBy("h", "g").agg(F.min("here").alias("first"), F.max("here").alias("last"))
-    first = first.where("first < last").select("h", "g", "first")
-    later = extended.join(first, ["h", "g"]).where("here > first")
+    here = F.struct("doc", "print", "first")
+    least = matched.groupBy("lines", "h", "g").agg(F.min(here).alias("least"), F.max(here).alias("most"))
+    least = written(least.where("least != most").select("lines", "h", "g", "least"), "line-windows")
+    later = matched.join(least, ["lines", "h", "g"]).where(here > F.col("least"))
     # A set, made inside tasks first: rows that repeat each other add nothing to it.
-    return later.groupBy("doc", "print").agg(F.array_distinct(F.flatten(F.collect_set("covers"))).alias("later"))
+    later = written(later.groupBy("doc", "print").agg(F.collect_set(F.struct("first", "lines")).alias("later")), "later-lines")
+    for done in (found, repeated, least):
+        discard(done)
+    return later
 
 
 def deduplicated(
-    df: DataFrame, key: str = "doc_id", text: str = "text", size: int = LINES, long_line: int = LONG_LINE, passages: bool = False
+    df: DataFrame, key: str = "doc_id", text: str = "text", size: int = LINES, long_line: int = LONG_LINE
 ) -> DataFrame:
     """``df`` with the later lines taken out of ``text``, and n_lines and n_removed added."""
     made = ["n_lines", "n_removed"]
-    found = later_windows(df, key, text, size, long_line, passages).toDF(*_JOINED)
+    found = later_windows(df, key, text, size, long_line).toDF(*_JOINED)
     rows = df.select(*others(df, made), F.xxhash64(text).alias("__print"))
     rows = rows.join(found, rows[key].eqNullSafe(found[_JOINED[0]]) & (rows["__print"] == found[_JOINED[1]]), "left")
     plain = others(df, [*made, text])
@@ -127,8 +140,8 @@ def deduplicated(
         for batch, texts in portions(batches, text):
             left, counts, removed = [], [], []
             for before, is_null, later in zip(texts, batch.column(text).is_null(), batch.column(_JOINED[2]).to_pylist(), strict=True):
-                lines = before.split(b"\n")
-                gone = set(later or ())
+                lines, full = full_lines(before)
+                gone = {i for window in later or () for i in full[window["first"] : window["first"] + window["lines"]]}
                 left.append(None if is_null.as_py() else b"\n".join([x for i, x in enumerate(lines) if i not in gone]).decode())
                 counts.append(len(lines) if before else 0)
                 removed.append(len(gone))
@@ -150,6 +163,6 @@ def digests(df: DataFrame) -> DataFrame:
 
 def without_repeats(df: DataFrame) -> DataFrame:
     """``df`` with later lines taken out; texts of which nothing but blanks is left go, if lines were taken out."""
-    left = deduplicated(df, passages=True)
+    left = deduplicated(df)
     emptied = (F.col("n_removed") > 0) & (F.length(F.regexp_replace("text", BLANKS, "")) == 0)
     return left.where(~emptied).select(*df.columns)

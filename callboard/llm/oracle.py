@@ -17,7 +17,13 @@ starts AS (
            line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS content, 3 AS size
     FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY n)
     UNION ALL
-    SELECT doc_id, n, [i], line, 1 FROM full_lines WHERE words >= 50),
+    SELECT doc_id, n, [i], line, 1 FROM full_lines WHERE words >= 50
+    UNION ALL
+    SELECT doc_id, n, covers, content, 2 FROM (
+        SELECT doc_id, n, words, [i, lead(i) OVER w] AS covers, line || chr(10) || lead(line) OVER w AS content,
+               words + lead(words) OVER w AS words2
+        FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY n))
+    WHERE words < 50 AND words2 >= 50),
 placed AS (
     SELECT *, first_value((doc_id, n)) OVER (PARTITION BY size, content ORDER BY doc_id, n) AS first
     FROM starts WHERE content IS NOT NULL),
