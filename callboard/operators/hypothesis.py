@@ -42,7 +42,11 @@ def t_statistics(df: DataFrame, label: str, attributes: Sequence[str], groups: t
     The statistic is positive where the first group has the greater mean. A group with a
     single value adds no spread; no spread at all gives no statistic.
     """
-    moments = group_moments(df.where(F.col(label).isin(*groups)), label, attributes)
+    return t_of_moments(group_moments(df.where(F.col(label).isin(*groups)), label, attributes), groups)
+
+
+def t_of_moments(moments: DataFrame, groups: tuple = (0, 1)) -> DataFrame:
+    """The same from (attribute, label, n, mean, variance)."""
 
     def of(group, what):
         return F.max(F.when(F.col("label") == group, F.col(what)))
@@ -69,14 +73,21 @@ def _value_counts(df: DataFrame, label: str, attributes: Sequence[str], labels:
     Rows are counted once for all attributes, with map-side sums. The margins have one row
     per attribute and are joined back to the counts.
     """
-    known = df.where(F.col(label).isin(*labels))
+    return _with_margins(_cells(df.where(F.col(label).isin(*labels)), label, attributes), labels)
+
+
+def _cells(df: DataFrame, label: str, attributes: Sequence[str], *by: str) -> DataFrame:
+    """(by, attribute, value, label, n): rows by label and value, of all attributes in one pass."""
     pairs = [F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes]
+    rows = df.select(*by, F.col(label).alias("label"), F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+    return rows.groupBy(*by, "attribute", "value", "label").agg(F.count("*").alias("n"))
+
+
+def _with_margins(cells: DataFrame, labels: Sequence) -> DataFrame:
     numbers = range(len(labels))
     counts = (
-        known.select(label, F.inline(F.array(*pairs)))
-        .where(F.col("value").isNotNull())
-        .groupBy("attribute", "value")
-        .agg(*[F.count_if(F.col(label) == g).alias(f"o{i}") for i, g in enumerate(labels)])
+        cells.groupBy("attribute", "value")
+        .agg(*[F.coalesce(F.sum(F.when(F.col("label") == g, F.col("n"))), F.lit(0)).alias(f"o{i}") for i, g in enumerate(labels)])
         .withColumn("column", F.expr(" + ".join(f"o{i}" for i in numbers)))
     )
     margins = counts.groupBy("attribute").agg(
@@ -105,6 +116,11 @@ def chi_square_statistics(
 
     Continuity-corrected for one degree of freedom. A label that never occurs takes no part.
     """
+    return chi_square_of_counts(_value_counts(df, label, attributes, labels), labels, correction)
+
+
+def chi_square_of_counts(counts: DataFrame, labels: Sequence = (0, 1), correction: bool = True) -> DataFrame:
+    """The same from what ``_value_counts`` gives."""
     numbers = range(len(labels))
     gaps = [f"abs(o{i} - r{i} * column / total)" for i in numbers]
     plain = " + ".join(f"coalesce(try_divide(pow({gaps[i]}, 2), r{i} * column / total), 0.0D)" for i in numbers)
@@ -113,7 +129,7 @@ def chi_square_statistics(
     )
     rows = " + ".join(f"if(r{i} > 0, 1, 0)" for i in numbers)
     found = (
-        _value_counts(df, label, attributes, labels)
+        counts
         .select("attribute", F.expr(plain).alias("plain"), F.expr(less).alias("less"), F.expr(f"({rows} - 1) * (k - 1)").alias("df"))
         .groupBy("attribute", "df")
         .agg(F.sum("plain").alias("plain"), F.sum("less").alias("less"))

@@ -305,6 +305,8 @@ ORACLE["ab_report"] = sql(
     )
 )
 
+ORACLE["ab_report_merged"] = ORACLE["ab_report"]
+
 # Scorecard.
 
 _IS_TEST = "(('0x' || substr(md5(case_key), 1, 4))::BIGINT % 5 < 1)"

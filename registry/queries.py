@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from callboard.functions import snapshots as snapshot_text
 from callboard.functions.numbers import number, recode
 from callboard.functions.text import without_version
-from callboard.operators import describe, hypothesis
+from callboard.operators import describe, hypothesis, period_states
 from callboard.operators.upsert import upsert
 from callboard.plans import binning, cases, final_scores, health, performance, productivity, roc, routing, scorecard
 from callboard.session import materialize, new_folder
@@ -230,6 +230,16 @@ def ab_report(spark, sf):
     return rounded(report, "statistic", "p_value")
 
 
+@query
+def ab_report_merged(spark, sf):
+    """The same report, merged from the stored states of the quarters."""
+    path = new_folder(spark, "test-states")
+    measured, counted = performance.MEASURED_ATTRIBUTES, performance.COUNTED_ATTRIBUTES
+    rows = performance.all_cases(s.base_tables(spark, sf)).select("fiscal_qtr", "pred_score", *measured, *counted)
+    period_states.save(materialize(rows, "attributes"), path, "pred_score", measured, counted, "fiscal_qtr")
+    return rounded(period_states.report(spark, path, measured, counted), "statistic", "p_value")
+
+
 # Scorecard
 
 
