@@ -113,12 +113,12 @@ def later_windows(df: DataFrame, key: str, text: str, size: int, long_line: int)
     place = F.struct("doc", "print", "place")
     spread = found.groupBy("fingerprint").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = written(spread.where("first != last").select("fingerprint"), "line-fingerprints")
-    matched = found.join(repeated, "fingerprint", "left_semi").select("doc", "print", F.inline("windows"))
+    matched = found.join(repeated.hint("merge"), "fingerprint", "left_semi").select("doc", "print", F.inline("windows"))
 
     here = F.struct("doc", "print", "first")
     least = matched.groupBy("lines", "h", "g").agg(F.min(here).alias("least"), F.max(here).alias("most"))
     least = written(least.where("least != most").select("lines", "h", "g", "least"), "line-windows")
-    later = matched.join(least, ["lines", "h", "g"]).where(here > F.col("least"))
+    later = matched.join(least.hint("merge"), ["lines", "h", "g"]).where(here > F.col("least"))
     # A set, made inside tasks first: rows that repeat each other add nothing to it.
     later = written(later.groupBy("doc", "print").agg(F.collect_set(F.struct("first", "lines")).alias("later")), "later-lines")
     for done in (found, repeated, least):
@@ -131,7 +131,8 @@ def deduplicated(
 ) -> DataFrame:
     """``df`` with the later lines taken out of ``text``, and n_lines and n_removed added."""
     made = ["n_lines", "n_removed"]
-    found = later_windows(df, key, text, size, long_line).toDF(*_JOINED)
+    # One plan at every size: a side that is small for now is not sent to all tasks.
+    found = later_windows(df, key, text, size, long_line).toDF(*_JOINED).hint("merge")
     rows = df.select(*others(df, made), F.xxhash64(text).alias("__print"))
     rows = rows.join(found, rows[key].eqNullSafe(found[_JOINED[0]]) & (rows["__print"] == found[_JOINED[1]]), "left")
     plain = others(df, [*made, text])
