@@ -11,8 +11,9 @@ from .. import schemas
 from ..functions.numbers import number
 from ..operators import hypothesis
 from ..operators.describe import columns_by_kind
-from ..operators.skew import hot_keys
+from ..operators.skew import ROWS_PER_TASK, hot_keys, spread_join
 from ..session import materialize
+from ..sources import by_case
 from ..sources.tables import read_table
 from . import cases, final_scores, health, productivity, roc, scorecard
 
@@ -76,13 +77,43 @@ def cases_with_health(t: Tables, older: bool = False) -> DataFrame:
     return found.drop("_row")
 
 
+def store_by_case(t: Tables, prefix: str, path: str, buckets: int, rows_per_task: int = ROWS_PER_TASK) -> by_case.CaseTables:
+    """The tables that are joined by case, stored so that this moves no rows, with the columns that are needed."""
+    columns = ["latest_employee_key", *cases.CASE_COLUMNS, *cases.QUEUE_COLUMNS]
+    wanted = cases.wanted_cases(t.call_chat).select(*columns)
+    closed = t.closed_cases.select(F.col("transaction_no").alias("case_key"), *cases.CLOSING_COLUMNS)
+    return by_case.write(wanted, closed, t.health, prefix, path, buckets, rows_per_task)
+
+
+def cases_with_health_by_case(spark: SparkSession, stored: by_case.CaseTables, employees: DataFrame) -> DataFrame:
+    """What ``cases_with_health`` gives, from tables stored by case.
+
+    The joins by case come first, while rows lie by case; employees follow. Hot cases are joined on their own.
+    """
+    facts = stored.table(spark, "cases").join(stored.table(spark, "closed"), "case_key")
+    rows = health.with_health(facts, stored.table(spark, "health"))
+    if stored.hot:
+        numbered = stored.hot_table(spark, "cases").withColumn("_row", F.monotonically_increasing_id())
+        facts = spread_join(numbered, stored.hot_table(spark, "closed"), ["case_key"], hot=stored.hot)
+        apart = health.with_health(facts, stored.hot_table(spark, "health"), hot=stored.hot)
+        rows = rows.unionByName(apart.drop("_row"))
+    staff = employees.select(*cases.EMPLOYEE_COLUMNS)
+    found = rows.join(staff, F.col("latest_employee_key") == F.col("employee_key")).drop("latest_employee_key")
+    return found.select(*cases.EMPLOYEE_COLUMNS, *(c for c in found.columns if c not in cases.EMPLOYEE_COLUMNS))
+
+
 def all_cases(t: Tables) -> DataFrame:
-    """Newer form: cases with health, issue counts, agent figures and band.
+    """Newer form: cases with health, issue counts, agent figures and band."""
+    return with_figures(cases_with_health(t), t)
+
+
+def with_figures(found: DataFrame, t: Tables) -> DataFrame:
+    """Cases with health get issue counts, agent figures and band.
 
     The joined facts are written once, since four later passes read them, and numbered, so
     that equal rows of a busy agent can be spread.
     """
-    facts = cases.with_agent_key(cases_with_health(t)).withColumn("_row", F.monotonically_increasing_id())
+    facts = cases.with_agent_key(found).withColumn("_row", F.monotonically_increasing_id())
     base = materialize(facts, "cases")
     agents = productivity.agent_rollup(t.call_chat, t.productivity)
     issues, busy = hot_keys(base, [["employee_name", "incidentlevel2reason"], ["new_employee_key"]])

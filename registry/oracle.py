@@ -184,6 +184,7 @@ ORACLE["model_frame"] = sql(
     f"""SELECT case_key, new_employee_key, pred_score, model_prob, sign, counting, number_cases,
           {_rounded(*_MEASURES[:3], digits=9)}, csatscore, wait_time FROM all_cases"""
 )
+ORACLE["model_frame_stored_by_case"] = ORACLE["model_frame"]
 ORACLE["model_frame_older"] = sql(
     f"SELECT case_key, employee_key, chs, {_rounded(*_MEASURES[:3], digits=9)}, csatscore, wait_time FROM all_cases_older"
 )

@@ -28,6 +28,8 @@ CATEGORICAL = ["skill_category", "employee_name", "last_queue"]
 # Means of whole seconds in hours often end in a 5 within eight digits; at nine few are halfway between two.
 HOUR_DIGITS = 9
 EXPIRY_HOURS = 2
+# Buckets of case tables, and rows from which a case of the test tables is kept apart.
+BUCKETS, HOT_CASE_ROWS = 8, 2
 RARE_CATEGORICAL, RARE_SHARE = ["skill_category", "employee_name"], 0.012
 
 
@@ -116,7 +118,20 @@ def issue_case_count_joined(spark, sf):
 
 @query
 def model_frame(spark, sf):
-    rows = performance.all_cases(s.base_tables(spark, sf)).select(
+    return _model_frame(performance.all_cases(s.base_tables(spark, sf)))
+
+
+@query
+def model_frame_stored_by_case(spark, sf):
+    """The same from tables stored by case; cases with more than two rows count as hot."""
+    t, path = s.base_tables(spark, sf), new_folder(spark, "by-case")
+    stored = performance.store_by_case(t, f"by_case_{path[-32:]}", path, BUCKETS, rows_per_task=HOT_CASE_ROWS)
+    found = performance.cases_with_health_by_case(spark, stored, t.employees)
+    return _model_frame(performance.with_figures(found, t))
+
+
+def _model_frame(rows):
+    rows = rows.select(
         "case_key", "new_employee_key", "pred_score", "model_prob", "sign", "counting", "number_cases",
         "day_working_hours", "day_billable_hour", "CPH", "csatscore", "wait_time",
     )
