@@ -1,0 +1,84 @@
+"""Bins from stored quantile sketches."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from callboard.plans import binning, scorecard, sketched_bins
+
+SCHEMA = "k STRING, day STRING, x DOUBLE, z DOUBLE, y INT"
+
+
+def frame(spark, n, days=5, seed=3):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x = rng.gauss(0, 10)
+        y = int(rng.random() < 1 / (1 + math.exp(-x / 6)))
+        rows.append((f"k{i}", f"d{rng.randrange(days)}", x if i % 20 else None, float(rng.randrange(7)), y if i % 31 else None))
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+def bins(found):
+    return sorted(map(repr, (tuple(r) for r in found.table.collect())))
+
+
+def test_small_periods_are_exact(spark, tmp_path):
+    """While a merged sketch holds every value, cuts are values of the data and counts are exact."""
+    df, path = frame(spark, 2_000), str(tmp_path / "s")
+    sketched_bins.save(df, path, ["x", "z"], "y", "day")
+    found = sketched_bins.fit(spark, path, trend=None, smallest=0.0)
+    known = df.where("y IS NOT NULL")
+    for r in found.table.collect():
+        inside = known.where(F.col(r.variable).isNull()) if r.bin == -1 else known.where(
+            F.col(r.variable).isNotNull() & (F.col(r.variable) >= r.lower) & (F.col(r.variable) < r.upper)
+        )
+        assert (r.n, r.events) == inside.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+
+
+def test_cuts_keep_the_stated_error(spark, tmp_path):
+    df, path = frame(spark, 60_000, days=4), str(tmp_path / "s")
+    sketched_bins.save(df, path, ["x"], "y", "day", k=400)
+    found = sketched_bins.cuts(sketched_bins.merged(spark, path, k=400), k=400)["x"]
+    values = sorted(r.x for r in df.where("x IS NOT NULL AND y IS NOT NULL").select("x").collect())
+    error = 2 * 2.3 / 400**0.9
+    assert len(found) == 19
+    for i, cut in enumerate(found, 1):
+        rank = sum(v <= cut for v in values) / len(values)
+        assert abs(rank - i / 20) <= error
+    table = sketched_bins.fit(spark, path, k=400).table
+    exact = binning.fit_binning(df, ["x"], [], "y").table
+    value = lambda t: binning.information_values(t).first().iv
+    assert value(table) == pytest.approx(value(exact), rel=0.05)
+    assert table.agg(F.sum("n")).first()[0] == df.where("y IS NOT NULL").count()
+
+
+def test_a_refit_reads_the_new_day_only(spark, tmp_path):
+    df, path, whole = frame(spark, 3_000), str(tmp_path / "s"), str(tmp_path / "w")
+    sketched_bins.save(df.where("day <> 'd4'"), path, ["x", "z"], "y", "day")
+    sketched_bins.save(df.where("day = 'd4'"), path, ["x", "z"], "y", "day")
+    sketched_bins.save(df, whole, ["x", "z"], "y", "day")
+    assert bins(sketched_bins.fit(spark, path)) == bins(sketched_bins.fit(spark, whole))
+    some = F.col("period").isin("d1", "d2")
+    alone = str(tmp_path / "a")
+    sketched_bins.save(df.where("day IN ('d1', 'd2')"), alone, ["x", "z"], "y", "day")
+    assert bins(sketched_bins.fit(spark, path, periods=some)) == bins(sketched_bins.fit(spark, alone))
+    plan = sketched_bins.merged(spark, path, some)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [period" in plan
+
+
+def test_sketched_bins_work_in_a_scorecard(spark, tmp_path):
+    df, path = frame(spark, 3_000), str(tmp_path / "s")
+    sketched_bins.save(df, path, ["x"], "y", "day")
+    found = sketched_bins.fit(spark, path, method="optimal")
+    rows = binning.evidence(found.table).collect()
+    woe = scorecard._with_bins(df, found, rows, ["x"], "woe", "_w")
+    assert woe.where("x IS NOT NULL").select("x_w").distinct().count() == sum(r.bin >= 0 for r in rows)
+
+
+def test_nothing_and_only_missing_values(spark, tmp_path):
+    df, path = frame(spark, 50), str(tmp_path / "s")
+    sketched_bins.save(df.withColumn("x", F.lit(None).cast("double")), path, ["x"], "y", "day")
+    assert [(r.variable, r.bin) for r in sketched_bins.fit(spark, path).table.collect()] == [("x", -1)]
