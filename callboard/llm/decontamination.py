@@ -18,6 +18,8 @@ never shuffled.
 Defined results: null or wordless texts have no words and no windows; an item of fewer words than
 a window is one window; rows that repeat an item_id are parts of one item; an item whose id is
 null can be hit but is not listed. A document of any length is searched whole.
+Repeated rows are searched one by one. Columns of the input named like an output column are replaced, all others are
+kept. Without documents there are no rows, without items nothing is hit.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ sent to the driver and the executors.
 
 Defined results: ``und`` and score 0 where the text is null or has no letter; ``und`` everywhere if
 nothing was learned. Letters outside any learned n-gram only lower the score. A document without
-a doc_id is neither held out nor learned from.
+a doc_id is neither held out nor learned from. A text is looked at whole, so the longest has to fit a task.
+Repeated rows are counted and predicted one by one; of equal counts the first language by name wins. Columns of the
+input named like an output column are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations

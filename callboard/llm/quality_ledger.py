@@ -7,7 +7,9 @@ asking what each of its rules does alone, is bit arithmetic on the ledger and re
 Defined results: a null or empty text has no words and one line; all its measurements are 0 but
 ``n_lines``. Rules that divide by words are written as products, so that 0 words fail only the
 rules that say so. Repeated rows are measured one by one. Equality of words and lines inside a
-text is decided by 64-bit hashes with random byte values.
+text is decided by 64-bit hashes with random byte values. A text is measured whole, so the longest has to fit a
+task. Columns of the input named like a measurement or ``failed`` are replaced, all others are kept; an empty table
+gives an empty ledger.
 """
 
 from __future__ import annotations

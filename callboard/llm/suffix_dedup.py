@@ -29,6 +29,8 @@ into overlapping portions; that splits blocks, not results.
 
 Defined results: null and empty texts have no bytes; texts shorter than MATCH keep everything;
 repeated rows repeat each other; rows that share a doc_id are told apart by their text.
+Columns of the input named like an output column are replaced, all others are kept under any name. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ others are revisit records without a body that name it.
 
 Defined results: a null payload is empty; a page without page_id is always a response; rows that
 repeat a page_id are records of their own, and with the same payload as their page's response they
-are responses too; line ends in a url are percent-encoded.
+are responses too; line ends in a url are percent-encoded. A payload is one value of a row, so the longest has to
+fit a task; beyond it memory is bounded by a chunk. Other columns of the input are not read, whatever their names. An
+empty table gives archives without records.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from .common import tidy
+from .common import tidy, written
 
 CHUNK = 1 << 18
 LEAST_BYTES = 0
@@ -110,7 +112,8 @@ def first_of_equals(pages: DataFrame, payload: str = "html", least_bytes: int =
     prints = pages.select("page_id", _print(payload).alias("_payload"), F.octet_length(F.coalesce(payload, F.lit(""))).alias("size"))
     known = prints.where(F.col("page_id").isNotNull() & (F.col("size") >= least_bytes))
     least = known.groupBy("_payload").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("most"))
-    repeated = least.where("refers_to < most").drop("most")
+    # Written before it is joined, so that both sides are plain shuffles and a payload of very many pages is divided.
+    repeated = written(least.where("refers_to < most").drop("most"), "repeated-payloads").hint("merge")
     return known.join(repeated, "_payload").where("page_id > refers_to").select("page_id", "_payload", "refers_to").distinct()
 
 
