@@ -2,6 +2,10 @@
 
 Every stage takes the rows that the one before has kept, written as Parquet and read again. All but
 the last return the columns of ``documents``.
+
+Defined results: null, empty and blank texts have no words and go at the first stage. Very long texts are worked on whole.
+Of rows equal in id and text one stays, of other ties the least doc_id (one without an id after all others). Other columns are
+carried along whatever their names, and no operator sees them. Without documents the result is empty.
 """
 
 from __future__ import annotations
