@@ -1,5 +1,7 @@
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from callboard.llm import language_id
@@ -65,3 +67,38 @@ def test_filter_returns_all_languages_of_a_gram(spark):
         for place in places:
             bits &= model.bits[place, 0]
         assert bits & 3 == 3
+
+
+@pytest.mark.parametrize("least, share", [(language_id.LEAST, language_id.SHARE), (0.0, 0.0)])
+def test_filter_against_exact_sets(spark, documents, monkeypatch, least, share):
+    """Every language that contains a gram by plain counting is in the filter's answer; others are there by chance alone.
+
+    With both bounds at 0 a language contains every gram it ever has; held-out texts are told apart as well.
+    """
+    monkeypatch.setattr(language_id, "LEAST", least)
+    monkeypatch.setattr(language_id, "SHARE", share)
+    labelled = documents.where("lang IS NOT NULL").where(~language_id.held_out())
+    model = language_id.learn(labelled)
+    counts = {}
+    for row in labelled.select("lang", "text").collect():
+        found, n = np.unique(language_id.grams([(row.text or "").encode()])[0], return_counts=True)
+        own = counts.setdefault(row.lang, Counter())
+        own.update(dict(zip(found.tolist(), n.tolist(), strict=True)))
+    rates = {lang: {g: n / sum(own.values()) for g, n in own.items()} for lang, own in counts.items()}
+    every = sorted({g for own in rates.values() for g in own})
+    best = {g: max(own.get(g, 0) for own in rates.values()) for g in every}
+    answers = np.full(len(every), 255, np.uint8)
+    for places in language_id.slots(np.array(every, np.uint64)):
+        answers &= model.bits[places, 0]
+    wrong = asked = 0
+    for bit, lang in enumerate(model.languages):
+        own = rates[lang]
+        exact = np.array([g in own and own[g] >= least and own[g] >= share * best[g] for g in every])
+        said = answers >> bit & 1 == 1
+        assert not (exact & ~said).any()
+        wrong += int((said & ~exact).sum())
+        asked += int((~exact).sum())
+    assert wrong <= 0.01 * asked
+    held = documents.where("lang IS NOT NULL AND n_chars >= 100").where(language_id.held_out())
+    rows = language_id.predict(held, model).collect()
+    assert sum(r.lang_pred == r.lang for r in rows) / len(rows) > 0.95
