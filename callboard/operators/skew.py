@@ -53,28 +53,45 @@ def hot_keys(
     return found
 
 
+def hot_rows(df: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(_key, _tasks): what ``hot_keys`` finds for one list of columns, as rows that stay where they are.
+
+    For keys that may be many because ``rows_per_task`` is small beside the table. Write them before they are
+    used, so that all who use them agree.
+    """
+    share = min(1.0, COUNTED_ROWS / rows_per_task)
+    rows = df.where(_known(on)).select(F.xxhash64(*on).alias("_key"))
+    if share < 1.0:
+        rows = rows.sample(share, seed=1)
+    counted = rows.groupBy("_key").agg(F.count("*").alias("n")).where(F.col("n") > rows_per_task * share)
+    return counted.select("_key", F.ceil(F.col("n") / share / rows_per_task).cast("int").alias("_tasks"))
+
+
 def spread_join(
     large: DataFrame,
     small: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    hot: Mapping[int, int] | None = None,
+    hot: Mapping[int, int] | DataFrame | None = None,
     spread_by: Column | None = None,
 ) -> DataFrame:
     """Equi-join that divides the rows of a hot key of ``large`` over as many tasks as they fill.
 
     Only the rows of ``small`` that belong to a hot key are repeated, once for each of its
-    tasks. ``hot`` is the result of ``hot_keys`` if it is known already. ``spread_by``
-    decides the place of a row; it has to give the same value when a lost task is run
+    tasks. ``hot`` is the result of ``hot_keys`` if it is known already, or stored ``hot_rows``,
+    which Spark broadcasts or not by their size. ``spread_by`` decides the place of a row; it has to give the same value when a lost task is run
     again, so the default is a hash of the whole row and not a random number. ``how`` is
     ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
     on = list(on)
     hot = hot_keys(large, [on])[0] if hot is None else hot
-    if not hot:
+    if isinstance(hot, DataFrame):
+        tasks = hot
+    elif not hot:
         return large.join(small, on, how)
-    # As many rows as there are hot keys: rows / rows per task at most.
-    tasks = F.broadcast(large.sparkSession.createDataFrame(list(hot.items()), "_key LONG, _tasks INT"))
+    else:
+        # As many rows as there are hot keys: rows / rows per task at most.
+        tasks = F.broadcast(large.sparkSession.createDataFrame(list(hot.items()), "_key LONG, _tasks INT"))
     spread = spread_by if spread_by is not None else F.xxhash64(*large.columns)
     left = large.withColumn("_key", F.xxhash64(*on)).join(tasks, "_key", "left")
     left = left.withColumn("_place", F.coalesce(F.pmod(spread, F.col("_tasks")).cast("int"), F.lit(0)))

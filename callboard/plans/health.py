@@ -21,7 +21,7 @@ def with_health(
     health: DataFrame,
     columns: Sequence[str] = ("pred_score", "model_prob"),
     dedup: bool = True,
-    hot: Mapping[int, int] = {},
+    hot: Mapping[int, int] | DataFrame = {},
 ) -> DataFrame:
     """Cases with a health score.
 

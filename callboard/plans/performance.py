@@ -92,7 +92,7 @@ def cases_with_health_by_case(spark: SparkSession, stored: by_case.CaseTables, e
     """
     facts = stored.table(spark, "cases").join(stored.table(spark, "closed"), "case_key")
     rows = health.with_health(facts, stored.table(spark, "health"))
-    if stored.hot:
+    if stored.hot is not None:
         numbered = stored.hot_table(spark, "cases").withColumn("_row", F.monotonically_increasing_id())
         facts = spread_join(numbered, stored.hot_table(spark, "closed"), ["case_key"], hot=stored.hot)
         apart = health.with_health(facts, stored.hot_table(spark, "health"), hot=stored.hot)

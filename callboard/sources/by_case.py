@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import ROWS_PER_TASK, hot_keys
+from ..operators.skew import ROWS_PER_TASK, hot_rows
 
 KEY = "case_key"
 NAMES = ["cases", "closed", "health"]
@@ -23,11 +23,11 @@ NAMES = ["cases", "closed", "health"]
 
 @dataclass
 class CaseTables:
-    """Names of the stored tables start with ``prefix``; ``hot`` are the cases kept apart (see ``hot_keys``)."""
+    """Names of the stored tables start with ``prefix``; ``hot`` are the cases kept apart (see ``hot_rows``), if any."""
 
     prefix: str
     path: str
-    hot: dict[int, int]
+    hot: DataFrame | None
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         """Rows of all cases but the hot ones."""
@@ -40,17 +40,24 @@ class CaseTables:
 def write(
     cases: DataFrame, closed: DataFrame, health: DataFrame, prefix: str, path: str, buckets: int, rows_per_task: int = ROWS_PER_TASK
 ) -> CaseTables:
-    """Store the three tables, all with a column ``case_key``, in ``buckets``. Tables of that name are replaced."""
-    hot = hot_keys(cases, [[KEY]], rows_per_task)[0]
-    is_hot = F.xxhash64(KEY).isin(*hot) if hot else F.lit(False)
+    """Store the three tables, all with a column ``case_key``, in ``buckets``. Tables of that name are replaced.
+
+    Which cases are hot is stored beside the tables and looked up by joins: they may be many.
+    """
+    spark = cases.sparkSession
+    counted = hot_rows(cases, [KEY], rows_per_task)
+    counted.write.mode("overwrite").parquet(f"{path}/hot-keys")
+    hot = spark.read.schema(counted.schema).parquet(f"{path}/hot-keys")
+    hot = None if hot.isEmpty() else hot
     for name, df in zip(NAMES, (cases, closed, health)):
-        known = df.where(F.col(KEY).isNotNull())
+        cold = known = df.where(F.col(KEY).isNotNull())
+        if hot is not None:
+            is_hot = F.xxhash64(KEY) == F.col("_key")
+            known.join(hot, is_hot, "left_semi").write.mode("overwrite").parquet(f"{path}/hot-{name}")
+            cold = known.join(hot, is_hot, "left_anti")
         # Dealt as the buckets are, so that each is written by one task to one file.
-        cold = known.where(~is_hot).repartition(buckets, KEY)
-        writer = cold.write.mode("overwrite").option("path", f"{path}/{name}").bucketBy(buckets, KEY).sortBy(KEY)
+        writer = cold.repartition(buckets, KEY).write.mode("overwrite").option("path", f"{path}/{name}").bucketBy(buckets, KEY).sortBy(KEY)
         writer.saveAsTable(f"{prefix}_{name}")
-        if hot:
-            known.where(is_hot).write.mode("overwrite").parquet(f"{path}/hot-{name}")
     return CaseTables(prefix, path, hot)
 
 

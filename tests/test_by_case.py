@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import DataFrame
 
 from callboard import schemas
+from callboard.operators import skew
 from callboard.plans import performance
 from callboard.sources import by_case
 from registry import standins
@@ -72,3 +74,30 @@ def test_missing_keys_and_empty_tables(spark, tmp_path):
     assert [r.v for r in stored.table(spark, "cases").collect()] == ["y"]
     assert stored.table(spark, "health").count() == 0
     by_case.drop(spark, stored)
+
+
+def test_hot_cases_are_stored_and_do_not_come_to_the_driver(spark, tmp_path, no_broadcast):
+    n = 3000
+    cases = spark.range(n * 3).selectExpr(f"string(id % {n}) AS case_key", "id AS v").unionByName(
+        spark.range(5).selectExpr("string(-id - 1) AS case_key", "id AS v")
+    )
+    other = spark.range(n).selectExpr("string(id) AS case_key", "id AS w")
+    health = spark.range(n).selectExpr("string(id) AS case_key", "1 AS pred_score", "0.5D AS model_prob", "1 AS chs")
+    stored = by_case.write(cases, other, health, "stored_many_hot", str(tmp_path), 2, rows_per_task=2)
+    # Rows in the shared folder, as many as there are hot cases; no list of them in the plan.
+    assert isinstance(stored.hot, DataFrame)
+    assert stored.hot.count() == n and {r["_tasks"] for r in stored.hot.collect()} == {2}
+    assert stored.hot_table(spark, "cases").count() == 3 * n and stored.table(spark, "cases").count() == 5
+    assert stored.hot_table(spark, "health").count() == n and stored.table(spark, "closed").count() == 0
+    joined = skew.spread_join(stored.hot_table(spark, "cases"), stored.hot_table(spark, "closed"), ["case_key"], hot=stored.hot)
+    assert sorted((r.v, r.w) for r in joined.collect()) == [(i, i % n) for i in range(3 * n)]
+    by_case.drop(spark, stored)
+
+
+@pytest.mark.parametrize("rows_per_task", [3, 2_000])
+def test_hot_rows_are_what_hot_keys_finds(spark, rows_per_task):
+    rows = spark.range(9_000).selectExpr("if(id < 8000, 'hot', nullif(string(id % 200), '7')) AS k")
+    found = {r["_key"]: r["_tasks"] for r in skew.hot_rows(rows, ["k"], rows_per_task).collect()}
+    (keys,) = skew.hot_keys(rows, [["k"]], rows_per_task)
+    assert set(found) == set(keys) and len(keys) == (1 if rows_per_task > 3 else 1 + 199)
+    assert rows_per_task > 3 or found == keys
