@@ -213,10 +213,26 @@ def write_snapshots(spark: SparkSession, sf: str, root: str) -> None:
 WRITES = "issue_code STRING, ldap STRING, score DOUBLE, l_shipdate TIMESTAMP_NTZ, l_orderkey LONG"
 
 
+# Bytes of a stretch of a feed's file that is read on its own, so that several tasks can read one file.
+FEED_STRETCH = 16 << 20
+
+
 def write_by_year(rows: DataFrame, time: str, folder: str) -> None:
-    """Rows as parquet files, one for each year of ``time``, written one after the other."""
+    """Rows as parquet files, one for each year of ``time`` (rows without one first), a task and a file for each.
+
+    All are written at once. Files are named in the order of their tasks and get times of writing in that
+    order, by which a stream takes them.
+    """
     spark = rows.sparkSession
     by_year = rows.withColumn("year", F.year(time))
-    by_year.repartition("year").write.partitionBy("year").parquet(f"{folder}-years")
-    for found in by_year.select("year").distinct().orderBy("year").collect():
-        spark.read.schema(WRITES).parquet(f"{folder}-years/year={found['year']}").coalesce(1).write.mode("append").parquet(folder)
+    years = [r["year"] for r in by_year.select("year").distinct().orderBy(F.asc_nulls_first("year")).collect()]
+    place = F.lit(0)
+    for i, year in enumerate(years):
+        place = F.when(F.col("year") == year, i).otherwise(place) if year is not None else place
+    dealt = by_year.repartitionById(max(1, len(years)), place.cast("int")).drop("year")
+    dealt.write.option("parquet.block.size", FEED_STRETCH).parquet(folder)
+    files, path = file_system(spark, folder)
+    found = sorted((s for s in files.listStatus(path) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
+    last = max((s.getModificationTime() for s in found), default=0)
+    for i, status in enumerate(found):
+        files.setTimes(status.getPath(), last + 1000 * i, -1)

@@ -5,6 +5,7 @@ import threading
 import pytest
 
 from callboard.sources import versions
+from registry import standins
 
 ROW = "issue_code STRING, ldap STRING, score DOUBLE"
 
@@ -124,3 +125,19 @@ def test_old_versions_are_removed_with_their_rows(spark, tmp_path):
     assert versions.numbers(spark, path) == [5]
     assert stored(spark, path) == {("i", "a"): 4.0, ("i", "b"): 1.0, ("first", "b"): 1.0}
     assert len(list((tmp_path / "card" / "data").glob("*/part=*"))) == 2
+
+
+def test_feed_has_one_file_for_each_year_all_written_at_once(spark, tmp_path):
+    days = [f"{year}-03-{day:02d}" for year in range(1990, 2001) for day in (1, 20)]
+    data = [("i", f"a{n}", float(n), day, n) for n, day in enumerate(days)] + [("i", "z", 1.0, None, 99)]
+    rows = spark.createDataFrame(data, "issue_code STRING, ldap STRING, score DOUBLE, day STRING, l_orderkey LONG")
+    rows = rows.selectExpr("issue_code", "ldap", "score", "CAST(day AS TIMESTAMP_NTZ) AS l_shipdate", "l_orderkey")
+    feed = str(tmp_path / "feed")
+    standins.write_by_year(rows.repartition(3), "l_shipdate", feed)
+    files = sorted((tmp_path / "feed").glob("part-*"), key=lambda f: f.stat().st_mtime)
+    years = [[r[0] for r in spark.read.schema(standins.WRITES).parquet(str(f)).selectExpr("year(l_shipdate)").distinct().collect()] for f in files]
+    assert years == [[None], *([year] for year in range(1990, 2001))]
+    assert len({f.stat().st_mtime for f in files}) == len(files)
+    assert spark.read.schema(standins.WRITES).parquet(feed).exceptAll(rows).isEmpty() and len(data) == spark.read.parquet(feed).count()
+    # Rows are written once: no copy by year lies beside the feed.
+    assert [f.name for f in tmp_path.iterdir()] == ["feed"]
