@@ -1,16 +1,17 @@
 """Logistic regression by iterated weighted least squares, each step one aggregate.
 
 A step needs, at the present coefficients, the loss, its gradient and the cross products of all
-variables weighted by p * (1 - p). Every row gives one row of the matrix per variable, so Spark sums
-k + 1 groups of k + 1 products inside tasks, and k * k numbers, whatever the rows, come to the driver.
+variables weighted by p * (1 - p). Each task adds its rows up batch by batch, as products of small matrices,
+and gives one row of the sums per variable; Spark adds those of all tasks, and k * k numbers, whatever the
+rows, come to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +22,30 @@ MOST_HALVINGS = 30
 
 def sums_at(df: DataFrame, label: str, names: Sequence[str], b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """(loss, gradient, weighted cross products) of all rows; the first place is the intercept's."""
-    x = [F.lit(1.0), *(F.col(name).cast("double") for name in names)]
-    margin = reduce(lambda z, term: z + term, (F.lit(float(w)) * c for w, c in zip(b, x)))
-    rows = df.select(F.col(label).cast("double").alias("y"), margin.alias("z"), F.array(*x).alias("x"))
-    rows = rows.withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
-    loss = F.log1p(F.exp(-F.abs("z"))) + F.greatest(F.col("z"), F.lit(0.0)) - F.col("y") * F.col("z")
-    rows = rows.select(
-        (F.col("p") - F.col("y")).alias("miss"), (F.col("p") * (1 - F.col("p"))).alias("weight"), loss.alias("loss"), "x",
-        F.posexplode("x").alias("place", "own"),
-    )
-    weighted = F.col("weight") * F.col("own")
+    k = len(b)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, loss, slope, products = 0, 0.0, np.zeros(k), np.zeros((k, k))
+        for batch in batches:
+            y, *columns = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+            x = np.column_stack([np.ones(len(y)), *columns])
+            z = x @ b
+            with np.errstate(over="ignore"):
+                p = 1 / (1 + np.exp(-z))
+            rows += len(y)
+            loss += float((np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0.0) - y * z).sum())
+            slope += (p - y) @ x
+            products += (x * (p * (1 - p))[:, None]).T @ x
+        if rows:
+            made = [pa.array(range(k), pa.int32()), pa.array([loss] * k), pa.array(slope), pa.array(products.tolist())]
+            yield pa.RecordBatch.from_arrays(made, names=["place", "loss", "slope", "products"])
+
+    plain = df.select(*(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate([label, *names])))
+    rows = plain.mapInArrow(work, "place INT, loss DOUBLE, slope DOUBLE, products ARRAY<DOUBLE>")
     found = rows.groupBy("place").agg(
         F.sum("loss").alias("loss"),
-        F.sum(F.col("miss") * F.col("own")).alias("slope"),
-        F.array(*(F.sum(weighted * F.col("x")[j]) for j in range(len(x)))).alias("products"),
+        F.sum("slope").alias("slope"),
+        F.array(*(F.sum(F.col("products")[j]) for j in range(k))).alias("products"),
     )
     lines = sorted(found.collect(), key=lambda r: r["place"])
     if not lines:

@@ -271,3 +271,21 @@ def test_newton_steps_take_one_pass_each(spark):
     spark.sparkContext.setJobGroup("rest", "rest")
     # Adaptive execution runs the frame's own shuffle, that of the sums, and the result as a job each.
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("newton")) <= 3 * passes <= 21
+
+
+def test_a_newton_step_adds_rows_up_without_multiplying_them(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(5000, 3)), rng.integers(0, 2, 5000).astype(float)
+    df = spark.createDataFrame(np.column_stack([y, x]).tolist(), "y DOUBLE, a DOUBLE, b DOUBLE, c DOUBLE").repartition(5)
+    monkeypatch.setattr(newton.F, "posexplode", None)
+    b = np.array([0.3, -1.0, 0.5, 800.0])
+    loss, slope, products = newton.sums_at(df, "y", ["a", "b", "c"], b)
+    every = np.column_stack([np.ones(len(y)), x])
+    z = every @ b
+    with np.errstate(over="ignore"):
+        p = 1 / (1 + np.exp(-z))
+    assert loss == pytest.approx((np.logaddexp(0, z) - y * z).sum(), rel=1e-12)
+    assert slope == pytest.approx((p - y) @ every, rel=1e-9, abs=1e-9)
+    assert products == pytest.approx((every * (p * (1 - p))[:, None]).T @ every, rel=1e-9, abs=1e-9)
+    with pytest.raises(ValueError, match="no rows"):
+        newton.sums_at(df.limit(0), "y", ["a", "b", "c"], b)
