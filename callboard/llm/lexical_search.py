@@ -3,6 +3,8 @@
 *Index.* Documents are taken as they come and gathered to shards of about SHARD words. A shard is one
 row: its documents (those with a term, in order of id) with their lengths, and for every term the
 documents that hold it and how often. It is written once, for all terms, and serves any number of items.
+A task holds one shard at a time, however many it writes or reads: each is a row group of its own, and
+Arrow batches end at BATCH bytes.
 
 *Statistics.* Numbers of documents and of words, and for the items' terms the documents that hold them,
 are sums over the shards.
@@ -50,17 +52,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Hasher, hashed_words, portions, written
+from .common import PORTION_BYTES, Hasher, byte_batches, hashed_words, portions, written
 
 K = 10
-# Words of a shard, postings of the lists that are added up first, documents of a window.
+# Words of a shard; postings of the lists that are added up first, documents of a window.
 SHARD = 1 << 20
+# Documents of a shard, where so many have fewer words.
+DOCS = 1 << 14
 SHORT = 1 << 10
 WINDOW = 1 << 9
 # Pairs of item and term that are sent to the executors at a time.
 BLOCK = 1 << 18
 # Parts that an item's best documents are cut to K in before they meet.
 PARTS = 64
+# Bytes at which an Arrow batch is handed to a Python worker.
+BATCH = PORTION_BYTES
+# A shard is some ten megabytes; row groups of many would be held whole by a task that writes or reads them.
+ALONE = {"parquet.block.row.count.limit": "1"}
 
 INDEX = (
     "n_words long, ids array<long>, lengths array<int>, terms array<long>, offsets array<int>, "
@@ -102,16 +110,18 @@ def index(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """The inverted index of all documents, a row per shard, not yet written."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, counts, n = [], [], [], 0
+        ids, hashes, counts, n, n_docs = [], [], [], 0, 0
         for batch, texts in portions(batches, "text"):
             found, each = term_hashes(texts)
-            ids.append(batch.column("key"))
+            own = np.flatnonzero(each)
+            ids.append(batch.column("key").take(pa.array(own)))  # a slice would keep the batch with its texts
             hashes.append(found)
-            counts.append(each)
+            counts.append(each[own])
             n += len(found)
-            if n >= SHARD:
+            n_docs += len(own)
+            if n >= SHARD or n_docs >= DOCS:
                 yield _shard(pa.concat_arrays(ids), np.concatenate(hashes), np.concatenate(counts))
-                ids, hashes, counts, n = [], [], [], 0
+                ids, hashes, counts, n, n_docs = [], [], [], 0, 0
         if n:
             yield _shard(pa.concat_arrays(ids), np.concatenate(hashes), np.concatenate(counts))
 
@@ -326,7 +336,12 @@ def _searched(shards: DataFrame, block: Block, kind: T.StructType, k: int) -> Da
 
 def ranked(documents: DataFrame, items: DataFrame, k: int = K, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """item_id (named as ``item``), rank, doc_id and score of the ``k`` best documents of every item."""
-    shards = written(index(documents, key, text), "index")
+    with byte_batches(documents.sparkSession, BATCH):
+        return _ranked(documents, items, k, key, text, item, item_text)
+
+
+def _ranked(documents: DataFrame, items: DataFrame, k: int, key: str, text: str, item: str, item_text: str) -> DataFrame:
+    shards = written(index(documents, key, text), "index", **ALONE)
     n_docs, n_words = shards.agg(F.sum(F.size("lengths")), F.sum("n_words")).first()
     pairs = written(item_terms(items, item, item_text), "item-terms")
     kind = T.StructType([pairs.schema["item"], *T.StructType.fromDDL("doc_id long, score long").fields])

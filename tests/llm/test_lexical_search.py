@@ -5,8 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from callboard.llm import common
 from callboard.llm import lexical_search as search
 
 from frames import empty_documents, odd_documents
@@ -157,6 +160,61 @@ def test_several_blocks_of_items_and_shards(spark, monkeypatch):
     assert rows_of(search.ranked(docs, asked)) == brute(documents, items)
 
 
+def test_a_task_holds_one_shard_at_a_time(spark, monkeypatch):
+    """Of the many shards of a task each is a row group and an Arrow batch of its own."""
+    monkeypatch.setattr(search, "SHARD", 500)
+    monkeypatch.setattr(search, "BATCH", 1, raising=False)
+    row_of, written, kept = search._row_of, search.written, {}
+
+    def alone(batch, name, i):
+        assert batch.num_rows == 1
+        return row_of(batch, name, i)
+
+    def noted(df, name, **options):
+        kept[name] = written(df, name, **options)
+        return kept[name]
+
+    monkeypatch.setattr(search, "_row_of", alone)
+    monkeypatch.setattr(search, "written", noted)
+    rng = random.Random(5)
+    documents = [*corpus(rng, 150, 120), (1000, None), (1001, "., -"), (None, "w1 w2")]
+    items = [(i, " ".join(rng.choices([f"w{j}" for j in range(120)], k=12))) for i in range(15)]
+    docs = spark.createDataFrame(documents, "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame(items, "item_id int, text string")
+    with common.small_batches(spark, 10):
+        assert rows_of(search.ranked(docs, asked)) == brute(documents, items)
+    files = [pq.ParquetFile(file.removeprefix("file://")).metadata for file in kept["index"].inputFiles()]
+    assert sum(file.num_rows for file in files) > 5
+    assert [file.num_row_groups for file in files] == [file.num_rows for file in files]
+
+
+def test_shards_of_short_documents_end_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(search, "DOCS", 50, raising=False)
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"))
+    spark.conf.set(common.BATCH, "20")
+    try:
+        found = search.index(docs.unionByName(docs.select("doc_id", F.lit("-").alias("text"))).coalesce(1)).select("ids").collect()
+    finally:
+        spark.conf.unset(common.BATCH)
+    assert [len(row.ids) for row in found] == [60] * 6 + [40]
+    assert sorted(i for row in found for i in row.ids) == list(range(400))
+
+
+def test_batches_end_by_bytes_and_the_setting_is_put_back(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    for before in (None, "5000000"):
+        if before:
+            spark.conf.set(common.BATCH_BYTES, before)
+        with common.byte_batches(spark, 10_000):
+            assert {row.n for row in rows.mapInArrow(sizes, "n long").collect()} == {10}
+        assert spark.conf.get(common.BATCH_BYTES, None) == before
+    spark.conf.unset(common.BATCH_BYTES)
+
+
 def test_empty_tables_and_clashing_columns(spark):
     items = spark.createDataFrame(ITEMS, "item_id string, text string")
     nothing = spark.createDataFrame([], "item_id string, text string")
